@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, mixing, quality, sharding, tokens, toxicity
+from . import decontamination, fingerprints, jaccard, mixing, quality, sharding, tokens, toxicity
 from .shared import read
 
 
@@ -39,6 +39,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))[0]
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_mixing, op3_toxicity, op5_quality, op7_decontamination, op9_tokens, op10_sharding]
+    found = [op1_fingerprints, op2_mixing, op3_toxicity, op5_quality, op7_decontamination, op8_jaccard_join, op9_tokens, op10_sharding]
     return {f.__name__: f for f in found}
 
 
