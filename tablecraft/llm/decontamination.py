@@ -119,9 +119,11 @@ def matches(items: Items, text: pa.Array, cover: float) -> Iterator[tuple[int, i
     for lo, _, buf, off in chunks(text):
         words, bounds = word_hashes(buf, off)
         row, item, at_doc, at_item = items.seeds(words, bounds)
+        if not len(row):
+            continue
         order = np.lexsort((item, row))
         row, item, at_doc, at_item = row[order], item[order], at_doc[order], at_item[order]
-        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])]) if len(row) else row
+        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
         for a, z in zip(cut, np.r_[cut[1:], len(row)], strict=True):
             t = items.tokens[item[a]]
             least = min(items.run, len(t))
