@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard, mixing, quality, sharding, tokens, toxicity
+from . import decontamination, fingerprints, jaccard, licenses, lines, mixing, quality, sharding, tokens, toxicity
 from .shared import read
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, expected_grade, p_grade_1, p_grade_2, keep) of every document."""
     docs = read(spark, sf_dir, "documents")
@@ -34,6 +38,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, item_tokens, tiles, covered, coverage) of every item that leaks into a document."""
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
@@ -54,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_mixing, op3_toxicity, op5_quality, op7_decontamination, op8_jaccard_join, op9_tokens, op10_sharding]
+    found = [op1_fingerprints, op2_mixing, op3_toxicity, op4_line_dedup, op5_quality, op6_license_scan, op7_decontamination, op8_jaccard_join, op9_tokens, op10_sharding]
     return {f.__name__: f for f in found}
 
 
