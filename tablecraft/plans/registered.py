@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rental_queries  # noqa: F401  registers its queries
+from . import relational_queries, rental_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
