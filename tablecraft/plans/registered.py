@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational_queries, rental_queries  # noqa: F401  they register their queries
+from . import file_queries, profile_queries, relational_queries, rental_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
