@@ -62,15 +62,21 @@ def densify(value: np.ndarray, full: np.ndarray, asked: int = 12) -> np.ndarray:
     for a in range(asked):
         donor = order[bin_, a]
         hit = full[row, donor]
-        value[row[hit], bin_[hit]] = value[row[hit], donor[hit]]
+        value[row[hit], bin_[hit]] = _taken(value[row[hit], donor[hit]], bin_[hit])
         row, bin_ = row[~hit], bin_[~hit]
     cuts = np.flatnonzero(np.diff(row)) + 1
     for b, r in zip(np.split(bin_, cuts), row[np.r_[0, cuts]] if len(row) else [], strict=False):
         donors = np.flatnonzero(full[r])  # few are full, so all of them are asked at once
-        value[r, b] = value[r, donors[np.argmin(place[b][:, donors], axis=1)]]
+        value[r, b] = _taken(value[r, donors[np.argmin(place[b][:, donors], axis=1)]], b)
     return value
 
 
+def _taken(value: np.ndarray, bin_: np.ndarray) -> np.ndarray:
+    """A donor's value as bin ``bin_`` takes it: equal values stay equal, and the low bits of different values agree by
+    chance in each bin anew, so that one chance agreement isn't copied into all bins that asked the same donor."""
+    return mix(value ^ (bin_.astype(U) << U(48))) >> U(2 * BINS_LOG2)
+
+
 def packed(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows x bytes of packed bits, whether the row has any shingle)."""
     out, some = [np.zeros((0, BINS * BITS // 8), np.uint8)], [np.zeros(0, bool)]
