@@ -15,7 +15,10 @@ shingles those are changes the cost only, never the result.
 Equal sets are one class from the start. In each list the members are first held against one centre; links make
 components, and only pairs that the lists show in different components are then held against each other. The number of
 common keys bounds the intersection from above, which rules out nearly all pairs before their sets are read; the rest
-is decided on the whole sets. So a group of thousands of copies costs its size and not its square.
+is decided on the whole sets. Lists of more than ``LONG_LIST`` members are not scanned for pairs but by differences from
+a centre c (``_by_differences``): sets link if the symmetric difference of their differences from c is small enough, and
+what most members share with c, or lack of it, makes no pair. So a group of thousands of near copies costs about its size
+and not its square, also where many of them are just too unlike to link.
 
 Defined cases: null or empty texts, or texts of white space, have no shingles, link with nothing and are components of
 their own; fewer than five words are one shingle. Repeated rows are equal sets. A row without doc_id keeps its count and
@@ -41,6 +44,8 @@ LOCAL, FREQUENT = 3, 12
 #: Frequent shingles that are put last, the most frequent first: 8 bytes each are broadcast. Others stay in hash order.
 PUT_LAST = 1_000_000
 LARGEST_BOUNDARY = 64
+#: Open lists with more members are joined by differences. This changes the cost only, never the result.
+LONG_LIST = 32
 
 
 def least_common(n: int) -> int:
@@ -228,6 +233,64 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "rep long, tokens binary")
 
 
+def _open(marked: DataFrame) -> DataFrame:
+    """The lists (key, rep, n, component) that show several components, with their length."""
+    lists = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi")
+    return marked.join(lists.select("key", "length"), "key").select("key", "rep", "n", "component", "length")
+
+
+def _difference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (centre, rep, component, both's tokens): a row for each shingle that only one of the two sets has, with
+    the set's size n, the number m of such shingles, and whether the set links to the centre."""
+    names = ["centre", "rep", "component", "n", "m", "close", "token"]
+    for b in batches:
+        for lo in range(0, b.num_rows, 100):
+            some, differ, sizes, close = b.slice(lo, 100), [], [], []
+            for i in range(some.num_rows):
+                x, y = (np.frombuffer(some.column(c)[i].as_buffer(), U) for c in (3, 4))
+                differ.append(np.setxor1d(x, y, assume_unique=True)), sizes.append(len(y))
+                close.append(9 * len(differ[-1]) <= len(x) + len(y))
+            many = np.array([len(d) for d in differ], np.int64)
+            row = np.repeat(np.arange(some.num_rows), many)
+            columns = [some.column(c).take(pa.array(row)) for c in range(3)]
+            columns += [pa.array(np.array(sizes, np.int64)[row]), pa.array(many[row]), pa.array(np.array(close, bool)[row]), pa.array(np.concatenate(differ).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _by_differences(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The links (a, b) between sets in different components that share one of the long lists of ``marked``.
+
+    Sets x and y link if 9 m(x, y) <= |x| + |y| for the size m of their symmetric difference, which is that of their
+    differences X and Y from the centre c. Two sets that both link to c are connected anyway. If x doesn't, a linking y
+    has o = ceil((9 (|X| + |Y|) - |x| - |y|) / 18) >= 1 shingles of Y in common with X. In one order, here of how many
+    differences have a shingle, the first common one then has o - 1 others after it in either difference. Alone, each
+    side knows that o > (9 |Y| + |c| - |y|) / 18 if y links to c, and that o >= |X| - |x| / 4 if x doesn't."""
+    long = staged(marked.where(F.col("length") > LONG_LIST), "long-lists")
+    if long.isEmpty():
+        return long.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sets = staged(_whole_sets(docs, long.select("rep").distinct()).dropDuplicates(["rep"]), "long-sets")
+    centre = long.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("nc"))
+    beside = staged(long.join(centre, "key").where("rep <> centre").select("centre", "nc", "rep", "component").distinct(), "beside-centres")
+    both = beside.join(sets.select(F.col("rep").alias("centre"), F.col("tokens").alias("x")), "centre").join(sets, "rep").select("centre", "rep", "component", "x", "tokens")
+    rows = staged(both.mapInArrow(_difference_rows, "centre long, rep long, component long, n long, m long, close boolean, token long"), "differences")
+    to_centre = rows.where("close").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+
+    often = rows.groupBy("centre", "token").agg(F.count("*").alias("often"))
+    sizes = beside.select("centre", "nc").distinct()
+    placed = rows.join(often, ["centre", "token"]).withColumn("place", F.row_number().over(Window.partitionBy("centre", "rep").orderBy("often", "token")))
+    least = "CASE WHEN close THEN greatest(1, floor((9 * m + nc - n) / 18) + 1) ELSE greatest(1, m - n div 4) END"
+    keys = staged(placed.where("often > 1").join(sizes, "centre").where(f"place + {least} <= m + 1").drop("often", "nc"), "difference-keys")
+    x, y = (keys.select("centre", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("rep", "component", "n", "m", "close", "place")]) for t in "xy")
+    need = "greatest(1, ceil((9 * (m_x + m_y) - n_x - n_y) / 18))"
+    pairs = (
+        x.where("not close_x").join(y, ["centre", "token"])
+        .where(f"component_x <> component_y and 100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y) and (close_y or rep_x < rep_y)")
+        .where(f"place_x + {need} <= m_x + 1 and place_y + {need} <= m_y + 1")
+        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    )
+    return staged(to_centre.unionByName(_verified(staged(pairs, "long-pairs"), sets)).distinct(), "long-links")
+
+
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) of every row of docs, and the links (a, b) that were found between
     representatives of different sets; those connect all sets that are connected."""
@@ -259,9 +322,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # then the pairs that lists show in different components
     named_as = staged(components(links), "star-components").withColumnRenamed("vertex", "rep")
-    marked = shared.join(named_as, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    open_keys = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    marked = staged(marked.join(open_keys, "key", "left_semi"), "open-lists")
+    marked = staged(_open(shared.join(named_as, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))), "open-lists")
+    links = links.unionByName(_by_differences(docs, marked))
+    marked = marked.where(F.col("length") <= LONG_LIST)
     left, right = marked.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), marked.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     across = (
         left.join(right, "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
