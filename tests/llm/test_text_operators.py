@@ -344,6 +344,24 @@ def test_jaccard_join_of_near_copies(spark, seed):
     check_join(jaccard.join(d)[0].collect(), texts)
 
 
+@pytest.mark.parametrize(("seed", "long_list"), [(5, 2), (6, 32)])
+def test_jaccard_join_of_a_large_group(spark, monkeypatch, seed, long_list):
+    """One text in many versions, a third of them just too far from most others, in lists that differences join."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for i in range(260):
+        t = list(base)
+        for _ in range(rng.choice([2, 3, 3, 4, 6, 8])):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(400)}"
+        texts[i] = " ".join(t[: rng.choice([150, 150, 140, 120])])
+    for i in range(260, 320):  # a passage of the group in other texts
+        texts[i] = " ".join([f"o{rng.randrange(500)}" for _ in range(rng.randrange(5, 120))] + base[:60])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    check_join(jaccard.join(d)[0].collect(), texts)
+
+
 def test_jaccard_join_messy_rows(spark):
     out = jaccard.join(messy(spark))[0].collect()
     assert len(out) == len(ROWS)
