@@ -1,8 +1,7 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines are compared after lower-casing and with runs of white space as one blank. Their features are character shingles:
-the nine characters from each word's start on, from each character of scripts without Latin letters, and from every
-place after twelve letters in a row. Signatures are ``2 * BANDS`` minima of one 32-bit hash, each taken under another
+the nine characters from every place on, and the whole line where it is shorter. Signatures are ``2 * BANDS`` minima of one 32-bit hash, each taken under another
 exclusive-or, and two neighbouring minima are a band, so that lines of likeness 0.8 meet with probability over 0.9997.
 Lines that meet are verified by the exact Jaccard likeness of their shingle sets, links make components by distributed
 union-find, and of each component the first line (least doc_id, then line number) is kept.
@@ -10,8 +9,8 @@ union-find, and of each component the first line (least doc_id, then line number
 Equal lines are one class from the start. In a band, members are first held against the band's first line; then only
 lines in different components are compared, so that a group of near copies costs its size and not its square.
 
-Defined cases: null or empty texts have no lines; blank lines are kept and belong to no class; lines without a shingle,
-such as rules of dashes, are compared for equality only; repeated rows repeat their lines, of which one is kept; rows
+Defined cases: null or empty texts have no lines; blank lines are kept and belong to no class; rules of nine or more
+equal signs have the same shingle whatever their length; repeated rows repeat their lines, of which one is kept; rows
 without doc_id come last in order, and of equal lines with equal places one is kept.
 """
 
@@ -24,8 +23,8 @@ from .components import components
 from .shared import staged
 
 BANDS, PERCENT = 8, 80
-_LATIN = "[a-z\\u00df-\\u017f]"
-SHINGLE = rf"(?:(?<!{_LATIN})(?=[^\s\p{{Punct}}])|(?<={_LATIN}{{12}}))(?=(.{{1,9}}))"
+#: Java also tries the place between the halves of a surrogate pair, which is not a character's.
+SHINGLE = r"(?s)(?![\uDC00-\uDFFF])(?=(.{9}|^.{1,8}(?!.)))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -43,17 +42,21 @@ def shingles(line: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets have the likeness. texts: (key, set)."""
-    x, y = texts.select(F.col("key").alias("a"), F.col("set").alias("x")), texts.select(F.col("key").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("n") * 100 >= (F.size("x") + F.size("y") - F.col("n")) * PERCENT).select("a", "b")
+    """The pairs (a, b) of keys whose shingle sets have the likeness. texts: (key, line). Lines are carried, not their
+    sets, which have nine times their characters; the lambda's variable holds both sets, so each is made once a pair."""
+    x, y = texts.select(F.col("key").alias("a"), F.col("line").alias("x")), texts.select(F.col("key").alias("b"), F.col("line").alias("y"))
+    sets = F.array(F.struct(*[F.array_distinct(shingles(F.col(c))).alias(c) for c in "xy"]))
 
+    def alike(p: Column) -> Column:
+        return F.size(F.array_intersect(p["x"], p["y"])) * (100 + PERCENT) >= (F.size(p["x"]) + F.size(p["y"])) * PERCENT
 
-def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, set) of the lines in pairs, each once."""
+    return pairs.join(x, "a").join(y, "b").where(F.exists(sets, alike)).select("a", "b")
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, line) of the lines in pairs, each once."""
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    rows = _lines(docs).select(_key(F.col("line")).alias("key"), "line").join(ends, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    return rows.select("key", F.array_distinct(shingles(F.col("line"))).alias("set"))
+    return _lines(docs).select(_key(F.col("line")).alias("key"), "line").join(ends, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -75,8 +78,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     stars = met.where("key > centre").groupBy(F.col("key").alias("b"), F.col("centre").alias("a")).agg(F.count("*").alias("common"))
     stars = staged(stars.select("a", "b"), "line-stars")
-    sets = staged(_sets(docs, stars), "line-sets")
-    links = staged(_verified(stars, sets), "line-links")
+    texts = staged(_texts(docs, stars), "line-texts")
+    links = staged(_verified(stars, texts), "line-links")
 
     named = staged(components(links), "line-components").withColumnRenamed("vertex", "key")
     marked = met.join(named, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
@@ -84,7 +87,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     marked = staged(marked.join(open_bands, "band", "left_semi"), "open-bands")
     left, right = marked.select("band", F.col("key").alias("a"), F.col("component").alias("ca")), marked.select("band", F.col("key").alias("b"), F.col("component").alias("cb"))
     across = left.join(right, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = staged(links.unionByName(_verified(staged(across, "lines-across"), sets)), "all-line-links")
+    links = staged(links.unionByName(_verified(staged(across, "lines-across"), texts)), "all-line-links")
 
     groups = components(links).withColumnRenamed("vertex", "key")
     ranked = classes.join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))

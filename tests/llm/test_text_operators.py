@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from common import COLUMNS, DATA, EXTRA, LONG, ROWS, joined, messy, shingles, words
+from pyspark.sql import functions as F
 
 from tablecraft.llm import decontamination, fingerprints, jaccard, licenses, lines, mixing, quality, queries, sharding, tokens, toxicity
 from tablecraft.llm.shared import read
@@ -215,6 +216,24 @@ def test_line_dedup_messy_rows(spark):
     assert lines.duplicates(empty(spark)).count() == 0 and lines.dedup(empty(spark)).count() == 0
 
 
+def test_line_shingles_begin_at_every_character(spark):
+    texts = ["characterise", "a", "12345678", "123456789", "government regulation of telecommunications", "----------", "ab😀cd你好😀😀efghij", "x\u2028y" * 5]
+    found = spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.shingles(F.col("line")).alias("s")).collect()
+    assert {r["line"]: r["s"] for r in found} == {t: [t[i : i + 9] for i in range(max(1, len(t) - 8))] for t in texts}
+
+
+def test_line_dedup_by_every_character(spark):
+    near = "the committee published its administrative recommendations concerning international telecommunications infrastructure"
+    texts = [
+        "characterise", "characterize", "government regulation of telecommunications", "government regulator of telecommunications",
+        near, near + "s", near.replace("published", "publishes"), near.replace("administrative", "administration"), near.replace("telecommunications", "transportation"),
+    ]
+    top = joined({i: {t[k : k + 9] for k in range(max(1, len(t) - 8))} for i, t in enumerate(texts)})
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_doc_id"] for r in lines.duplicates(d).collect()} == top
+    assert top[1] == 1 and top[3] == 3 and top[5] == 4
+
+
 # 6 license scans
 
 
