@@ -32,19 +32,13 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links connect, the one with the smallest doc_id stays, once. A row without doc_id stays if
-    no document with an id has an equal set, and of equal texts without id one stays."""
-    groups = jaccard.join(docs)[0]
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return kept
-    known = jaccard.sets_of(docs.where("doc_id is not null")).where("n > 0").select(F.col("n").alias("_n"), F.col("set_id").alias("_s")).distinct()
-    own = jaccard.sets_of(nameless.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")).where("n is not null")
-    known_texts = own.join(known, (own["n"] == known["_n"]) & (own["set_id"] == known["_s"]), "left_semi").select(F.col("doc_id").alias("_h"))
-    lone = nameless.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(known_texts, F.col("_hash") == F.col("_h"), "left_anti").dropDuplicates(["_hash"])
-    return kept.unionByName(lone.select(*_columns(docs)))
+    """Of the rows that links connect, the one with the smallest doc_id stays, once; rows without doc_id come last. Rows
+    without shingles all stay, repeated ones once."""
+    groups = staged(jaccard.grouped(docs)[0], "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
+    first = groups.where("component is not null").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias("_row"))
+    stay = first.unionByName(groups.where("component is null").select(F.col("row").alias("_row"))).distinct()
+    return docs.withColumn("_row", jaccard.row_key()).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*_columns(docs))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ what most members share with c, or lack of it, makes no pair. So a group of thou
 and not its square, also where many of them are just too unlike to link.
 
 Defined cases: null or empty texts, or texts of white space, have no shingles, link with nothing and are components of
-their own; fewer than five words are one shingle. Repeated rows are equal sets. A row without doc_id keeps its count and
-gets the smallest doc_id among equal sets (null if there is none). Sets are told apart by a 64-bit hash and their size.
+their own; fewer than five words are one shingle. Repeated rows are equal sets. Rows without doc_id, and different texts
+of one doc_id, are joined like all others: sets are represented by a key of the row (``row_key``), and a component gets
+the smallest doc_id of its rows (null if none has one). Sets are told apart by a 64-bit hash and their size.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -53,14 +54,19 @@ def least_common(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
+def row_key() -> Column:
+    """A 64-bit hash of doc_id and text; only repeated rows have the same."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def set_id(tokens: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         return int(mix(np.array([mix(tokens ^ U(0x6A09E667F3BCC909)).sum(dtype=U) + U(len(tokens))], U)).view(np.int64)[0])
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set_id, token, times): a row for each document, token null; and a row for each task and shingle that
-    is frequent in the task, doc_id null and n null."""
+    """(row, doc_id, n, set_id, token, times): a row for each document, token null; and a row for each task and shingle
+    that is frequent in the task, row, doc_id and n null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -76,7 +82,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             n, ids = [], []
-            for s in shingle_sets(b.column(1)):
+            for s in shingle_sets(b.column(2)):
                 i = set_id(s) if len(s) else 0
                 n.append(len(s)), ids.append(i)
                 if len(s) and i not in known:
@@ -87,13 +93,13 @@ def sets_of(docs: DataFrame) -> DataFrame:
                         count()
                         size = 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), none, none], ["doc_id", "n", "set_id", "token", "times"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), none, none], ["row", "doc_id", "n", "set_id", "token", "times"])
         count()
         for t, n in often:
             none = pa.nulls(len(t), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "n", "set_id", "token", "times"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], ["row", "doc_id", "n", "set_id", "token", "times"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_id long, token long, times long")
+    return docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n long, set_id long, token long, times long")
 
 
 def cheapest_boundary(sizes: dict[int, int], list_length: float) -> int:
@@ -223,13 +229,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, tokens) of the wanted documents (rep)."""
+    """(rep, tokens) of the wanted rows (rep); repeated rows of a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for b in batches:
+            b = b.filter(pa.array([r not in known and not known.add(r) for r in b.column(0).to_pylist()], pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], ["rep", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    rows = docs.select(row_key().alias("rep"), "text").join(wanted, "rep", "left_semi")
     return rows.mapInArrow(run, "rep long, tokens binary")
 
 
@@ -293,12 +301,18 @@ def _by_differences(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) of every row of docs, and the links (a, b) that were found between
-    representatives of different sets; those connect all sets that are connected."""
+    representatives of different sets, named by row_key; those connect all sets that are connected."""
+    out, links = grouped(docs)
+    return out.select("doc_id", "n_shingles", "component_id"), links
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``join``, with each row's key ``row`` and the ``component`` of row keys, which is null without shingles."""
     found = staged(sets_of(docs), "sets")
     frequent = found.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
     late = frequent.orderBy(F.desc("times"), "token").limit(PUT_LAST).toPandas()
-    members = found.where("token is null").select("doc_id", "n", "set_id")
-    classes = staged(members.where("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    members = found.where("token is null").select("row", "doc_id", "n", "set_id")
+    classes = staged(members.where("n > 0").groupBy("set_id", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "classes")
     sizes = {r["n"]: r["count"] for r in classes.where((F.col("n") >= 4) & (F.col("n") <= LARGEST_BOUNDARY)).groupBy("n").count().collect()}
     weight = classes.agg(F.sum("n")).first()[0] or 1
     boundary = cheapest_boundary(sizes, float((late["times"].astype(float) ** 2).sum() / weight) if len(late) else 0.0)
@@ -306,8 +320,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = postings(docs, np.sort(late["token"].to_numpy(np.int64).view(U)), boundary)
     shared = lists.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_shared_keys, "key long, set_id long, n int")
     shared = staged(shared, "shared-keys")
-    named = classes.where("rep is not null")
-    shared = staged(shared.join(named, ["set_id", "n"]).select("key", "rep", F.col("n").cast("long").alias("n")), "lists")
+    shared = staged(shared.join(classes, ["set_id", "n"]).select("key", "rep", F.col("n").cast("long").alias("n")), "lists")
 
     # every member of a list against the list's centre; of several centres the one with the most common keys
     centre = shared.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"))
@@ -335,8 +348,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = staged(links, "links")
 
     groups = components(links).withColumnRenamed("vertex", "rep")
-    ranked = classes.join(groups, "rep", "left").select("set_id", "n", F.coalesce("component", "rep").alias("component"))
-    out = members.join(ranked, ["set_id", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    ranked = staged(classes.join(groups, "rep", "left").select("set_id", "n", "least", F.coalesce("component", "rep").alias("component")), "ranked")
+    ranked = ranked.join(ranked.groupBy("component").agg(F.min("least").alias("component_id")), "component").drop("least")
+    out = members.join(ranked, ["set_id", "n"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out, links
 
 

@@ -70,3 +70,10 @@ def test_near_duplicates_without_id(spark):
     out = STAGE["near_duplicates"](spark, docs, DATA).collect()
     assert sorted(r["doc_id"] for r in out if r["doc_id"]) == [1, 3, 4, 5, 6, 7, 9, 10, 12]
     assert sorted(str(r["text"])[:5] for r in out if r["doc_id"] is None) == ["None", "no id"]
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = [(None, a), (None, a + " end"), (5, b), (None, b + " end"), (6, c), (7, c + " end"), (7, d), (None, "two  words and four MORE here"), (None, "Two words and four more here")]
+    out = STAGE["near_duplicates"](spark, messy(spark, [(i, t, "en", "web") for i, t in docs]), DATA).collect()
+    assert sorted((str(r["doc_id"]), r["text"][:2].lower()) for r in out) == [("5", "b0"), ("6", "c0"), ("7", "d0"), ("None", "a0"), ("None", "tw")]

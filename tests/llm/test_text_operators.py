@@ -389,6 +389,13 @@ def test_jaccard_join_messy_rows(spark):
     assert jaccard.join(empty(spark))[0].count() == 0
 
 
+def test_jaccard_join_through_a_row_without_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [(1, "a " * 9 + " ".join(base[9:])), (None, " ".join(base)), (2, " ".join(base[:91]) + " b" * 9), (3, "another text that is of its own"), (3, " ".join(base) + " end")]
+    out = jaccard.join(spark.createDataFrame(texts, "doc_id long, text string"))[0].collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in out) == [("1", 1), ("2", 1), ("3", 1), ("3", 3), ("None", 1)]
+
+
 # 9 token counts
 
 
