@@ -27,10 +27,15 @@ BANDS, PERCENT = 8, 80
 SHINGLE = r"(?s)(?![\uDC00-\uDFFF])(?=(.{9}|^.{1,8}(?!.)))"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line that isn't blank; line is in the form that is compared."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return rows.select("doc_id", "line_no", F.trim(F.regexp_replace(F.lower("raw"), r"\s+", " ")).alias("line")).where("line <> ''")
+def _plain(raw: Column) -> Column:
+    """The form of a line that is compared."""
+    return F.trim(F.regexp_replace(F.lower(raw), r"\s+", " "))
+
+
+def _lines(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, line_no, line, more) of every line that isn't blank; line is in the form that is compared."""
+    rows = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    return rows.select("doc_id", "line_no", *more, _plain(F.col("raw")).alias("line")).where("line <> ''")
 
 
 def _key(line: Column) -> Column:
@@ -62,8 +67,12 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, class_doc_id, class_line_no, keep) of every line that isn't blank: the first line of its
     component, and whether it is that line itself."""
-    docs = docs.select("doc_id", "text")
-    lines = staged(_lines(docs).select("doc_id", "line_no", _key(F.col("line")).alias("key")), "lines")
+    return _marked(docs)
+
+
+def _marked(docs: DataFrame, *more: str) -> DataFrame:
+    """As ``duplicates``, with the columns ``more``, which also order equal lines with equal places."""
+    lines = staged(_lines(docs, *more).select("doc_id", "line_no", *more, _key(F.col("line")).alias("key")), "lines")
     at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
     classes = staged(lines.groupBy("key").agg(F.min(at).alias("first")), "line-classes")
 
@@ -93,17 +102,21 @@ def duplicates(docs: DataFrame) -> DataFrame:
     ranked = classes.join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     heads = ranked.groupBy("component").agg(F.min("first").alias("head"))
     ranked = ranked.join(heads, "component").select("key", "head")
-    out = lines.join(ranked, "key").withColumn("same", F.row_number().over(Window.partitionBy("key", "doc_id", "line_no").orderBy("line_no")))
+    out = lines.join(ranked, "key").withColumn("same", F.row_number().over(Window.partitionBy("key", "doc_id", "line_no").orderBy("line_no", *more)))
     is_head = at.eqNullSafe(F.col("head")) & (F.col("same") == 1)
-    return out.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), is_head.alias("keep"))
+    return out.select("doc_id", "line_no", *more, F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), is_head.alias("keep"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): the documents without the lines that are dropped; repeated rows of a doc_id become one. A document
-    whose lines all go has an empty text; one without doc_id is left out."""
-    drop = duplicates(docs).where("not keep and doc_id is not null").select("doc_id", "line_no").distinct()
-    rows = docs.where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-    each = rows.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-    kept = each.join(drop, ["doc_id", "line_no"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("x"))
-    text = kept.select("doc_id", F.array_join(F.col("x.raw"), "\n").alias("text"))
-    return rows.select("doc_id").join(text, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """(doc_id, text) of every row of docs, without the lines that are dropped; a row whose lines all go has an empty
+    text. Of repeated rows one keeps its lines. Rows are told apart by doc_id and text, and copies are counted."""
+    row = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), _key(F.col("text")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row)
+    rows = staged(rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "line-rows")
+    drop = _marked(rows, "row").where("not keep").select("row", "line_no")
+    each = rows.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    kept = each.join(drop, ["row", "line_no"], "left_anti").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("x"))
+    text = kept.select("row", F.array_join(F.col("x.raw"), "\n").alias("first"))
+    blank = F.array_join(F.filter(F.split("text", "\n"), lambda raw: _plain(raw) == ""), "\n")
+    out = rows.join(text, "row", "left").select("doc_id", F.coalesce("first", F.lit("")).alias("first"), blank.alias("later"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return out.select("doc_id", F.when(F.col("copy") == 1, F.col("first")).otherwise(F.col("later")).alias("text"))
