@@ -156,25 +156,23 @@ def fingerprints_of_neighbours(docs: DataFrame, parts: int | None = None) -> Dat
     spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(slim.approxQuantile("doc_id", [i / parts for i in range(1, parts + 1)], 1 / (4 * parts)))) if parts else []
-    tops = np.array(sorted({int(x) for x in cuts}), np.int64)
+    cuts = slim.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    # quantiles are doubles, which are exact to 2**53 only: they limit ranges, and the last range is open above
+    limits = np.array(sorted({min(int(x), (1 << 63) - 1) for x in cuts}), np.int64)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("int")
     def places(ids):
-        """The row's range, and the range above it if the row is the greatest of its own."""
         import pandas as pd
 
-        v = ids.fillna(0).astype("int64").to_numpy()
-        p = np.searchsorted(tops, v)
-        guest = (p < len(tops)) & (tops[np.minimum(p, len(tops) - 1)] == v)
-        return pd.Series([[-1] if none else ([a, (a + 1) % len(tops) + len(tops)] if g else [a]) for none, a, g in zip(ids.isna(), p.tolist(), guest.tolist(), strict=True)])
-
-    if not len(tops):  # empty table, or no row has an id
-        placed = slim.withColumn("at", F.lit(-1))
-    else:
-        placed = slim.withColumn("at", F.explode(places("doc_id")))
-    n = len(tops)
-    placed = placed.select(F.when(F.col("at") >= n, F.col("at") - n).otherwise(F.col("at")).alias("range") if n else F.col("at").alias("range"), (F.col("at") >= n).alias("guest") if n else F.lit(False).alias("guest"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        return pd.Series(np.searchsorted(limits, ids.to_numpy()).astype(np.int32))
+
+    doc_id = F.col("doc_id").cast("long")  # without nulls, which would make doubles of a batch's ids
+    ranged = slim.withColumn("range", F.when(doc_id.isNull(), -1).otherwise(places(F.coalesce(doc_id, F.lit(0).cast("long")))))
+    tops = [(r["range"], r["top"]) for r in ranged.where("range >= 0").groupBy("range").agg(F.max(doc_id).alias("top")).orderBy("range").collect()]
+    above = [(top, tops[(k + 1) % len(tops)][0]) for k, (_, top) in enumerate(tops)]
+    guests = slim.join(F.broadcast(spark.createDataFrame(above, "top long, range int")), doc_id == F.col("top"))
+    both = ranged.select("range", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests.select("range", F.lit(True).alias("guest"), "doc_id", "text"))
+    placed = both.select("range", "guest", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = placed.repartition("range").sortWithinPartitions("range", "guest", F.desc("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,6 +68,14 @@ def test_fingerprints_of_messy_rows(spark):
     assert fingerprints.fingerprint(messy(spark)).count() == len(ROWS)
 
 
+def test_fingerprints_of_ids_beyond_doubles(spark):
+    texts = {(1 << 60) + 37 * i * i + 1: f"text {i} " * (i + 5) for i in range(60)}
+    d = spark.createDataFrame([*texts.items(), (None, "none")], "doc_id long, text string").repartition(3)
+    out = fingerprints.fingerprints_of_neighbours(d, 7).collect()
+    assert len(out) == len(texts) + 1
+    check_fingerprints({r["doc_id"]: r for r in out if r["doc_id"] is not None}, texts)
+
+
 def test_densification_fills_every_bin():
     rng = np.random.default_rng(1)
     full = rng.random((4, fingerprints.BINS)) < np.array([[0.001], [0.05], [0.6], [0.0]])
@@ -234,6 +242,16 @@ def test_line_dedup_by_every_character(spark):
     assert top[1] == 1 and top[3] == 3 and top[5] == 4
 
 
+def test_line_dedup_returns_every_row(spark):
+    rows = [(None, "a line of the first one\n\nshared by several texts"), (None, "of its own entirely\nshared by several texts"), (4, "one text of number four"), (4, "quite another thing in here"), (5, "repeated row\n\nwith a gap"), (5, "repeated row\n\nwith a gap"), (None, None)]
+    out = [(r["doc_id"], r["text"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(str(i) for i, _ in out) == sorted(str(i) for i, _ in rows)
+    assert sorted(t for i, t in out if i == 4) == ["one text of number four", "quite another thing in here"]
+    assert sorted(t for i, t in out if i == 5) == ["", "repeated row\n\nwith a gap"]
+    nameless = "\n".join(t for i, t in out if i is None)
+    assert all(nameless.count(x) == 1 for x in ("a line of the first one", "of its own entirely", "shared by several texts"))
+
+
 # 6 license scans
 
 
