@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import dropped, staged
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where("u > v").distinct()
         )
-        edges = staged(small, "small-star")
+        last, edges = edges, staged(small, "small-star")
+        dropped(last, large)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 40)), F.lit(0)), F.coalesce(F.sum(F.crc32(F.concat_ws(" ", F.col("u").cast("string"), F.col("v").cast("string")).cast("binary"))), F.lit(0))).first()
         if seen == tuple(state):
             break
