@@ -5,15 +5,20 @@ tokens that both have and that no earlier tile covers are marked again and again
 runs are found by Karp-Rabin hashes and their ends compared token by token. An item leaks into a document if the tiles
 cover ``COVER`` of its tokens, in whatever order its passages stand.
 
-The benchmark is read in blocks of bounded size, each broadcast; documents are scanned once for each block, so that any
-size of benchmark works and nothing grows with the documents. Scanning is a narrow map over whole texts.
-
-Defined cases: null or empty texts and items have no tokens and never match; an item of fewer than ``RUN`` tokens has
-its whole sequence as its only seed; repeated documents each give their rows; repeated items are reported for each.
+Only seeds at which a common run begins are made, that is, whose tokens before differ: what a pair needs grows with its
+common runs, not with the product of repeats in a document and an item. The benchmark is read in blocks of bounded size,
+each broadcast; documents are scanned once for each block, so that any size of benchmark works and nothing grows with the
+documents. Scanning is a narrow map over whole texts.
+
+Defined cases: null or empty texts and items, and empty tables, have no tokens and never match; an item of fewer than
+``RUN`` tokens has its whole sequence as its only seed; repeated documents each give their rows; repeated items are
+reported for each; of equally long runs the first in the document, then in the item, is marked first; ``clean`` returns
+all columns of documents, whatever their names, and ``leaks`` reads no other than doc_id and text.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import filtered
 from .words import U, chunks, mix, word_hashes
 
 RUN, COVER = 5, 0.6
 #: Bytes of benchmark text that are broadcast at once, and rows.
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 50_000
 _STEP = U(0x9E3779B97F4A7C55)
+#: Stand for the token before a text's and an item's first one.
+_FIRST_OF_TEXT, _FIRST_OF_ITEM = U(1), U(2)
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -41,73 +49,118 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+class Prefixes:
+    """Karp-Rabin hashes of any runs of tokens of one sequence, as differences of prefix hashes."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.powers = np.full(len(tokens) + 1, _STEP, U)
+        self.powers[0] = 1
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(self.powers, dtype=U)
+            # prefix hashes divided by the power of their length are plain sums, since the step is odd and has an inverse
+            inverse = np.full(len(tokens) + 1, pow(int(_STEP), -1, 1 << 64), U)
+            inverse[0] = 1
+            self.sums = np.r_[U(0), np.cumsum(tokens * np.cumprod(inverse, dtype=U)[:-1], dtype=U)]
+
+    def of(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[at + n] - self.sums[at]) * self.powers[at]
+
+
 class Items:
-    """The tokens of a block of benchmark items and where their seeds stand."""
+    """The tokens of a block of benchmark items and where their seeds stand, by the token before."""
 
     def __init__(self, ids: list, texts: list[str | None], run: int = RUN):
         self.ids, self.run = ids, run
-        self.tokens: list[np.ndarray] = []
+        parts, bounds = [np.zeros(0, U)], [np.zeros(1, np.int64)]
         for _, _, buf, off in chunks(pa.array(texts, pa.large_string())):
-            words, bounds = word_hashes(buf, off)
-            self.tokens += [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        found: dict[int, list] = {}
-        for i, t in enumerate(self.tokens):
-            if len(t):
-                k = min(run, len(t))
-                h = runs(t, k)
-                found.setdefault(k, []).append((h, np.full(len(h), i), np.arange(len(h))))
-        for k, parts in found.items():
-            h, i, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
+            words, b = word_hashes(buf, off)
+            parts.append(words)
+            bounds.append(b[1:] + bounds[-1][-1])
+        self.words, self.bounds = np.concatenate(parts), np.concatenate(bounds)
+        self.prefixes = Prefixes(self.words)
+        size = np.diff(self.bounds)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in sorted({min(run, int(n)) for n in size if n}):
+            h = runs(self.words, k)
+            item = np.searchsorted(self.bounds, np.arange(len(h)), side="right") - 1
+            good = (np.minimum(size[item], run) == k) & (np.arange(len(h)) + k <= self.bounds[item + 1])
+            at, item, h = np.flatnonzero(good), item[good], h[good]
+            before = np.where(at > self.bounds[item], self.words[at - 1], _FIRST_OF_ITEM)
+            order = np.lexsort((before, h))
+            h, at, item, before = h[order], at[order], item[order], before[order]
+            with np.errstate(over="ignore"):
+                group = mix(h * _STEP + before)
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            last = np.r_[first[1:], len(group)]
+            by_group = np.argsort(group[first], kind="stable")
             maybe = np.zeros(1 << 20, bool)
             maybe[(h & U((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_length[k] = h[order], i[order], at[order], maybe
-
-    def seeds(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document row, item, place in the document, place in the item) of all shared seeds."""
-        out = [np.zeros((4, 0), np.int64)]
-        last = bounds[1:][np.searchsorted(bounds, np.arange(len(words)), side="right") - 1] if len(words) else bounds[:0]
-        for k, (keys, item, at, maybe) in self.by_length.items():
+            self.by_length[k] = h, at, item, group[first][by_group], first[by_group], last[by_group], maybe
+
+    def tokens(self, item: int) -> np.ndarray:
+        return self.words[self.bounds[item] : self.bounds[item + 1]]
+
+    def common_runs(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows (document row, item, place in the document, place in the item, length) of all longest common runs."""
+        out = [np.zeros((5, 0), np.int64)]
+        if not len(words):
+            return out[0]
+        row_of = np.searchsorted(bounds, np.arange(len(words)), side="right") - 1
+        before = np.r_[_FIRST_OF_TEXT, words[:-1]]
+        before[bounds[:-1][bounds[:-1] < len(words)]] = _FIRST_OF_TEXT
+        prefixes = None
+        for k, (keys, at, item, groups, first, last, maybe) in self.by_length.items():
             h = runs(words, k)
             near = np.flatnonzero(maybe[(h & U((1 << 20) - 1)).astype(np.int64)])
-            near = near[near + k <= last[near]]
+            near = near[near + k <= bounds[row_of[near] + 1]]
             lo, hi = np.searchsorted(keys, h[near]), np.searchsorted(keys, h[near], side="right")
-            size = hi - lo
-            pos = np.repeat(near, size)
-            which = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(near) else np.zeros(0, np.int64)
-            row = np.searchsorted(bounds, pos, side="right") - 1
-            out.append(np.stack([row, item[which], pos - bounds[row], at[which]]))
-        return tuple(np.concatenate(out, axis=1))
-
-
-def tiles(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(place in the document, place in the item, length) of the greedy tiling, longest tiles first."""
-    order = np.lexsort((at_item, at_item - at_doc))
-    at_doc, at_item = at_doc[order], at_item[order]
-    diagonal = at_item - at_doc
-    # seeds that follow each other on one diagonal are one run
-    fresh = np.r_[True, (diagonal[1:] != diagonal[:-1]) | (at_item[1:] != at_item[:-1] + 1)]
-    start = np.flatnonzero(fresh)
-    length = np.diff(np.r_[start, len(at_doc)]) + least - 1
-    # a Karp-Rabin hit is a match only if its tokens are equal
-    found = [(int(n), int(d), int(t)) for d, t, n in zip(at_doc[start], at_item[start], length, strict=True) if np.array_equal(doc[d : d + n], item[t : t + n])]
+            near, lo, hi = near[lo < hi], lo[lo < hi], hi[lo < hi]
+            if not len(near):
+                continue
+            # all of the key's places in items but those after the same token, which are inside a run
+            with np.errstate(over="ignore"):
+                group = mix(h[near] * _STEP + before[near])
+            g = np.minimum(np.searchsorted(groups, group), len(groups) - 1)
+            same = groups[g] == group
+            a, b = np.where(same, first[g], hi), np.where(same, last[g], hi)
+            for start, end in ((lo, a), (b, hi)):
+                size = end - start
+                pos = np.repeat(near, size)
+                if not len(pos):
+                    continue
+                which = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                prefixes = prefixes or Prefixes(words)
+                room = np.minimum(bounds[row_of[pos] + 1] - pos, self.bounds[item[which] + 1] - at[which])
+                least, most = np.full(len(pos), k), room.copy()
+                while (least < most).any():
+                    mid = (least + most + 1) // 2
+                    fits = prefixes.of(pos, mid) == self.prefixes.of(at[which], mid)
+                    least, most = np.where(fits, mid, least), np.where(fits, most, mid - 1)
+                out.append(np.stack([row_of[pos], item[which], pos - bounds[row_of[pos]], at[which] - self.bounds[item[which]], least]))
+        return np.concatenate(out, axis=1)
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray, length: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(place in the document, place in the item, length) of the greedy tiling by common runs, longest tiles first."""
     free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
     out = []
-    found.sort(key=lambda x: (x[0], -x[1], -x[2]))
-    while found:
-        n, d, t = found.pop()
-        free = free_doc[d : d + n] & free_item[t : t + n]
-        if free.all():
+    heap = list(zip((-length).tolist(), at_doc.tolist(), at_item.tolist(), strict=True))
+    heapq.heapify(heap)
+    while heap:
+        n, d, t = heapq.heappop(heap)
+        n = -n
+        # a Karp-Rabin hit is a match only where its tokens are equal, and a tile only where no earlier one is
+        good = free_doc[d : d + n] & free_item[t : t + n] & (doc[d : d + n] == item[t : t + n])
+        if good.all():
             free_doc[d : d + n], free_item[t : t + n] = False, False
             out.append((d, t, n))
             continue
-        # what earlier tiles left of this run goes back in its place by length
-        edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
-        left = [(int(b - a), d + int(a), t + int(a)) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= least]
-        if left:
-            found += left
-            found.sort(key=lambda x: (x[0], -x[1], -x[2]))
+        # what is left of this run goes back in its place by length
+        edges = np.flatnonzero(np.diff(np.r_[False, good, False].astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, d + a, t + a))
     return out
 
 
@@ -118,18 +171,17 @@ def matches(items: Items, text: pa.Array, cover: float) -> Iterator[tuple[int, i
     """(row, item, tiles) of the pairs in which tiles cover at least ``cover`` of the item."""
     for lo, _, buf, off in chunks(text):
         words, bounds = word_hashes(buf, off)
-        row, item, at_doc, at_item = items.seeds(words, bounds)
+        row, item, at_doc, at_item, length = items.common_runs(words, bounds)
         if not len(row):
             continue
         order = np.lexsort((item, row))
-        row, item, at_doc, at_item = row[order], item[order], at_doc[order], at_item[order]
+        row, item, at_doc, at_item, length = row[order], item[order], at_doc[order], at_item[order], length[order]
         cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
         for a, z in zip(cut, np.r_[cut[1:], len(row)], strict=True):
-            t = items.tokens[item[a]]
-            least = min(items.run, len(t))
-            if (z - a) * least < cover * len(t):  # even seeds side by side cover too little
+            t = items.tokens(item[a])
+            if length[a:z].sum() < cover * len(t):  # even side by side all runs cover too little
                 continue
-            got = tiles(words[bounds[row[a]] : bounds[row[a] + 1]], t, at_doc[a:z], at_item[a:z], least)
+            got = tiles(words[bounds[row[a]] : bounds[row[a] + 1]], t, at_doc[a:z], at_item[a:z], length[a:z], min(items.run, len(t)))
             if sum(n for _, _, n in got) >= cover * len(t):
                 yield lo + int(row[a]), int(item[a]), got
 
@@ -147,7 +199,7 @@ def scan(docs: DataFrame, items: Items, cover: float = COVER) -> DataFrame:
         for batch in batches:
             rows, out = [], []
             for row, item, got in matches(b, batch.column(1), cover):
-                n, covered = len(b.tokens[item]), sum(n for _, _, n in got)
+                n, covered = len(b.tokens(item)), sum(n for _, _, n in got)
                 rows.append(row)
                 out.append((b.ids[item], n, len(got), covered, covered / n, [{"at": d, "item_at": i, "length": m} for d, i, m in got]))
             if rows:
@@ -178,18 +230,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int
 
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int = RUN) -> DataFrame:
     """The rows of docs into which no item leaks, with all their columns: a filter for each block, no join."""
-    columns = docs.columns
-    schema = docs.schema
-
     for block in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in block], [r["text"] for r in block], run))
 
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                stays = np.ones(b.num_rows, bool)
-                for row, _, _ in matches(sent.value, b.column(len(columns)), cover):
-                    stays[row] = False
-                yield pa.RecordBatch.from_arrays(b.columns[: len(columns)], columns).filter(pa.array(stays))
+        def stays(text: pa.Array, sent=sent) -> np.ndarray:
+            out = np.ones(len(text), bool)
+            for row, _, _ in matches(sent.value, text, cover):
+                out[row] = False
+            return out
 
-        docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("text", F.lit("")).alias("_whole")).mapInArrow(keep, schema)
+        docs = filtered(docs, stays)
     return docs

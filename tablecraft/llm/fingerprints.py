@@ -8,6 +8,8 @@ likeness. ``BITS`` low-order bits of each bin are packed; values that differ agr
 
 Defined cases: a null or empty text, or one of white space only, has the fingerprint ``EMPTY``; two of those have
 likeness 1, one of those and any other 0. Fewer than five words are one shingle. Equal texts have equal fingerprints.
+Texts of any length are read whole, a chunk at a time; columns other than the id and the text are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -150,8 +152,9 @@ def fingerprints_of_neighbours(docs: DataFrame, parts: int | None = None) -> Dat
 
     Documents are dealt to ranges of doc_id and each range is read in order; the greatest id of a range also goes, as a
     guest, to the end of the range above, whose last document it follows, so no task needs more than a range. A range's
-    texts are streamed. Several rows of one doc_id follow each other in the order of their texts. A row without doc_id
-    has no place in the order: it is followed by an empty text and follows none.
+    texts are streamed. Several rows of one doc_id, repeated or not, follow each other in the order of their texts. A row
+    without doc_id has no place in the order: it is followed by an empty text and follows none, and such rows are dealt
+    to ranges of their own by a hash of their text. An empty table gives no rows.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
@@ -167,7 +170,7 @@ def fingerprints_of_neighbours(docs: DataFrame, parts: int | None = None) -> Dat
         return pd.Series(np.searchsorted(limits, ids.to_numpy()).astype(np.int32))
 
     doc_id = F.col("doc_id").cast("long")  # without nulls, which would make doubles of a batch's ids
-    ranged = slim.withColumn("range", F.when(doc_id.isNull(), -1).otherwise(places(F.coalesce(doc_id, F.lit(0).cast("long")))))
+    ranged = slim.withColumn("range", F.when(doc_id.isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")).otherwise(places(F.coalesce(doc_id, F.lit(0).cast("long")))))
     tops = [(r["range"], r["top"]) for r in ranged.where("range >= 0").groupBy("range").agg(F.max(doc_id).alias("top")).orderBy("range").collect()]
     above = [(top, tops[(k + 1) % len(tops)][0]) for k, (_, top) in enumerate(tops)]
     guests = slim.join(F.broadcast(spark.createDataFrame(above, "top long, range int")), doc_id == F.col("top"))

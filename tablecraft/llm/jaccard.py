@@ -14,13 +14,11 @@ shingles those are changes the cost only, never the result.
 
 Equal sets are one class from the start. In each list the members are first held against one centre; links make
 components, and only lists that show several components go on. The number of common keys bounds the intersection from
-above, which rules out nearly all pairs before their sets are read; the rest is decided on the whole sets. Pairs of open
-lists of up to ``LONG_LIST`` members are scanned. Longer lists that share members are a group with one centre c, and its
-members are joined by their differences from c (``_by_differences``): sets link if the symmetric difference of their
-differences is small enough, and what most members share with c, or lack of it, makes no pair. Only sets near c are
-joined so; by the triangle inequality of the Jaccard distance sets beyond a core around c can do with another centre. So
-a group of thousands of near copies costs about its size and not its square, also where many of them are just too unlike
-to link.
+above, which rules out nearly all pairs before their sets are read; the rest is decided on the whole sets. Open lists
+are scanned for pairs where that costs less; lists of many sets that meet in many of them, that is, of near copies, are
+joined by their members' differences from a centre (``differences.py``): sets link if the symmetric difference of their
+differences is small enough, and what most members share with the centre, or lack of it, makes no pair. So a group of
+thousands of near copies costs about its size and not its square, also where many of them are just too unlike to link.
 
 Defined cases: null or empty texts, or texts of white space, have no shingles, link with nothing and are components of
 their own; fewer than five words are one shingle. Repeated rows are equal sets. Rows without doc_id, and different texts
@@ -37,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import differences
 from .components import components
+from .differences import open_lists, renamed, verified
 from .shared import dropped, staged
 from .words import U, mix, shingle_sets
 
@@ -49,12 +49,6 @@ PUT_LAST = 1_000_000
 LARGEST_BOUNDARY = 64
 #: Bits of the bitmap of wanted sets at most, which is broadcast: 8 MB.
 MOST_BITS = 1 << 26
-#: Open lists with more members are joined by differences. This changes the cost only, never the result.
-LONG_LIST = 32
-#: Percent of Jaccard distance from a centre up to which sets are compared by differences from it, and how often those
-#: beyond its core get another centre.
-BALL, BALL_ROUNDS = 50, 3
-_PER = (100 + PERCENT) // (100 - PERCENT)
 
 
 def least_common(n: int) -> int:
@@ -218,24 +212,6 @@ def _need(n: str, m: str, boundary: int, common: str) -> str:
     return f"{sizes} AND CASE WHEN greatest({n}, {m}) <= {boundary} THEN {pairs} ELSE {single} END"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. sets: (rep, tokens)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2), b.column(3)
-            good = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                p, q = (np.frombuffer(c[i].as_buffer(), U) for c in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good[i] = 100 * both >= PERCENT * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(good))
-
-    first = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
-    second = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def _bits(reps: DataFrame) -> tuple[np.ndarray, int]:
     """A bitmap of hashes of the reps, of ``MOST_BITS`` bits at most, made on executors by words of 64 bits."""
     n = 1 << 16
@@ -250,7 +226,7 @@ def _bits(reps: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, tokens) of the wanted rows (rep, each once). A broadcast bitmap of bounded size passes over most other rows
+    """(rep, content) of the wanted rows (rep, each once). A broadcast bitmap of bounded size passes over most other rows
     before their texts are read; a join takes out what it lets through, so its size changes the cost only."""
     bits, n = _bits(wanted)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -262,141 +238,12 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             maybe = (sent.value[(h % n) >> 6] >> (h & 63)) & 1
             b = b.filter(pa.array([bool(m) and r not in known and not known.add(r) for m, r in zip(maybe, b.column(0).to_pylist(), strict=True)], pa.bool_()))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(2))], pa.binary())], ["rep", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in shingle_sets(b.column(2))], pa.list_(pa.int64()))], ["rep", "content"])
 
-    rows = docs.select(row_key().alias("rep"), F.xxhash64(row_key()).alias("h"), "text").mapInArrow(run, "rep long, tokens binary")
+    rows = docs.select(row_key().alias("rep"), F.xxhash64(row_key()).alias("h"), "text").mapInArrow(run, "rep long, content array<long>")
     return rows.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
 
 
-def _open(entries: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of the lists, named by the columns ``by``, that show several components, with their list's ``length``."""
-    lists = entries.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi")
-    return entries.join(lists.select(*by, "length"), by)
-
-
-def _renamed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the ``component`` that ``links`` give their rep."""
-    named = components(links).withColumnRenamed("vertex", "rep")
-    return rows.drop("component").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (centre, rep, both's tokens): the sizes nc and n of both, the number m of shingles that only one of the two
-    has, and those shingles, which are left out where the set isn't in the ball."""
-    for b in batches:
-        out = []
-        for i in range(b.num_rows):
-            x, y = (np.frombuffer(b.column(c)[i].as_buffer(), U) for c in (2, 3))
-            d = np.setxor1d(x, y, assume_unique=True)
-            out.append((len(x), len(y), len(d), d.tobytes() if _in_ball(len(x), len(y), len(d)) else b""))
-        nc, n, m, d = zip(*out, strict=True) if out else ((),) * 4
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(v, pa.int64()) for v in (nc, n, m)], pa.array(d, pa.binary())], ["centre", "rep", "nc", "n", "m", "differ"])
-
-
-def _in_ball(nc, n, m):
-    """Sets of sizes n and nc that differ in m shingles have a Jaccard distance of BALL percent at most."""
-    return 200 * m <= BALL * (n + nc + m)
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (ball, rep, nc, n, m, close, token) for each shingle of a difference."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 100):
-            some = b.slice(lo, 100)
-            tokens = [np.frombuffer(v.as_buffer(), np.int64) for v in some.column(6)]
-            row = pa.array(np.repeat(np.arange(some.num_rows), [len(t) for t in tokens]))
-            yield pa.RecordBatch.from_arrays([*[some.column(c).take(row) for c in range(6)], pa.array(np.concatenate(tokens))], ["ball", "rep", "nc", "n", "m", "close", "token"])
-
-
-def _balls(lists: DataFrame, sets: DataFrame) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
-    """The differences (ball, rep, nc, n, m, close, differ) by which sets that share a list of ``lists`` (key, rep) can be
-    compared, the links (a, b) found on the way, and the staged tables that both read. sets: (rep, tokens)."""
-    out, links, held = [], [], []
-    for _ in range(BALL_ROUNDS):
-        sized = lists.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("first")).where("many > 1")
-        lists = staged(lists.join(sized, "key").select("key", "rep", "many", "first"), "ball-lists")
-        groups = components(lists.select(F.col("rep").alias("a"), F.col("first").alias("b"))).withColumnRenamed("vertex", "rep").withColumnRenamed("component", "group")
-        # the most typical set of a group, which is in the most and longest lists, is its centre
-        typical = lists.groupBy("rep").agg(F.sum("many").alias("weight")).join(groups, "rep")
-        centres = typical.groupBy("group").agg(F.max(F.struct("weight", "rep")).alias("c")).select("group", F.col("c.rep").alias("centre"))
-        beside = staged(groups.join(centres, "group").select("centre", "rep"), "ball-members")
-        both = beside.join(sets.select(F.col("rep").alias("centre"), F.col("tokens").alias("x")), "centre").join(sets, "rep").select("centre", "rep", "x", "tokens")
-        found = staged(both.mapInArrow(_differences, "centre long, rep long, nc long, n long, m long, differ binary"), "ball-differences")
-        held.append(found)
-        close = F.expr(f"{100 + PERCENT} * m <= {100 - PERCENT} * (n + nc)")
-        out.append(found.where(_in_ball(F.col("nc"), F.col("n"), F.col("m")) & (F.col("m") > 0)).select(F.col("centre").alias("ball"), "rep", "nc", "n", "m", close.alias("close"), "differ"))
-        links.append(found.where(close & (F.col("m") > 0)).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")))
-        # two sets that link are both in the ball, or both are beyond its core
-        rest = found.where(f"200 * m > {BALL - (100 - PERCENT)} * (n + nc + m)").select("rep")
-        left = staged(lists.select("key", "rep").join(rest, "rep"), "ball-rest")
-        dropped(lists, beside)
-        lists = left
-        held.append(lists)
-        if lists.isEmpty():
-            return out, _union(links), held
-    rest = lists.select("rep").distinct().join(sets, "rep")  # no centre is near them: their differences from nothing
-    size = F.expr("octet_length(tokens) div 8").cast("long")
-    out.append(rest.select(F.lit(0).cast("long").alias("ball"), "rep", F.lit(0).cast("long").alias("nc"), size.alias("n"), size.alias("m"), F.lit(False).alias("close"), F.col("tokens").alias("differ")))
-    return out, _union(links), held
-
-
-def _by_differences(docs: DataFrame, long: DataFrame, links: DataFrame) -> DataFrame:
-    """The links (a, b) beyond ``links`` that connect sets sharing one of the lists ``long`` (key, rep).
-
-    Sets x and y link if 9 m(x, y) <= |x| + |y| for the size m of their symmetric difference, which is that of their
-    differences X and Y from the centre c. Two sets that both link to c are connected anyway. If x doesn't, a linking y
-    has o = ceil((9 (|X| + |Y|) - |x| - |y|) / 18) >= 1 shingles of Y in common with X. In one order, here of how many
-    differences have a shingle, the first common one then has o - 1 others after it in either difference. Alone, each
-    side knows that o > (9 |Y| + |c| - |y|) / 18 if y links to c, and that o >= |X| - |x| / 4 if x doesn't. These first
-    shingles make lists of their own, in which members meet one centre first, the member nearest to c; only members that
-    are in different components after that are compared in pairs."""
-    sets = staged(_whole_sets(docs, staged(long.select("rep").distinct(), "long-reps")), "long-sets")
-    balls, found, held = _balls(long.select("key", "rep"), sets)
-    found = staged(found.distinct(), "ball-links")
-    links = links.unionByName(found)
-    differ = _union(balls).select("ball", "rep", "nc", "n", "m", "close", "differ")
-    rows = staged(differ.mapInArrow(_exploded, "ball long, rep long, nc long, n long, m long, close boolean, token long"), "difference-rows")
-
-    often = rows.groupBy("ball", "token").agg(F.count("*").alias("often")).where("often > 1")
-    # shingles of one difference only come first in the order and are in no list: the others' places follow their number
-    shared = rows.join(often, ["ball", "token"]).withColumn("shared", F.count("*").over(Window.partitionBy("ball", "rep")))
-    placed = shared.withColumn("place", F.col("m") - F.col("shared") + F.row_number().over(Window.partitionBy("ball", "rep").orderBy("often", "token")))
-    least = f"CASE WHEN close THEN greatest(1, floor(({_PER} * m + nc - n) / {2 * _PER}) + 1) ELSE greatest(1, m - n * {100 - PERCENT} div {PERCENT}) END"
-    entries = staged(placed.where(f"place + {least} <= m + 1").select("ball", "token", "rep", "n", "m", "close", "place"), "difference-entries")
-    dropped(rows, *held)
-    by = ["ball", "token"]
-
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        need = f"greatest(1, ceil(({_PER} * (m_x + m_y) - n_x - n_y) / {2 * _PER}))"
-        return x.join(y, by).where(f"component_x <> component_y and 100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y) and place_x + {need} <= m_x + 1 and place_y + {need} <= m_y + 1")
-
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "m", "close", "place")])
-
-    entries_1 = staged(_open(_renamed(entries, links), by).drop("length"), "open-entries")
-    dropped(entries)
-    centres = entries_1.groupBy(*by).agg(F.min(F.struct("m", "rep", "component", "n", "close", "place")).alias("c")).select(*by, "c.*")
-    stars = met(side(entries_1.where("not close"), "x"), side(centres, "y")).groupBy("rep_x", "rep_y").agg(F.count("*").alias("common"))
-    stars = stars.withColumn("_n", F.row_number().over(Window.partitionBy("rep_x").orderBy(F.desc("common"), "rep_y"))).where("_n <= 2")
-    stars = staged(stars.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "difference-stars")
-    found = staged(found.unionByName(_verified(stars, sets)), "difference-star-links")
-
-    entries_2 = staged(_open(_renamed(entries_1, links.unionByName(found)), by).drop("length"), "apart-entries")
-    dropped(entries_1)
-    pairs = met(side(entries_2.where("not close"), "x"), side(entries_2, "y")).where("close_y or rep_x < rep_y")
-    pairs = pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    out = staged(found.unionByName(_verified(staged(pairs, "long-pairs"), sets)).distinct(), "long-links")
-    dropped(entries_2, found, sets)
-    return out
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) of every row of docs, and the links (a, b) that were found between
     representatives of different sets, named by row_key; those connect all sets that are connected."""
@@ -433,16 +280,21 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _linked(docs, stars, "star")
 
     # then the members that lists show in different components
-    marked = staged(_open(_renamed(shared, links), ["key"]), "open-lists")
+    # two sets in different components have no more keys in common than either has in open lists
+    marked = open_lists(renamed(shared, links), ["key"]).withColumn("many", F.count("*").over(Window.partitionBy("rep")))
+    marked = staged(marked.select("key", "rep", "n", "component", "length", "many"), "open-lists")
     dropped(shared)
-    long = marked.where(F.col("length") > LONG_LIST)
-    if not long.isEmpty():
-        links = links.unionByName(_by_differences(docs, long, links))
-    marked = marked.where(F.col("length") <= LONG_LIST)
-    left, right = marked.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), marked.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    deep = staged(differences.deep_lists(marked), "deep-lists")
+    long = marked.join(deep, "key", "left_semi")
+    if not deep.isEmpty():
+        sets = staged(_whole_sets(docs, staged(long.select("rep").distinct(), "long-reps")), "long-sets")
+        links = links.unionByName(differences.links_of(long, sets, _itself, links, PERCENT))
+        dropped(sets)
+    short = marked.join(deep, "key", "left_anti")
+    left, right = (short.select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "many")]) for x in "ab")
     across = (
-        left.join(right, "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(_need("na", "nb", boundary, "common"))
+        left.join(right, "key").where("a < b and component_a <> component_b").where(_need("n_a", "n_b", boundary, "least(many_a, many_b)"))
+        .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common")).where(_need("n_a", "n_b", boundary, "common"))
     )
     across = staged(across.select("a", "b").join(stars, ["a", "b"], "left_anti"), "across")
     links = staged(links.unionByName(_linked(docs, across, "across")), "links")
@@ -457,10 +309,14 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _linked(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs that link, staged."""
     sets = staged(_whole_sets(docs, staged(_ends(pairs), f"{name}-ends")), f"{name}-sets")
-    out = staged(_verified(pairs, sets), f"{name}-links")
+    out = staged(verified(pairs, sets, _itself, PERCENT), f"{name}-links")
     dropped(sets)
     return out
 
 
+def _itself(content: Column) -> Column:
+    return content
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()

@@ -1,17 +1,21 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines are compared after lower-casing and with runs of white space as one blank. Their features are character shingles:
-the nine characters from every place on, and the whole line where it is shorter. Signatures are ``2 * BANDS`` minima of one 32-bit hash, each taken under another
-exclusive-or, and two neighbouring minima are a band, so that lines of likeness 0.8 meet with probability over 0.9997.
-Lines that meet are verified by the exact Jaccard likeness of their shingle sets, links make components by distributed
-union-find, and of each component the first line (least doc_id, then line number) is kept.
-
-Equal lines are one class from the start. In a band, members are first held against the band's first line; then only
-lines in different components are compared, so that a group of near copies costs its size and not its square.
-
-Defined cases: null or empty texts have no lines; blank lines are kept and belong to no class; rules of nine or more
-equal signs have the same shingle whatever their length; repeated rows repeat their lines, of which one is kept; rows
-without doc_id come last in order, and of equal lines with equal places one is kept.
+the ``WIDTH`` characters from every place on, or the whole line where it is shorter, hashed to 64 bits. Signatures are
+``2 * BANDS`` minima of one hash, each taken under another exclusive-or, and two neighbouring minima are a band: lines of
+likeness 0.8 meet with probability 1 - (1 - 0.64)**8 = 0.9997 if they have many shingles; of sets of 5 shingles 0.994 do,
+of 10 0.998. Lines that meet are verified by the exact Jaccard likeness of their shingle sets, links make components by
+distributed union-find, and of each component the first line (least doc_id, then line number) is kept.
+
+Equal lines are one class from the start. Shingles are hashed and reduced to minima in the task that reads the line; what
+is shuffled is one signature a line. In a band, members are first held against the band's first line; then only lines in
+different components are compared, in bands of many near copies by their differences from a centre (``differences.py``), so that a group
+of near copies costs its size and not its square.
+
+Defined cases: null or empty texts and empty tables have no lines; blank lines are kept and belong to no class; rules of
+``WIDTH`` or more equal signs have the same shingle whatever their length; repeated rows repeat their lines, of which one
+is kept; rows without doc_id come last in order, and of equal lines with equal places one is kept; other columns than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,49 +23,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import differences
 from .components import components
-from .shared import staged
+from .differences import open_lists, renamed, verified
+from .shared import dropped, staged
 
-BANDS, PERCENT = 8, 80
-#: Java also tries the place between the halves of a surrogate pair, which is not a character's.
-SHINGLE = r"(?s)(?![\uDC00-\uDFFF])(?=(.{9}|^.{1,8}(?!.)))"
+BANDS, PERCENT, WIDTH = 8, 80, 9
+#: Lines named in a broadcast at most (16 bytes each); beyond that they are joined by a shuffle.
+MOST_SENT = 500_000
 
 
 def _plain(raw: Column) -> Column:
-    """The form of a line that is compared."""
-    return F.trim(F.regexp_replace(F.lower(raw), r"\s+", " "))
+    """The form of a line that is compared. White space is replaced only where there is more of it than single blanks."""
+    odd = F.contains(raw, F.lit("  "))
+    for sign in "\t\r\f\v":
+        odd = odd | F.contains(raw, F.lit(sign))
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(raw, r"\s+", " ")).otherwise(raw)))
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, line_no, line, more) of every line that isn't blank; line is in the form that is compared."""
-    rows = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return rows.select("doc_id", "line_no", *more, _plain(F.col("raw")).alias("line")).where("line <> ''")
+    rows = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).where(F.col("raw").rlike(r"\S"))
+    return rows.select("doc_id", "line_no", *more, _plain(F.col("raw")).alias("line"))
 
 
 def _key(line: Column) -> Column:
-    return F.md5(line.cast("binary"))
+    """Two 64-bit hashes, which name a line."""
+    return F.struct(F.xxhash64(F.lit(1), line).alias("h"), F.xxhash64(F.lit(2), line).alias("l"))
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+def _hashes(line: Column) -> Column:
+    """The hashes of the shingles of a line, without repeats. Four bytes a character make places computable."""
+    def each(wide: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(wide) / 4 - WIDTH).cast("int"))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, 4 * WIDTH)))
 
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), each)))
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets have the likeness. texts: (key, line). Lines are carried, not their
-    sets, which have nine times their characters; the lambda's variable holds both sets, so each is made once a pair."""
-    x, y = texts.select(F.col("key").alias("a"), F.col("line").alias("x")), texts.select(F.col("key").alias("b"), F.col("line").alias("y"))
-    sets = F.array(F.struct(*[F.array_distinct(shingles(F.col(c))).alias(c) for c in "xy"]))
 
-    def alike(p: Column) -> Column:
-        return F.size(F.array_intersect(p["x"], p["y"])) * (100 + PERCENT) >= (F.size(p["x"]) + F.size(p["y"])) * PERCENT
-
-    return pairs.join(x, "a").join(y, "b").where(F.exists(sets, alike)).select("a", "b")
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h, l, n, m0 .. m15) of each distinct line of (line), named by ``_key``; n counts its shingles. A row for each shingle is made and aggregated within the task."""
+    wide = lines.select(_key(F.col("line")).alias("key"), F.encode("line", "UTF-32").alias("wide")).select("key.h", "key.l", "wide", (F.octet_length("wide") / 4 - WIDTH).cast("int").alias("last"))
+    each = wide.select("h", "l", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), "last"))).alias("i"))
+    each = each.select("h", "l", F.hash(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * WIDTH))).alias("x"))
+    spread = [((k * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF) - (1 << 31) for k in range(2 * BANDS)]
+    return each.groupBy("h", "l").agg(F.count("*").alias("n"), *[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(spread)])
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, line) of the lines in pairs, each once."""
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    return _lines(docs).select(_key(F.col("line")).alias("key"), "line").join(ends, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(rep, content) of the lines named by keys (rep, each once)."""
+    few = keys.count() <= MOST_SENT
+    named = _lines(docs).select("line", _key(F.col("line")).alias("rep"))
+    return named.join(F.broadcast(keys) if few else keys, "rep", "left_semi").groupBy("rep").agg(F.first("line").alias("content"))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -70,36 +83,48 @@ def duplicates(docs: DataFrame) -> DataFrame:
     return _marked(docs)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+
+
+def _links(docs: DataFrame) -> DataFrame:
+    """Links (a, b) between keys of lines that connect all lines that are connected."""
+    signed = signatures(_lines(docs).select("line"))
+    bands = signed.select("h", "l", "n", F.explode(F.array(*[F.xxhash64(F.lit(k), f"m{2 * k}", f"m{2 * k + 1}") for k in range(BANDS)])).alias("key"))
+    dealt = bands.repartition("key")
+    several = dealt.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
+    met = staged(dealt.join(several.hint("shuffle_hash"), "key").select("key", F.struct("h", "l").alias("rep"), "n"), "bands")
+
+    centres = met.groupBy("key").agg(F.min("rep").alias("centre"))
+    stars = staged(met.join(centres, "key").where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "line-stars")
+    ends = staged(_ends(stars), "line-ends")
+    texts = staged(_texts(docs, ends), "line-texts")
+    links = staged(verified(stars, texts, _hashes, PERCENT), "line-links")
+
+    marked = staged(open_lists(renamed(met, links), ["key"]).where("length > 2"), "open-bands")
+    dropped(met, ends)
+    deep = staged(differences.deep_lists(marked), "deep-bands")
+    long = marked.join(deep, "key", "left_semi")
+    if not deep.isEmpty():
+        some = staged(texts.join(long.select("rep").distinct(), "rep"), "long-texts")
+        links = links.unionByName(differences.links_of(long, some, _hashes, links, PERCENT))
+        dropped(some)
+    short = marked.join(deep, "key", "left_anti")
+    left, right = short.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), short.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
+    across = staged(left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "lines-across")
+    links = staged(links.unionByName(verified(across, texts, _hashes, PERCENT)), "all-line-links")
+    dropped(stars, texts, across)
+    return links
+
+
 def _marked(docs: DataFrame, *more: str) -> DataFrame:
     """As ``duplicates``, with the columns ``more``, which also order equal lines with equal places."""
     lines = staged(_lines(docs, *more).select("doc_id", "line_no", *more, _key(F.col("line")).alias("key")), "lines")
     at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
     classes = staged(lines.groupBy("key").agg(F.min(at).alias("first")), "line-classes")
-
-    # the key is made in a select of its own: beside explode it would be made again for every shingle of the line
-    each = _lines(docs).select(_key(F.col("line")).alias("key"), "line").select("key", F.explode(shingles(F.col("line"))).alias("shingle")).select("key", F.hash("shingle").alias("h"))
-    spread = [((k * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF) - (1 << 31) for k in range(2 * BANDS)]
-    signed = each.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(spread)])
-    bands = signed.select(F.xxhash64("key").alias("short"), "key", F.explode(F.array(*[F.xxhash64(F.lit(k), f"m{2 * k}", f"m{2 * k + 1}") for k in range(BANDS)])).alias("band"))
-    whole = Window.partitionBy("band")
-    met = bands.select("band", "key").withColumn("centre", F.min("key").over(whole)).withColumn("last", F.max("key").over(whole)).where("centre < last")
-    met = staged(met.select("band", "key", "centre"), "bands")
-
-    stars = met.where("key > centre").groupBy(F.col("key").alias("b"), F.col("centre").alias("a")).agg(F.count("*").alias("common"))
-    stars = staged(stars.select("a", "b"), "line-stars")
-    texts = staged(_texts(docs, stars), "line-texts")
-    links = staged(_verified(stars, texts), "line-links")
-
-    named = staged(components(links), "line-components").withColumnRenamed("vertex", "key")
-    marked = met.join(named, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
-    open_bands = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("band")
-    marked = staged(marked.join(open_bands, "band", "left_semi"), "open-bands")
-    left, right = marked.select("band", F.col("key").alias("a"), F.col("component").alias("ca")), marked.select("band", F.col("key").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = staged(links.unionByName(_verified(staged(across, "lines-across"), texts)), "all-line-links")
-
-    groups = components(links).withColumnRenamed("vertex", "key")
-    ranked = classes.join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
+    groups = components(_links(docs)).withColumnRenamed("vertex", "key")
+    ranked = staged(classes.join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component")), "ranked-lines")
+    dropped(classes)
     heads = ranked.groupBy("component").agg(F.min("first").alias("head"))
     ranked = ranked.join(heads, "component").select("key", "head")
     out = lines.join(ranked, "key").withColumn("same", F.row_number().over(Window.partitionBy("key", "doc_id", "line_no").orderBy("line_no", *more)))
@@ -110,7 +135,7 @@ def _marked(docs: DataFrame, *more: str) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of every row of docs, without the lines that are dropped; a row whose lines all go has an empty
     text. Of repeated rows one keeps its lines. Rows are told apart by doc_id and text, and copies are counted."""
-    row = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), _key(F.col("text")))
+    row = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.md5(F.col("text").cast("binary")))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row)
     rows = staged(rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "line-rows")
     drop = _marked(rows, "row").where("not keep").select("row", "line_no")

@@ -6,6 +6,11 @@ From these come the expected grade and the tail probabilities P(grade >= k), by
 Features are hashed into ``SIZE`` slots in four families: words, the last three bytes of a word, the shape of its first
 bytes (letters, digits, signs), and whether a word repeats the one before it. Each family is the square root of its
 relative frequencies, so that a text's length doesn't count.
+
+Defined cases: a null or empty text has no features and takes the thresholds' own probabilities, and so has any text
+where labels have one grade only or none; repeated rows and equal texts have equal scores; a text on the limit is kept;
+an empty table gives no rows; ``keep`` returns all columns of documents, whatever their names, and ``score`` reads no
+other than doc_id and text.
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .samples import SAMPLE_ROWS, sampled_labels
+from .samples import SAMPLE_BYTES, SAMPLE_ROWS, sampled_texts
+from .shared import filtered
 from .words import SAME, Hasher, U, chunks, spans
 
 SIZE = 1 << 15
@@ -110,41 +116,47 @@ def grade() -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 1).when(F.col("quality") == 1, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, rating: Column | None = None, grades: int = 3, bound: int = SAMPLE_ROWS) -> CumulativeLink:
-    """Fit on at most ``bound`` graded documents; ``rating`` is a column of labels, 0 .. grades - 1."""
-    ids, y = sampled_labels(labels, grade() if rating is None else rating, bound)
+def train(docs: DataFrame, labels: DataFrame, rating: Column | None = None, grades: int = 3, bound: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> CumulativeLink:
+    """Fit on at most ``bound`` graded documents with ``size`` bytes of text; ``rating`` is a column of labels, 0 ..
+    grades - 1."""
+    some = sampled_texts(docs, labels, (grade() if rating is None else rating).cast("int"), bound, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(np.isin(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
-            for lo, hi, buf, off in chunks(b.column(1)):
+            for lo, hi, buf, off in chunks(b.column(2)):
                 row, slot, value = features(buf, off)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
                 cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), cut(slot.astype(np.uint16)), cut(value.astype(np.float32))], ["doc_id", "slots", "shares"])
+                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(lo, hi - lo) for k in range(2)], cut(slot.astype(np.uint16)), cut(value.astype(np.float32))], ["doc_id", "grade", "slots", "shares"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, slots binary, shares binary").toPandas()
-    rows = rows.sort_values(["doc_id", "slots", "shares"], kind="stable").drop_duplicates("doc_id")
+    rows = some.select(F.col("doc_id").cast("long"), "grade", "text").mapInArrow(run, "doc_id long, grade int, slots binary, shares binary").toPandas().sort_values("doc_id", kind="stable")
     slots = [np.frombuffer(x, np.uint16) for x in rows["slots"]]
-    y = y[np.searchsorted(ids, rows["doc_id"].to_numpy(np.int64))] if len(rows) else np.zeros(0, np.int64)
+    y = rows["grade"].to_numpy(np.int64)
     if not slots:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), y, grades)
     row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
     return fit(row, np.concatenate(slots).astype(np.int64), np.concatenate([np.frombuffer(x, np.float32) for x in rows["shares"]]).astype(float), y, grades)
 
 
-def score(docs: DataFrame, model: CumulativeLink, keep_at: float = KEEP_AT, carry: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, expected_grade, tails, keep): a narrow map, the model (SIZE weights) is broadcast.
-    With ``carry`` the rows of documents come along, so that a filter needs no join."""
+def score(docs: DataFrame, model: CumulativeLink, keep_at: float = KEEP_AT) -> DataFrame:
+    """(doc_id, expected_grade, tails, keep) of every row: a narrow map, the model (SIZE weights) is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    cols = docs.columns if carry else ["doc_id"]
-    at = len(cols)
-    base = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = sent.value.tails(b.column(at))
+            t = sent.value.tails(b.column(1))
             tails = pa.FixedSizeListArray.from_arrays(pa.array(t.ravel()), t.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(t.sum(axis=1)), tails, pa.array(t[:, 0] >= keep_at)], [*cols, "_expected_grade", "_tails", "_keep"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t.sum(axis=1)), tails, pa.array(t[:, 0] >= keep_at)], ["doc_id", "expected_grade", "tails", "keep"])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, expected_grade double, tails array<double>, keep boolean")
+
+
+def keep(docs: DataFrame, model: CumulativeLink, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs, with all their columns, that reach grade 1 with a probability of ``keep_at`` at least."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def stays(text: pa.Array) -> np.ndarray:
+        return sent.value.tails(text)[:, 0] >= keep_at
 
-    return docs.select(*[F.col(f"`{c}`") for c in cols], F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, f"{base}, _expected_grade double, _tails array<double>, _keep boolean")
+    return filtered(docs, stays)

@@ -33,9 +33,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, expected_grade, p_grade_1, p_grade_2, keep) of every document."""
     docs = read(spark, sf_dir, "documents")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).select(
-        "doc_id", F.col("_expected_grade").alias("expected_grade"), F.col("_tails")[0].alias("p_grade_1"), F.col("_tails")[1].alias("p_grade_2"), F.col("_keep").alias("keep")
-    )
+    return quality.score(docs, model).select("doc_id", "expected_grade", F.col("tails")[0].alias("p_grade_1"), F.col("tails")[1].alias("p_grade_2"), "keep")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql()}
+    return {"op2_mixing": mixing.oracle_sql(), "op6_license_scan": licenses.oracle_sql()}

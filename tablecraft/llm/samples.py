@@ -1,28 +1,43 @@
-"""Bounded samples of labelled rows for fitting classifiers.
+"""Bounded samples of labelled documents for fitting classifiers.
 
-A classifier is fitted on ``bound`` labelled documents at most, chosen by a hash of doc_id, so that every run takes the
-same ones; scoring covers every row. Only the features of the sample go to the driver, never texts.
+A classifier is fitted on ``SAMPLE_ROWS`` labelled documents with ``SAMPLE_BYTES`` of text at most, chosen by a hash of
+doc_id, so that every run takes the same ones; scoring covers every row. Documents are picked out by a join in the JVM,
+and only the features of the sample go to the driver, never texts.
+
+Defined cases: labels without doc_id or grade are left out; of several labels of one document the greatest holds, and of
+several texts of one doc_id, or repeated rows, the least text; labels without a document count for nothing.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that a classifier is fitted on at most.
-SAMPLE_ROWS = 12_000
+from .shared import staged
+
+#: Labelled documents that a classifier is fitted on at most, and bytes of their text.
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 96 << 20
 
 
 def order_of(key: str = "doc_id", seed: int = 17) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 31))
 
 
-def sampled_labels(labels: DataFrame, grade: Column, bound: int = SAMPLE_ROWS, key: str = "doc_id", seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, grades) of about ``bound`` labelled documents, sorted by id. Rows without id or grade are left out; of
-    several labels of one document the greatest holds. Rows are chosen by a threshold on their hash."""
-    graded = labels.select(F.col(key), grade.alias("grade")).where(F.col(key).isNotNull() & F.col("grade").isNotNull()).groupBy(key).agg(F.max("grade").alias("grade"))
+def sampled_labels(labels: DataFrame, grade: Column, rows: int = SAMPLE_ROWS, seed: int = 17) -> DataFrame:
+    """(doc_id, grade) of about ``rows`` labelled documents. They are chosen by a threshold on their hash."""
+    graded = labels.select("doc_id", grade.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     n = graded.count()
-    cut = (1 << 31) if n <= bound else int((1 << 31) * 0.97 * bound / n)
-    rows = graded.where(order_of(key, seed) < cut).orderBy(order_of(key, seed), key).limit(bound).toPandas().sort_values(key)
-    return rows[key].to_numpy(np.int64), rows["grade"].to_numpy(np.int64)
+    cut = (1 << 31) if n <= rows else int((1 << 31) * 0.97 * rows / n)
+    return graded.where(order_of(seed=seed) < cut).orderBy(order_of(seed=seed), "doc_id").limit(rows)
+
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, grade: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, seed: int = 17) -> DataFrame:
+    """(doc_id, grade, text) of the sampled documents, ordered by nothing. The labels that are broadcast are ``rows`` at
+    most, and so is what the window orders."""
+    some = F.broadcast(sampled_labels(labels, grade, rows, seed))
+    found = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "grade").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = staged(found, "labelled")
+    sizes = found.select(F.col("doc_id"), F.octet_length("text").cast("long").alias("size"))
+    before = Window.orderBy(order_of(seed=seed), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = sizes.withColumn("sum", F.sum("size").over(before)).where(F.col("sum") <= size).select("doc_id")
+    return found.join(F.broadcast(within), "doc_id")

@@ -12,8 +12,11 @@ levels, each on a bounded number of items:
 
 Only digests and sums move, never texts. Documents of large groups get their shard by a broadcast of the large groups,
 whose number is bounded; all others by a join on the digest, in which no key is hot. Places in a shard are counted by
-blocks. A null text counts as an empty one. Repeated rows are documents of their own and share a group. An empty table
-gives no rows.
+blocks.
+
+Defined cases: a null text counts as an empty one; repeated rows are documents of their own and share a group, as do all
+rows of equal text, with or without doc_id; of equal sizes the least digest comes first; an empty table gives no rows;
+other columns than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered, staged
+from .shared import dropped, numbered, staged
 
 SHARDS, LARGE, BUCKET, PARCELS, TOP = 16, 4096, 20_000, 64, 40_000
 
@@ -112,8 +115,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, large: int = LARGE) -> DataFram
     cold = marked.where("_hot is null").drop("_hot").join(rest, "item").withColumnRenamed("_cold", "shard")
     hot = marked.where("_hot is not null").withColumnRenamed("_hot", "shard")
     columns = ["doc_id", "size", "text_crc32", "item", "shard"]
-    both = cold.select(columns).unionByName(hot.select(columns)).withColumn("block", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 3))
-    return numbered(staged(both, "sharded"), "shard", "block", ["doc_id", "item"]).select(
+    both = cold.select(columns).unionByName(hot.select(columns)).withColumn("block", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "item").cast("binary")), 1, 3))
+    both = staged(both, "sharded")
+    dropped(slim, groups, placed)
+    return numbered(both, "shard", "block", ["doc_id", "item"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

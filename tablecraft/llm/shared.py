@@ -1,19 +1,26 @@
-"""Tables between steps, kept in the folder that the cluster shares, and row numbers without a global window."""
+"""Tables between steps, kept in the folder that the cluster shares, filters on whole rows, and row numbers without a
+global window."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder is made only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. A local folder is made where it is unset and all tasks run in this
+    process, as in tests; on a cluster executors could not see it, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +45,22 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that helper columns beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def filtered(docs: DataFrame, stays: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs whose texts ``stays`` marks, batch by batch; a null text is given as an empty one."""
+    both = docs.select(whole(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["row"]).filter(pa.array(stays(b.column(1))))
+
+    return both.mapInArrow(run, both.select("row").schema).select("row.*")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

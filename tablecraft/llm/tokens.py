@@ -7,6 +7,10 @@ a pair are done and leave. What remains is counted; a symbol outside the vocabul
 The library merges one pair after another. Merging all occurrences at once gives the same result unless a merge makes a
 pair of the same or a lower rank, which has to come before the rest; where that happens, the sequence merges only its
 leftmost occurrence in that round. Vocabulary files are read from a path that is a parameter.
+
+Defined cases: a null or empty text has no bytes and no tokens; rows without doc_id, repeated rows and equal texts are
+counted each; texts of any length are counted whole; an empty table gives no rows; other columns than doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations

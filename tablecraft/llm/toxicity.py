@@ -1,11 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the distinct lower-cased words of a text and their beginnings of 4, 5 and 6 bytes, each as a 64-bit hash. On
-a bounded sample of labelled rows, terms are kept whose share differs between the classes beyond chance; the rest can't
-add noise to long texts. The machine adds to the weights of the terms an inner product for every two terms that meet in
-a text (Rendle 2010), so that a pair can count when neither of its terms does.
+a bounded sample of labelled rows (``samples.py``), terms are kept whose share differs between the classes beyond chance,
+alone or in company: of the ``PAIRED`` most frequent terms, every two are kept whose meeting in a text does. The rest
+can't add noise to long texts. The machine adds to the weights of the kept terms an inner product for every two of them
+that meet in a text (Rendle 2010), so that a pair can count when neither of its terms does.
 
-Scores read the text only; labels serve the fit, ids choose the fold. An empty or null text has the score of the bias.
+Scores read the text only; labels serve the fit, ids choose the fold.
+
+Defined cases: an empty or null text has the score of the bias, and so has any text where labels have one class only or
+none; rows without doc_id aren't held out; repeated rows and equal texts have equal scores; an empty table gives no rows;
+other columns of documents are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .samples import SAMPLE_ROWS, sampled_labels
+from .samples import SAMPLE_BYTES, SAMPLE_ROWS, sampled_texts
 from .words import NOT_WORD, Hasher, U, chunks, spans
 
 #: Terms of the model at most, and its rank.
 TERMS, RANK = 30_000, 4
+#: A term is kept with so many rows and so many standard deviations; frequent terms that are tried in pairs, and theirs.
+LEAST_ROWS, APART, PAIRED, PAIR_APART = 4, 3.5, 1024, 6.0
 THRESHOLD = 0.3
 _PREFIXES = (4, 5, 6)
 
@@ -77,6 +84,30 @@ class FactorizationMachine:
         return np.concatenate(out)
 
 
+def _apart(have: np.ndarray, have_pos: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """How far the positive rows among ``have`` of n rows are from their share, in standard deviations."""
+    share = have / n
+    return (have_pos - pos * share) / np.sqrt(pos * share * (1 - pos / n) + 1e-9)
+
+
+def _paired(row: np.ndarray, at: np.ndarray, y: np.ndarray, tried: np.ndarray, n_keys: int) -> np.ndarray:
+    """Which of the terms ``tried`` meet another one in rows of which more or fewer are positive than both alone tell."""
+    place = np.full(n_keys, -1)
+    place[tried] = np.arange(len(tried))
+    p = place[at]
+    x = np.zeros((len(y), len(tried)), np.float32)
+    x[row[p >= 0], p[p >= 0]] = 1
+    n, pos = len(y), int(y.sum())
+    both, both_pos = x.T @ x, x[y == 1].T @ x[y == 1]
+    have, have_pos = np.diag(both), np.diag(both_pos)
+    rate = have_pos / np.maximum(have, 1) / (pos / n)
+    wanted = both * np.clip(pos / n * np.outer(rate, rate), 0, 1)  # positive rows if the terms count one by one
+    z = np.abs(both_pos - wanted) / np.sqrt(wanted * (1 - np.minimum(wanted / np.maximum(both, 1), 0.99)) + 0.5)
+    z[both < LEAST_ROWS] = 0
+    np.fill_diagonal(z, 0)
+    return (z >= PAIR_APART).any(axis=1)
+
+
 def fit(row: np.ndarray, h: np.ndarray, y: np.ndarray, n_terms: int = TERMS, rank: int = RANK, epochs: int = 12, seed: int = 5) -> FactorizationMachine:
     """Fit on distinct (row, term hash) of rows with labels y by AdaGrad in small batches; row is sorted."""
     n, pos = len(y), int(y.sum())
@@ -86,9 +117,12 @@ def fit(row: np.ndarray, h: np.ndarray, y: np.ndarray, n_terms: int = TERMS, ran
     keys, at = np.unique(h, return_inverse=True)
     have = np.bincount(at)
     have_pos = np.bincount(at, y[row], len(keys))
-    share = have / n
-    z = (have_pos - pos * share) / np.sqrt(pos * share * (1 - pos / n) + 1e-9)
-    good = np.flatnonzero((have >= 4) & (np.abs(z) >= 3.5))
+    z = _apart(have, have_pos, n, pos)
+    good = (have >= LEAST_ROWS) & (np.abs(z) >= APART)
+    tried = np.sort(np.argsort(-np.where(have <= 0.9 * n, have, 0), kind="stable")[:PAIRED])
+    tried = tried[have[tried] >= LEAST_ROWS]
+    good[tried[_paired(row, at, y, tried, len(keys))]] = True
+    good = np.flatnonzero(good)
     if len(good) > n_terms:
         good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:n_terms]])
     new = np.full(len(keys), -1)
@@ -132,28 +166,25 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, n_terms: int = TERMS, rank: int = RANK) -> FactorizationMachine:
-    """Fit on at most ``bound`` labelled documents outside the held-out fold."""
-    ids, y = sampled_labels(labels.where(~held_out()), F.col("toxic").cast("int"), bound)
+def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, n_terms: int = TERMS, rank: int = RANK) -> FactorizationMachine:
+    """Fit on at most ``bound`` labelled documents with ``size`` bytes of text outside the held-out fold."""
+    some = sampled_texts(docs, labels.where(~held_out()), F.col("toxic").cast("int"), bound, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(np.isin(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
-            for lo, hi, buf, off in chunks(b.column(1)):
+            for lo, hi, buf, off in chunks(b.column(2)):
                 row, h = terms(buf, off)
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
                 first = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(row) else np.zeros(0, bool)
                 row, h = row[first], h[first]
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([h[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "terms"])
+                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(lo, hi - lo) for k in range(2)], pa.array([h[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "grade", "terms"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, terms binary").toPandas()
-    rows = rows.sort_values(["doc_id", "terms"], kind="stable").drop_duplicates("doc_id")
+    rows = some.select(F.col("doc_id").cast("long"), "grade", "text").mapInArrow(run, "doc_id long, grade int, terms binary").toPandas().sort_values("doc_id", kind="stable")
     found = [np.frombuffer(x, U) for x in rows["terms"]]
-    y = y[np.searchsorted(ids, rows["doc_id"].to_numpy(np.int64))] if len(rows) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(found)), [len(x) for x in found]) if found else np.zeros(0, np.int64)
-    return fit(row, np.concatenate(found) if found else np.zeros(0, U), y, n_terms, rank)
+    return fit(row, np.concatenate(found) if found else np.zeros(0, U), rows["grade"].to_numpy(np.int64), n_terms, rank)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:

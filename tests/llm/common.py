@@ -7,7 +7,9 @@ from itertools import combinations
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = "size long, key string, block string, item string, shard int, n long, token long, component long, _keep boolean, score double"
+#: Columns of the user that are named as helper columns of the operators are.
+EXTRA = "size long, key string, block string, item string, shard int, n long, token long, component long, _keep boolean, score double, row string, rep string, copies string, _whole string, _copy string, _key string, grade string, a string, keep string, place string, guest string, `range` string"
+_EXTRA_VALUES = (5, "k", "b", "i", 3, 7, 9, 11, False, 0.5, "r", "p", "c", "w", "y", "z", "g", "a", "e", "l", "u", "q")
 LONG = " ".join(f"word{i % 997}x{i}" for i in range(30_000))
 ROWS = [
     (1, "the quick brown fox jumps over the lazy dog near the old river bank today", "en", "web"),
@@ -29,7 +31,7 @@ ROWS = [
 
 def messy(spark, rows=None):
     rows = ROWS if rows is None else rows
-    full = [(i, t, lang, s, None if t is None else len(t), 5, "k", "b", "i", 3, 7, 9, 11, False, 0.5) for i, t, lang, s in rows]
+    full = [(i, t, lang, s, None if t is None else len(t), *_EXTRA_VALUES) for i, t, lang, s in rows]
     return spark.createDataFrame(full, f"{COLUMNS}, {EXTRA}")
 
 

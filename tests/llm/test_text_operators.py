@@ -10,12 +10,14 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import COLUMNS, DATA, EXTRA, LONG, ROWS, joined, messy, shingles, words
 from pyspark.sql import functions as F
 
-from tablecraft.llm import decontamination, fingerprints, jaccard, licenses, lines, mixing, quality, queries, sharding, tokens, toxicity
+from tablecraft.llm import decontamination, differences, fingerprints, jaccard, licenses, lines, mixing, quality, queries, samples, sharding, tokens, toxicity
 from tablecraft.llm.shared import read
+from tablecraft.llm.words import chunks, word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -89,10 +91,10 @@ def test_densification_fills_every_bin():
 # 2 mixing
 
 
-def by_sql(table_sql, table):
+def by_sql(table_sql, table, sql=None):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {table} AS {table_sql}")
-    return con.execute(mixing.oracle_sql())
+    return con.execute(mixing.oracle_sql() if sql is None else sql)
 
 
 def test_mixing(spark):
@@ -106,8 +108,8 @@ def test_mixing(spark):
         taken[r["source"]] += r["taken"]
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     assert sum(target.values()) == pytest.approx(1.5 * sum(r["size"] for r in out))
-    # a source can be off by about its largest document, which is taken once more or once less
-    assert {s: (n, target[s]) for s, n in taken.items() if abs(n - target[s]) > 1.2 * largest[s]} == {}
+    # a document is taken whole: a source can be off by half of its largest one, and by 5% else
+    assert {s: (n, target[s], largest[s]) for s, n in taken.items() if abs(n - target[s]) > max(0.05 * target[s], 0.5 * largest[s])} == {}
     assert sorted(map(tuple, queries.op2_mixing(spark, DATA).collect())) == sorted(map(tuple, out))
 
 
@@ -146,6 +148,49 @@ def test_factors_learn_a_pair_that_weights_miss():
     assert z[2] > 0 > max(z[0], z[1], z[3])
 
 
+def test_pairs_of_terms_that_are_balanced_one_by_one():
+    """The label holds if one of two terms is there without the other; among terms that say nothing."""
+    rng = np.random.default_rng(1)
+    x = rng.random((4000, 60)) < 0.5
+    y = (x[:, 0] ^ x[:, 1]).astype(int)
+    row, term = np.nonzero(x)
+    m = toxicity.fit(row, term.astype(np.uint64) + np.uint64(100), y, epochs=40)
+    assert {100, 101} <= set(m.keys.tolist()) and len(m.keys) < 10
+    z = m.logits(*m.find(row, term.astype(np.uint64) + np.uint64(100)), len(y))
+    assert np.mean((z > 0) == (y == 1)) > 0.97
+
+
+def test_scores_by_their_formulas(spark, rows):
+    """A model's score of each text, worked out term by term and by slots, against what the operators return."""
+    labels = read(spark, DATA, "labels")
+    d = read(spark, DATA, "documents")
+    m = toxicity.train(d, labels)
+    number = {int(h): k for k, h in enumerate(m.keys)}
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(d, m).collect()}
+    for r in rows[:60]:
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        has = sorted({number[int(h)] for h in toxicity.terms(raw, np.array([0, len(raw)]))[1] if int(h) in number})
+        z = m.bias + sum(m.weight[k] for k in has) + sum(m.factor[i] @ m.factor[j] for at, i in enumerate(has) for j in has[at + 1 :])
+        assert found[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+    q = quality.train(d, labels)
+    graded = {r["doc_id"]: r for r in quality.score(d, q).collect()}
+    for r in rows[:60]:
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        z = sum(v * q.weight[s] for _, s, v in zip(*quality.features(raw, np.array([0, len(raw)])), strict=True))
+        tails = [1 / (1 + np.exp(np.clip(c - z, -30, 30))) for c in q.cuts]
+        assert graded[r["doc_id"]]["tails"] == pytest.approx(tails, abs=1e-9)
+        assert graded[r["doc_id"]]["expected_grade"] == pytest.approx(sum(tails)) and graded[r["doc_id"]]["keep"] == (tails[0] >= quality.KEEP_AT)
+
+
+def test_samples_are_bounded(spark):
+    labels = read(spark, DATA, "labels")
+    d = read(spark, DATA, "documents")
+    some = samples.sampled_texts(d, labels, F.col("toxic"), 30, 20_000).collect()
+    assert 0 < len(some) <= 30 and sum(len(r["text"].encode()) for r in some) <= 20_000
+    again = samples.sampled_texts(d.unionByName(d), labels.unionByName(labels), F.col("toxic"), 30, 20_000).collect()
+    assert sorted(again) == sorted(some)
+
+
 def test_quality_on_unseen_documents(spark):
     sf = DATA.replace("0.001", "0.01")
     d, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
@@ -153,8 +198,8 @@ def test_quality_on_unseen_documents(spark):
     assert (np.diff(model.cuts) > 0).all()
     truth = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 4 = 1").collect()}
     out = [r for r in quality.score(d, model).collect() if r["doc_id"] in truth]
-    assert np.mean([r["_keep"] == bool(truth[r["doc_id"]]) for r in out]) > 0.9
-    assert all(r["_tails"][0] >= r["_tails"][1] and abs(sum(r["_tails"]) - r["_expected_grade"]) < 1e-9 for r in out)
+    assert np.mean([r["keep"] == bool(truth[r["doc_id"]]) for r in out]) > 0.9
+    assert all(r["tails"][0] >= r["tails"][1] and abs(sum(r["tails"]) - r["expected_grade"]) < 1e-9 for r in out)
 
 
 def test_classifiers_on_messy_rows(spark):
@@ -165,8 +210,8 @@ def test_classifiers_on_messy_rows(spark):
             assert quality.score(d, quality.train(d, some)).count() == n
     texts = toxicity.score(messy(spark), toxicity.train(messy(spark), labels)).where("doc_id in (3, 4)").collect()
     assert len({r["score"] for r in texts}) == 1
-    carried = quality.score(messy(spark).drop("_keep"), quality.train(messy(spark), labels), carry=True)
-    assert set(messy(spark).drop("_keep").columns) <= set(carried.columns) and carried.count() == len(ROWS)
+    kept = quality.keep(messy(spark), quality.train(messy(spark), labels), keep_at=0.0)
+    assert kept.dtypes == messy(spark).dtypes and kept.count() == len(ROWS)
 
 
 # 4 line dedup
@@ -181,7 +226,7 @@ def line_classes(texts):
             if line:
                 places[line].append((i, n))
     number = {line: k for k, line in enumerate(sorted(places))}
-    sets = {number[line]: set(re.findall(lines_pattern(), line)) for line in places}
+    sets = {number[line]: character_shingles(line) for line in places}
     top = joined(sets)
     heads = defaultdict(list)
     for line, at in places.items():
@@ -189,9 +234,8 @@ def line_classes(texts):
     return {p: min(heads[top[number[line]]]) for line, at in places.items() for p in at}
 
 
-def lines_pattern():
-    """The operator's feature pattern with Java's class of ASCII signs spelt out for Python."""
-    return lines.SHINGLE.replace(r"\p{Punct}", re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+def character_shingles(line):
+    return {line[k : k + 9] for k in range(max(1, len(line) - 8))}
 
 
 def test_line_dedup(spark):
@@ -225,9 +269,50 @@ def test_line_dedup_messy_rows(spark):
 
 
 def test_line_shingles_begin_at_every_character(spark):
-    texts = ["characterise", "a", "12345678", "123456789", "government regulation of telecommunications", "----------", "ab😀cd你好😀😀efghij", "x\u2028y" * 5]
-    found = spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.shingles(F.col("line")).alias("s")).collect()
-    assert {r["line"]: r["s"] for r in found} == {t: [t[i : i + 9] for i in range(max(1, len(t) - 8))] for t in texts}
+    texts = ["characterise", "a", "12345678", "123456789", "government regulation of telecommunications", "----------", "ab😀cd你好😀😀efghij", "x\u2028y" * 5, "aaaaaaaaaaaaaaaaaab"]
+    grams = sorted({g for t in texts for g in character_shingles(t)})
+    known = spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.xxhash64(F.encode("g", "UTF-32")).alias("h")).collect()
+    name = {r["h"]: r["g"] for r in known}
+    found = spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines._hashes(F.col("line")).alias("s")).collect()
+    assert {r["line"]: {name[h] for h in r["s"]} for r in found} == {t: character_shingles(t) for t in texts}
+    assert all(len(r["s"]) == len(set(r["s"])) for r in found)
+
+
+def test_line_signatures_meet_at_every_size(spark):
+    """Pairs of lines of likeness 0.8 and just above, by the size of their sets; lines of words would share more."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = []
+    for n in (5, 10, 20, 50):
+        for _ in range(300):
+            body = "".join(rng.choice(letters) for _ in range(n + 8))
+            more = body + "".join(rng.choice(letters) for _ in range(n // 4))
+            pairs.append((n, body, more))
+    sign = lines.signatures(spark.createDataFrame([(t,) for p in pairs for t in p[1:]], "line string"))
+    text = spark.createDataFrame([(t,) for p in pairs for t in p[1:]], "line string").select("line", lines._key(F.col("line")).alias("k")).select("line", "k.h", "k.l")
+    minima = {r["line"]: [r[f"m{k}"] for k in range(2 * lines.BANDS)] for r in text.join(sign, ["h", "l"]).collect()}
+    meet = defaultdict(list)
+    for n, x, y in pairs:
+        a, b = minima[x], minima[y]
+        meet[n].append(any(a[2 * k : 2 * k + 2] == b[2 * k : 2 * k + 2] for k in range(lines.BANDS)))
+        assert len(character_shingles(x) & character_shingles(y)) / len(character_shingles(x) | character_shingles(y)) >= 0.8
+    assert all(np.mean(m) >= 0.99 for m in meet.values()), {n: np.mean(m) for n, m in meet.items()}
+
+
+def test_lines_of_a_large_group(spark, monkeypatch):
+    """One line in many versions, some just too far from most others, in bands that differences join."""
+    monkeypatch.setattr(differences, "LONG_LIST", 4)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(40)]
+    texts = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 4])):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(400)}"
+        texts.append((i, " ".join(t)))
+    found = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"]) for r in lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = line_classes(texts)
+    assert sum(found[p] == want[p] for p in want) >= 0.99 * len(want)
 
 
 def test_line_dedup_by_every_character(spark):
@@ -256,19 +341,44 @@ def test_line_dedup_returns_every_row(spark):
 
 
 def contained(text, notice):
-    """The best share of the template's pairs of words in any stretch of a window's length, begun anywhere."""
+    """The best share of the template's pairs of words in any of the windows, and the first word of the first such one."""
     split = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
     t, w = split(notice), split(text)
-    want = set(zip(t, t[1:], strict=False))
-    p, wide = list(zip(w, w[1:], strict=False)), licenses.window_of(len(t)) // 2 + 1
-    return max((len(want & set(p[i : i + wide - 1])) / len(want) for i in range(max(1, len(p) - wide + 2))), default=0.0)
+    want, p, wide = set(zip(t, t[1:], strict=False)), list(zip(w, w[1:], strict=False)), licenses.window_of(len(t))
+    shares = [(len(want & set(p[i : i + wide - 1])) / len(want), -i) for i in range(0, max(1, len(p)), wide // 2)]
+    share, i = max(shares)
+    return share, -i
+
+
+def check_licenses(found, texts, templates):
+    want = {(i, name): c for i, t in texts for name, notice in templates.items() if (c := contained(t, notice))[0] >= licenses.CONTAINED}
+    assert want
+    assert {(r["doc_id"], r["license"]): (r["containment"], r["at_word"]) for r in found} == want
 
 
 def test_license_scan(spark, rows):
-    found = {(r["doc_id"], r["license"]): r["containment"] for r in queries.op6_license_scan(spark, DATA).collect()}
-    want = {(r["doc_id"], name) for r in rows for name, notice in licenses.TEMPLATES.items() if contained(r["text"], notice) >= licenses.CONTAINED}
-    assert want and want <= set(found)
-    assert all(v >= licenses.CONTAINED for v in found.values())
+    found = queries.op6_license_scan(spark, DATA).collect()
+    check_licenses(found, [(r["doc_id"], r["text"]) for r in rows], licenses.TEMPLATES)
+    q = by_sql(f"SELECT * FROM '{DATA}/documents.parquet'", "documents", licenses.oracle_sql())
+    assert sorted(tuple(r) for r in found) == sorted(q.fetchall())
+
+
+def test_license_scan_of_long_templates(spark, monkeypatch):
+    """Templates of 20 to 700 words, whole, changed and cut, within other text, and in several blocks."""
+    monkeypatch.setattr(licenses, "BLOCK_PAIRS", 900)
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(150)] + ["of", "the", "to"] * 20
+    templates = {f"t{n}": " ".join(rng.choice(vocabulary) for _ in range(n)) for n in (20, 90, 300, 301, 700)}
+    texts = []
+    for i in range(60):
+        body = [rng.choice(vocabulary) for _ in range(rng.randint(0, 1500))]
+        t = rng.choice(list(templates.values())).split()
+        for _ in range(rng.randint(0, len(t) // 6)):
+            t[rng.randrange(len(t))] = "changed"
+        at = rng.randint(0, len(body))
+        body[at:at] = t[: rng.choice([len(t), len(t), len(t) * 9 // 10, len(t) // 2])]
+        texts.append((i, " ".join(body)))
+    check_licenses(licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), templates).collect(), texts, templates)
 
 
 def test_license_scan_messy_rows(spark):
@@ -333,6 +443,17 @@ def test_decontamination(spark):
     assert stay == set(texts) - {i for i, _ in want}
 
 
+def test_decontamination_of_endless_repeats():
+    """Twenty thousand equal words against two thousand make as many runs as both have words, not their product."""
+    item, doc = "a " * 2000, "a " * 20_000
+    items = decontamination.Items([1, 2], [item, "a b " * 500])
+    text = pa.array([doc, "x " + "a b " * 6000, "b a " * 300, "a a a a a"])
+    found = {(r, items.ids[i]): sum(n for _, _, n in got) for r, i, got in decontamination.matches(items, text, 0.6)}
+    assert found == {(0, 1): 2000, (1, 2): 1000, (2, 2): 600}
+    _, _, buf, off = next(chunks(pa.array([doc])))
+    assert items.common_runs(*word_hashes(buf, off)).shape[1] < 50_000
+
+
 def test_decontamination_messy_rows(spark):
     b = spark.createDataFrame([(1, "over the lazy dog near the old river bank"), (2, None), (3, ""), (None, "two words"), (1, "over the lazy dog near the old river bank")], "item_id long, text string")
     found = sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(messy(spark), b).collect() if r["item_id"])
@@ -384,7 +505,7 @@ def test_jaccard_join_of_near_copies(spark, seed):
 @pytest.mark.parametrize(("seed", "long_list"), [(5, 2), (6, 32)])
 def test_jaccard_join_of_a_large_group(spark, monkeypatch, seed, long_list):
     """One text in many versions, a third of them just too far from most others, in lists that differences join."""
-    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+    monkeypatch.setattr(differences, "LONG_LIST", long_list)
     rng = random.Random(seed)
     base = [f"b{i}" for i in range(150)]
     texts = {}
