@@ -1,61 +1,54 @@
 """From raw documents to shards of a training mix, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All stages but the last return the columns of documents. Rows without doc_id, repeated rows, empty texts and
-extra columns pass through every stage by the rules in its docstring.
+one's docs. All stages but the last return the columns of documents, extra ones included, whatever their names. Rows
+without doc_id, repeated rows and empty texts pass through every stage by the rules in its docstring; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecraft.llm import decontamination, jaccard, mixing, quality, sharding
-from tablecraft.llm.shared import read, staged
-
-
-def _row_key() -> Column:
-    """What tells documents apart: the id and the text, so that rows without id are told apart by their text."""
-    return F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-
-
-def _columns(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in docs.columns]
+from tablecraft.llm.shared import dropped, read, staged, whole
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go if the classifier, fitted on the labelled ones among them, gives grade 1 or better less than half."""
-    model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, carry=True).where("_keep").select(*_columns(docs))
+    """Documents go if the classifier, fitted on the labelled ones among them, gives grade 1 or better less than half.
+    Each row is judged by its text alone: repeated rows and rows without doc_id are like any other."""
+    return quality.keep(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the rows that links connect, the one with the smallest doc_id stays, once; rows without doc_id come last. Rows
-    without shingles all stay, repeated ones once."""
+    without shingles all stay, repeated ones once. Different texts of one doc_id are rows of their own."""
     groups = staged(jaccard.grouped(docs)[0], "groups")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
-    first = groups.where("component is not null").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias("_row"))
-    stay = first.unionByName(groups.where("component is null").select(F.col("row").alias("_row"))).distinct()
-    return docs.withColumn("_row", jaccard.row_key()).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*_columns(docs))
+    first = groups.where("component is not null").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias("key"))
+    stay = first.unionByName(groups.where("component is null").select(F.col("row").alias("key"))).distinct()
+    return docs.select(jaccard.row_key().alias("key"), whole(docs).alias("row")).join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go if a benchmark item leaks into them."""
+    """Documents go if a benchmark item leaks into them; each row is judged by its text alone."""
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is repeated as often as the mix takes it; those it doesn't take go."""
-    keyed = docs.withColumn("_key", _row_key())
-    copies = mixing.mix(keyed.select(F.col("_key").alias("doc_id"), "source", "text")).groupBy(F.col("doc_id").alias("_k")).agg(F.sum("copies").cast("int").alias("_copies"))
-    taken = keyed.dropDuplicates(["_key"]).join(copies.where("_copies > 0"), F.col("_key") == F.col("_k"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*_columns(docs))
+    """Each document is repeated as often as the mix takes it; those it doesn't take go. Rows are told apart by source,
+    doc_id and text; what the mix takes of repeated rows is taken of one of them."""
+    keyed = docs.select(F.xxhash64("source", F.col("doc_id").cast("long"), F.lit(1), "text").alias("key"), whole(docs).alias("row"))
+    copies = mixing.mix(keyed.select(F.col("key").alias("doc_id"), "row.source", "row.text")).groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").cast("int").alias("copies"))
+    taken = keyed.dropDuplicates(["key"]).join(copies.where("copies > 0"), "key")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of the mix."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of the mix; no other columns are read."""
     return sharding.shard(docs)
 
 
@@ -72,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    before, docs = None, read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs = made
     return docs
