@@ -1,11 +1,12 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines are compared after lower-casing and with runs of white space as one blank. Their features are character shingles:
-the ``WIDTH`` characters from every place on, or the whole line where it is shorter, hashed to 64 bits. Signatures are
-``2 * BANDS`` minima of one hash, each taken under another exclusive-or, and two neighbouring minima are a band: lines of
-likeness 0.8 meet with probability 1 - (1 - 0.64)**8 = 0.9997 if they have many shingles; of sets of 5 shingles 0.994 do,
-of 10 0.998. Lines that meet are verified by the exact Jaccard likeness of their shingle sets, links make components by
-distributed union-find, and of each component the first line (least doc_id, then line number) is kept.
+the ``WIDTH`` characters from every place on, or the whole line where it is shorter, hashed. Signatures are ``MINIMA``
+minima of one hash, each taken under another exclusive-or, and three of them are a band; any two of the ``BANDS`` bands
+share one minimum at most. Lines of likeness 0.8 meet with probability 0.99 (sets of 5 shingles) to 0.999, those of 0.85 with 0.9998, and lines of
+common words only, of likeness 0.03, once in 2,600 pairs. Lines that meet are verified by the exact Jaccard
+likeness of their shingle sets, links make components by distributed union-find, and of each component the first line
+(least doc_id, then line number) is kept.
 
 Equal lines are one class from the start. Shingles are hashed and reduced to minima in the task that reads the line; what
 is shuffled is one signature a line. In a band, members are first held against the band's first line; then only lines in
@@ -15,7 +16,7 @@ of near copies costs its size and not its square.
 Defined cases: null or empty texts and empty tables have no lines; blank lines are kept and belong to no class; rules of
 ``WIDTH`` or more equal signs have the same shingle whatever their length; repeated rows repeat their lines, of which one
 is kept; rows without doc_id come last in order, and of equal lines with equal places one is kept; other columns than
-doc_id and text are not read, whatever their names.
+doc_id and text are not read, whatever their names. Lines are told apart by 128 bits of hashes, their links by 64 of them.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .components import components
 from .differences import open_lists, renamed, verified
 from .shared import dropped, staged
 
-BANDS, PERCENT, WIDTH = 8, 80, 9
-#: Lines named in a broadcast at most (16 bytes each); beyond that they are joined by a shuffle.
+BANDS, MINIMA, PERCENT, WIDTH = 14, 20, 80, 9
+#: Shingles that are reduced to one row before rows are aggregated.
+STEP = 4
+#: Lines named in a broadcast at most (8 bytes each); beyond that they are joined by a shuffle.
 MOST_SENT = 500_000
 
 
@@ -48,7 +51,7 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _key(line: Column) -> Column:
-    """Two 64-bit hashes, which name a line."""
+    """Two 64-bit hashes, which name a line; the first one names it among links."""
     return F.struct(F.xxhash64(F.lit(1), line).alias("h"), F.xxhash64(F.lit(2), line).alias("l"))
 
 
@@ -62,18 +65,26 @@ def _hashes(line: Column) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, l, n, m0 .. m15) of each distinct line of (line), named by ``_key``; n counts its shingles. A row for each shingle is made and aggregated within the task."""
-    wide = lines.select(_key(F.col("line")).alias("key"), F.encode("line", "UTF-32").alias("wide")).select("key.h", "key.l", "wide", (F.octet_length("wide") / 4 - WIDTH).cast("int").alias("last"))
-    each = wide.select("h", "l", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), "last"))).alias("i"))
-    each = each.select("h", "l", F.hash(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * WIDTH))).alias("x"))
-    spread = [((k * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF) - (1 << 31) for k in range(2 * BANDS)]
-    return each.groupBy("h", "l").agg(F.count("*").alias("n"), *[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(spread)])
+    """(h, l, m0, m1, ..) of each distinct line of (line), named by ``_key``. Rows of ``STEP`` shingles are made and
+    aggregated within the task; the last shingle fills up the last row."""
+    wide = lines.select(_key(F.col("line")).alias("key"), F.encode("line", "UTF-32").alias("wide"))
+    wide = wide.select("key.h", "key.l", "wide", F.greatest(F.lit(0), (F.octet_length("wide") / 4 - WIDTH).cast("int")).alias("last"))
+    each = wide.select("h", "l", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))).alias("i"))
+    hashed = [F.hash(F.substring("wide", F.least(F.col("i") + j, F.col("last")) * 4 + 1, F.lit(4 * WIDTH))).alias(f"x{j}") for j in range(STEP)]
+    spread = [((k * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF) - (1 << 31) for k in range(MINIMA)]
+    least = [F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)]).alias(f"m{k}") for k, c in enumerate(spread)]
+    return each.select("h", "l", *hashed).select("h", "l", *least).groupBy("h", "l").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(MINIMA)])
+
+
+def members(k: int) -> tuple[int, ...]:
+    """The minima of a band: places that differ by 1, 7 and 8, so that two bands have one in common at most."""
+    return tuple((7 * k + step) % MINIMA for step in (0, 1, 8))
 
 
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(rep, content) of the lines named by keys (rep, each once)."""
     few = keys.count() <= MOST_SENT
-    named = _lines(docs).select("line", _key(F.col("line")).alias("rep"))
+    named = _lines(docs).select("line", F.xxhash64(F.lit(1), "line").alias("rep"))
     return named.join(F.broadcast(keys) if few else keys, "rep", "left_semi").groupBy("rep").agg(F.first("line").alias("content"))
 
 
@@ -90,10 +101,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between keys of lines that connect all lines that are connected."""
     signed = signatures(_lines(docs).select("line"))
-    bands = signed.select("h", "l", "n", F.explode(F.array(*[F.xxhash64(F.lit(k), f"m{2 * k}", f"m{2 * k + 1}") for k in range(BANDS)])).alias("key"))
+    bands = signed.select("h", F.explode(F.array(*[F.xxhash64(F.lit(k), *[f"m{i}" for i in members(k)]) for k in range(BANDS)])).alias("key"))
     dealt = bands.repartition("key")
     several = dealt.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
-    met = staged(dealt.join(several.hint("shuffle_hash"), "key").select("key", F.struct("h", "l").alias("rep"), "n"), "bands")
+    met = staged(dealt.join(several.hint("shuffle_hash"), "key").select("key", F.col("h").alias("rep")), "bands")
 
     centres = met.groupBy("key").agg(F.min("rep").alias("centre"))
     stars = staged(met.join(centres, "key").where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "line-stars")
@@ -103,7 +114,8 @@ def _links(docs: DataFrame) -> DataFrame:
 
     marked = staged(open_lists(renamed(met, links), ["key"]).where("length > 2"), "open-bands")
     dropped(met, ends)
-    deep = staged(differences.deep_lists(marked), "deep-bands")
+    sized = marked.join(texts.select("rep", F.char_length("content").cast("long").alias("n")), "rep")
+    deep = staged(differences.deep_lists(sized), "deep-bands")
     long = marked.join(deep, "key", "left_semi")
     if not deep.isEmpty():
         some = staged(texts.join(long.select("rep").distinct(), "rep"), "long-texts")
@@ -122,8 +134,10 @@ def _marked(docs: DataFrame, *more: str) -> DataFrame:
     lines = staged(_lines(docs, *more).select("doc_id", "line_no", *more, _key(F.col("line")).alias("key")), "lines")
     at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
     classes = staged(lines.groupBy("key").agg(F.min(at).alias("first")), "line-classes")
-    groups = components(_links(docs)).withColumnRenamed("vertex", "key")
-    ranked = staged(classes.join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component")), "ranked-lines")
+    groups = components(_links(docs))
+    grouped = classes.join(groups, F.col("key.h") == F.col("vertex"), "left")
+    # a line without links is a component of its own
+    ranked = staged(grouped.select("key", "first", F.struct(F.coalesce("component", "key.h").alias("h"), F.when(F.col("component").isNull(), F.col("key.l")).alias("l")).alias("component")), "ranked-lines")
     dropped(classes)
     heads = ranked.groupBy("component").agg(F.min("first").alias("head"))
     ranked = ranked.join(heads, "component").select("key", "head")
