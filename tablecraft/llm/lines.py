@@ -3,15 +3,16 @@
 Lines are compared after lower-casing and with runs of white space as one blank. Their features are character shingles:
 the ``WIDTH`` characters from every place on, or the whole line where it is shorter, hashed. Signatures are ``MINIMA``
 minima of one hash, each taken under another exclusive-or, and three of them are a band; any two of the ``BANDS`` bands
-share one minimum at most. Lines of likeness 0.8 meet with probability 0.99 (sets of 5 shingles) to 0.999, those of 0.85 with 0.9998, and lines of
-common words only, of likeness 0.03, once in 2,600 pairs. Lines that meet are verified by the exact Jaccard
-likeness of their shingle sets, links make components by distributed union-find, and of each component the first line
-(least doc_id, then line number) is kept.
+share one minimum at most. Lines of likeness 0.8 meet with probability 0.99 (sets of 5 shingles) to 0.999, those of 0.85
+with 0.9998, and lines of common words only, of likeness 0.03, once in 2,600 pairs. Lines that meet and agree in
+``AGREED`` minima, as all but one in ten thousand of likeness 0.8 do, are verified by the exact Jaccard likeness of their
+shingle sets, links make components by distributed union-find, and of each component the first line (least doc_id, then
+line number) is kept.
 
 Equal lines are one class from the start. Shingles are hashed and reduced to minima in the task that reads the line; what
 is shuffled is one signature a line. In a band, members are first held against the band's first line; then only lines in
-different components are compared, in bands of many near copies by their differences from a centre (``differences.py``), so that a group
-of near copies costs its size and not its square.
+different components are compared, in bands of many near copies by their differences from a centre
+(``differences.py``), so that a group of near copies costs its size and not its square.
 
 Defined cases: null or empty texts and empty tables have no lines; blank lines are kept and belong to no class; rules of
 ``WIDTH`` or more equal signs have the same shingle whatever their length; repeated rows repeat their lines, of which one
@@ -30,10 +31,12 @@ from .differences import open_lists, renamed, verified
 from .shared import dropped, staged
 
 BANDS, MINIMA, PERCENT, WIDTH = 14, 20, 80, 9
+#: Minima in which two lines agree if they are compared.
+AGREED = 9
 #: Shingles that are reduced to one row before rows are aggregated.
 STEP = 4
 #: Lines named in a broadcast at most (8 bytes each); beyond that they are joined by a shuffle.
-MOST_SENT = 500_000
+MOST_SENT = 2_000_000
 
 
 def _plain(raw: Column) -> Column:
@@ -65,15 +68,15 @@ def _hashes(line: Column) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, l, m0, m1, ..) of each distinct line of (line), named by ``_key``. Rows of ``STEP`` shingles are made and
+    """(h, m0, m1, ..) of each distinct line of (line), h being the first hash of its ``_key``. Rows of ``STEP`` shingles are made and
     aggregated within the task; the last shingle fills up the last row."""
-    wide = lines.select(_key(F.col("line")).alias("key"), F.encode("line", "UTF-32").alias("wide"))
-    wide = wide.select("key.h", "key.l", "wide", F.greatest(F.lit(0), (F.octet_length("wide") / 4 - WIDTH).cast("int")).alias("last"))
-    each = wide.select("h", "l", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))).alias("i"))
+    wide = lines.select(F.xxhash64(F.lit(1), "line").alias("h"), F.encode("line", "UTF-32").alias("wide"))
+    wide = wide.select("h", "wide", F.greatest(F.lit(0), (F.octet_length("wide") / 4 - WIDTH).cast("int")).alias("last"))
+    each = wide.select("h", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))).alias("i"))
     hashed = [F.hash(F.substring("wide", F.least(F.col("i") + j, F.col("last")) * 4 + 1, F.lit(4 * WIDTH))).alias(f"x{j}") for j in range(STEP)]
     spread = [((k * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF) - (1 << 31) for k in range(MINIMA)]
     least = [F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)]).alias(f"m{k}") for k, c in enumerate(spread)]
-    return each.select("h", "l", *hashed).select("h", "l", *least).groupBy("h", "l").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(MINIMA)])
+    return each.select("h", *hashed).select("h", *least).groupBy("h").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(MINIMA)])
 
 
 def members(k: int) -> tuple[int, ...]:
@@ -94,21 +97,25 @@ def duplicates(docs: DataFrame) -> DataFrame:
     return _marked(docs)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough minima."""
+    x, y = (signed.select(F.col("h").alias(side), *[F.col(f"m{k}").alias(f"{side}{k}") for k in range(MINIMA)]) for side in "ab")
+    agreed = sum(((F.col(f"a{k}") == F.col(f"b{k}")).cast("int") for k in range(MINIMA)), F.lit(0))
+    return pairs.join(x, "a").join(y, "b").where(agreed >= AGREED).select("a", "b")
 
 
 def _links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between keys of lines that connect all lines that are connected."""
-    signed = signatures(_lines(docs).select("line"))
+    signed = staged(signatures(_lines(docs).select("line")), "signatures")
     bands = signed.select("h", F.explode(F.array(*[F.xxhash64(F.lit(k), *[f"m{i}" for i in members(k)]) for k in range(BANDS)])).alias("key"))
     dealt = bands.repartition("key")
     several = dealt.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
     met = staged(dealt.join(several.hint("shuffle_hash"), "key").select("key", F.col("h").alias("rep")), "bands")
 
     centres = met.groupBy("key").agg(F.min("rep").alias("centre"))
-    stars = staged(met.join(centres, "key").where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "line-stars")
-    ends = staged(_ends(stars), "line-ends")
+    stars = met.join(centres, "key").where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = staged(_agreeing(stars, signed), "line-stars")
+    ends = staged(met.select("rep").distinct(), "line-ends")
     texts = staged(_texts(docs, ends), "line-texts")
     links = staged(verified(stars, texts, _hashes, PERCENT), "line-links")
 
@@ -123,9 +130,10 @@ def _links(docs: DataFrame) -> DataFrame:
         dropped(some)
     short = marked.join(deep, "key", "left_anti")
     left, right = short.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), short.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    across = staged(left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "lines-across")
+    across = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    across = staged(_agreeing(across, signed), "lines-across")
     links = staged(links.unionByName(verified(across, texts, _hashes, PERCENT)), "all-line-links")
-    dropped(stars, texts, across)
+    dropped(stars, texts, across, signed)
     return links
 
 
