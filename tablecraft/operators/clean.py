@@ -11,10 +11,11 @@ def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def fill_from_peer(df: DataFrame, column: str, key: str, order: list[Column]) -> DataFrame:
-    """Fill NULLs from the first row of equal key, in order, that has a value."""
-    whole = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn(column, F.coalesce(F.col(column), F.first(column, ignorenulls=True).over(whole)))
+def fill_from_peer(df: DataFrame, column: str, key: str, order: list[str]) -> DataFrame:
+    """Fill NULLs from the first row of equal key, in ascending order, that has a value. The value of a key is an
+    aggregate, made partly before the shuffle, so that a key with very many rows is in no single task."""
+    known = df.where(F.col(column).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(column, F.struct(*order)).alias("_value"))
+    return df.join(known, df[key].eqNullSafe(known["_key"]), "left").withColumn(column, F.coalesce(column, "_value")).select(*df.columns)
 
 
 def peers(df: DataFrame, key: str, identity: str, column: str) -> DataFrame:

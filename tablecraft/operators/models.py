@@ -5,6 +5,7 @@ Fits run on the executors; the driver gets models and metrics only. Transformers
 
 from __future__ import annotations
 
+import itertools
 import random
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, MinMaxScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,41 +47,54 @@ def impute_numeric(df: DataFrame, columns: list[str], rounds: int = 10, through=
     return work.select(*df.columns)
 
 
-def impute_categorical(df: DataFrame, columns: list[str], by: list[str], dataset: int = 0, rounds: int = 1, trees: int = 10, seed: int = 7) -> DataFrame:
-    """Fill NULLs of text columns with the class that a random forest predicts from the numeric columns ``by``. Another
-    ``dataset`` is another completed table. The first round starts from the known rows, later ones also use the other
-    text columns as filled before."""
-    out = df
+def impute_categorical(df: DataFrame, columns: list[str], by: list[str], dataset: int = 2, rounds: int = 5, trees: int = 10, seed: int = 7, through=None) -> DataFrame:
+    """Fill NULLs of text columns with the class that a random forest predicts from the numeric columns ``by`` and, from
+    the second round on, from the other text columns as filled before. Known cells never change. Of the several completed
+    tables, ``dataset`` is one: each has a seed of its own. ``through`` is called with the table after each round and
+    returns it with its lineage cut."""
+    gaps = [c for c in columns if df.where(F.col(c).isNull()).limit(1).count() and df.where(F.col(c).isNotNull()).limit(1).count()]
+    if not gaps:
+        return df
+    work = df.withColumns({f"_was_null_{c}": F.col(c).isNull() for c in gaps})
     for r in range(rounds):
-        for c in columns:
-            known = df.where(F.col(c).isNotNull())
-            if df.where(F.col(c).isNull()).limit(1).count() == 0 or known.limit(1).count() == 0:
-                continue
+        work = through(work) if through else work
+        for c in gaps:
             others = [] if r == 0 else [x for x in columns if x != c]
-            stages = [StringIndexer(inputCol=x, outputCol=f"_i_{x}", handleInvalid="keep") for x in others]
-            index = StringIndexer(inputCol=c, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
-            labels = index.fit(known)
+            stages = [StringIndexer(inputCol=x, outputCol=f"_i_{x}", handleInvalid="keep", stringOrderType="alphabetAsc") for x in others]
+            known = work.where(~F.col(f"_was_null_{c}"))
+            labels = StringIndexer(inputCol=c, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(known)
             assembler = VectorAssembler(inputCols=[*by, *[f"_i_{x}" for x in others]], outputCol="_x", handleInvalid="keep")
-            forest = RandomForestClassifier(featuresCol="_x", labelCol="_label", predictionCol="_p", probabilityCol="_q", rawPredictionCol="_r", numTrees=trees, seed=seed + 1000 * dataset + r)
-            model = Pipeline(stages=[*stages, assembler, forest]).fit(labels.transform(out.where(F.col(c).isNotNull())))
+            bins = max([32, *[work.select(x).distinct().count() + 1 for x in others]])
+            forest = RandomForestClassifier(featuresCol="_x", labelCol="_label", predictionCol="_p", probabilityCol="_q", rawPredictionCol="_r", numTrees=trees, maxBins=bins, seed=seed + 1000 * dataset + r)
+            model = Pipeline(stages=[*stages, assembler, forest]).fit(labels.transform(known))
             named = IndexToString(inputCol="_p", outputCol="_named", labels=labels.labels)
-            filled = named.transform(model.transform(out.withColumn("_label", F.lit(0.0))))
-            out = filled.withColumn(c, F.coalesce(c, "_named")).select(*df.columns)
-    return out
+            filled = named.transform(model.transform(work.withColumn("_label", F.lit(0.0))))
+            work = filled.withColumn(c, F.when(F.col(f"_was_null_{c}"), F.col("_named")).otherwise(F.col(c))).select(*work.columns)
+    return work.select(*df.columns)
+
+
+def _placed(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_place``, gapless from 1 within each class in the order of a hash of the key, and ``_all``, the size of
+    the class. Rows are numbered within a class's 4,096 blocks of the hash only, after the blocks' counts."""
+    marked = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_block", F.shiftright("_h", 52))
+    counts = marked.groupBy(F.col(label).alias("_class"), F.col("_block").alias("_of")).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_class")
+    upto = whole.orderBy("_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.select("_class", "_of", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"), F.sum("_n").over(whole).alias("_all"))
+    within = Window.partitionBy("_class", "_of").orderBy("_h", key)
+    both = marked.join(counts, F.col(label).eqNullSafe(F.col("_class")) & (F.col("_block") == F.col("_of")))
+    return both.withColumn("_place", F.col("_start") + F.row_number().over(within)).drop("_h", "_block", "_class", "_of", "_start")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.3, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(train, test): of each class the share, to within a row, by a hash of the key; the same rows every time. A class
-    is cut at a quantile of the hash that a count of its rows gives."""
-    at = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    marked = df.withColumn("_test", at <= F.round(F.count("*").over(Window.partitionBy(label)) * share))
+    """(train, test): of each class the share, to within a row, by a hash of the key; the same rows every time."""
+    marked = _placed(df, label, key, seed).withColumn("_test", F.col("_place") <= F.round(F.col("_all") * share)).drop("_place", "_all")
     return marked.where(~F.col("_test")).drop("_test"), marked.where("_test").drop("_test")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 1, name: str = "fold") -> DataFrame:
     """A fold number for each row, classes spread evenly."""
-    at = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn(name, (at % k).cast("int"))
+    return _placed(df, label, key, seed).withColumn(name, (F.col("_place") % k).cast("int")).drop("_place", "_all")
 
 
 def column_pipeline(numbers: list[str], texts: list[str], label: str | None = None) -> Pipeline:
@@ -115,11 +130,16 @@ def weighted_f1(predictions: DataFrame) -> float:
     return MulticlassClassificationEvaluator(metricName="f1").evaluate(predictions)
 
 
-def cross_validate(estimator, df: DataFrame, fold: str = "fold", k: int = 10) -> tuple[float, float]:
+def _validated(estimator, df: DataFrame, grid: list[dict], fold: str, k: int, parallelism: int):
+    """A cross-validator's model, fitted on the given folds: its best parameters are refitted on all of ``df``."""
+    score = MulticlassClassificationEvaluator(metricName="accuracy")
+    return CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=score, numFolds=k, foldCol=fold, parallelism=parallelism).fit(df)
+
+
+def cross_validate(estimator, df: DataFrame, fold: str = "fold", k: int = 10, parallelism: int = 4) -> tuple[float, float]:
     """Mean and standard deviation of the accuracy over the folds."""
-    found = [accuracy(estimator.fit(df.where(F.col(fold) != i)).transform(df.where(F.col(fold) == i))) for i in range(k)]
-    mean = sum(found) / k
-    return mean, (sum((x - mean) ** 2 for x in found) / k) ** 0.5
+    found = _validated(estimator, df, [{}], fold, k, parallelism)
+    return float(found.avgMetrics[0]), float(found.stdMetrics[0])
 
 
 @dataclass
@@ -135,25 +155,19 @@ def compare(models: dict, train: DataFrame, test: DataFrame, k: int = 10) -> Dat
     """(model, cv_mean, cv_std, accuracy, f1), a row for each model."""
     rows = []
     for name, m in models.items():
-        mean, std = cross_validate(m, train, k=k)
-        p = m.fit(train).transform(test)
-        rows.append(Comparison(name, mean, std, accuracy(p), weighted_f1(p)))
+        found = _validated(m, train, [{}], "fold", k, 4)
+        p = found.bestModel.transform(test)
+        rows.append(Comparison(name, float(found.avgMetrics[0]), float(found.stdMetrics[0]), accuracy(p), weighted_f1(p)))
     return train.sparkSession.createDataFrame(rows)
 
 
-def random_search(make, grid: dict[str, list], train: DataFrame, n: int = 50, k: int = 5, seed: int = 1):
+def random_search(estimator, grid: dict[str, list], train: DataFrame, n: int = 50, k: int = 5, seed: int = 1, parallelism: int = 8):
     """(best score, parameters, model refitted on all of train) among ``n`` random draws from a grid, no draw twice."""
-    rng = random.Random(seed)
-    draws: list[dict] = []
-    for _ in range(50 * n):
-        d = {p: rng.choice(v) for p, v in grid.items()}
-        if d not in draws:
-            draws.append(d)
-        if len(draws) == n:
-            break
-    scored = [(cross_validate(make(**d), train, k=k)[0], i) for i, d in enumerate(draws)]
-    best, i = max(scored, key=lambda x: (x[0], -x[1]))
-    return best, draws[i], make(**draws[i]).fit(train)
+    every = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    draws = random.Random(seed).sample(every, min(n, len(every)))
+    found = _validated(estimator, train, [{estimator.getParam(p): v for p, v in d.items()} for d in draws], "fold", k, parallelism)
+    best = max(range(len(draws)), key=lambda i: (found.avgMetrics[i], -i))
+    return float(found.avgMetrics[best]), draws[best], found.bestModel
 
 
 def confusion(predictions: DataFrame, label: str = "label") -> DataFrame:
@@ -171,25 +185,40 @@ def class_metrics(predictions: DataFrame, label: str = "label") -> DataFrame:
     return g.withColumn("f1", zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))).select("class", "precision", "recall", "f1", "support")
 
 
+def _cumulated(scores: DataFrame, score: str, positive: str, by: str | None, blocks: int = 64) -> DataFrame:
+    """(by, score, p, n, tp, fp, all_p, all_n): at every score its positive and all rows, those of this score and above,
+    and those of the whole class. Rows are counted by score first; scores are dealt to blocks of about equal size, blocks
+    are summed up, and sums within a block need that block only."""
+    keys = [by] if by else []
+    g = scores.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
+    cuts = sorted(set(g.approxQuantile("score", [i / blocks for i in range(1, blocks)], 0.005)))
+    g = g.withColumn("_block", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c >= F.col("score"))))
+    sums = g.groupBy(*keys, "_block").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_of"), *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in "pn"], *[F.sum(f"_{c}").over(whole).alias(f"all_{c}") for c in "pn"])
+    on = [g["_block"] == sums["_of"], *[g[k].eqNullSafe(sums[f"_{k}"]) for k in keys]]
+    down = Window.partitionBy(*keys, "_block").orderBy(F.desc("score"))
+    tp, n = F.col("_p") + F.sum("p").over(down), F.col("_n") + F.sum("n").over(down)
+    return g.join(sums, on).select(*keys, "score", "p", "n", tp.alias("tp"), (n - tp).alias("fp"), "all_p", (F.col("all_n") - F.col("all_p")).alias("all_n"))
+
+
 def roc_points(scores: DataFrame, score: str, positive: str, by: str | None = None) -> DataFrame:
-    """(fpr, tpr) at every score: rows are counted by score first, so that the window runs over distinct scores."""
+    """(fpr, tpr) at every score."""
     keys = [by] if by else []
-    g = scores.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    all_ = Window.partitionBy(*keys)
-    tp, n = F.sum("p").over(down), F.sum("n").over(down)
-    return g.select(*keys, "score", (tp / F.nullif(F.sum("p").over(all_), F.lit(0))).alias("tpr"), ((n - tp) / F.nullif(F.sum("n").over(all_) - F.sum("p").over(all_), F.lit(0))).alias("fpr"))
+    return _cumulated(scores, score, positive, by).select(*keys, "score", F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_n").alias("fpr"))
 
 
-def auc(points: DataFrame, by: str | None = None) -> DataFrame:
+def auc(scores: DataFrame, score: str, positive: str, by: str | None = None) -> DataFrame:
+    """The area under the curve: of the pairs of a positive and a negative row the share that is in order, equal scores
+    counting half."""
     keys = [by] if by else []
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    step = points.withColumn("_f", F.lag("fpr", 1, 0.0).over(down)).withColumn("_t", F.lag("tpr", 1, 0.0).over(down))
-    return step.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("_f")) * (F.col("tpr") + F.col("_t")) / 2).alias("auc"))
+    pairs = (F.col("n") - F.col("p")) * (F.col("tp") - F.col("p") / 2)
+    return _cumulated(scores, score, positive, by).groupBy(*keys).agg(F.try_divide(F.sum(pairs), F.first("all_p") * F.first("all_n")).alias("auc"))
 
 
 def roc_auc_ovr(predictions: DataFrame, classes: int, label: str = "label", probability: str = "probability") -> DataFrame:
     """(class, auc) of each class against the rest."""
     p = predictions.select(F.col(label).alias("_l"), vector_to_array(probability).alias("_p"))
     rows = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col("_p")[k].alias("score"), (F.col("_l") == k).alias("positive")) for k in range(classes)])).alias("x")).select("x.*")
-    return auc(roc_points(rows, "score", "positive", "class"), "class")
+    return auc(rows, "score", "positive", "class")

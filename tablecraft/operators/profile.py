@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -24,12 +24,56 @@ def _rows(df: DataFrame, names: list[str], fields: dict) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{k}`").alias(k) for k in fields]) for c in names])).alias("x")).select("x.*")
 
 
+def _matched(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to a row of ``other`` for each value of the keys, NULLs too; a single row without keys."""
+    if not keys:
+        return rows.join(F.broadcast(other))
+    named = other.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = [rows[k].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(keys)]
+    return rows.join(named, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float], blocks: int = 64) -> DataFrame:
+    """(keys, q): the exact quantiles of ``value``, interpolated, as an array, for each value of the keys.
+
+    Equal values are counted first. A sketch deals the values to blocks of about equal size, whose counts tell which
+    blocks hold the wanted ranks; only those are ranked, each by itself, so no task has to hold or sort all values of a
+    key.
+    """
+    values = rows.where(F.col(value).isNotNull())
+    cuts = values.groupBy(*keys).agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 1000).alias("_cuts"))
+    counted = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    placed = _matched(counted, cuts, keys).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_block").agg(F.sum("_n").alias("_many"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sums.withColumns({"_end": F.sum("_many").over(upto), "_all": F.sum("_many").over(whole)})
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    places = F.transform(wanted, lambda p: p * (F.col("_all") - 1))
+    ranks = F.array_distinct(F.concat(F.transform(places, lambda x: F.floor(x)), F.transform(places, lambda x: F.ceil(x))))
+    starts = starts.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_end") - F.col("_many")) & (r < F.col("_end")))).where(F.size("_ranks") > 0)
+    within = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _matched(placed, starts, [*keys, "_block"]).withColumn("_after", F.col("_end") - F.col("_many") + F.sum("_n").over(within))
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_after") - F.col("_n")) & (r < F.col("_after")))
+    hits = ranked.select(*keys, "_all", value, F.explode(hit).alias("_rank")).groupBy(*keys, "_all").agg(F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_at"))
+    q = F.transform(places, lambda x: F.col("_at")[F.floor(x)] + (F.col("_at")[F.ceil(x)] - F.col("_at")[F.floor(x)]) * (x - F.floor(x)))
+    return hits.select(*keys, q.alias("q"))
+
+
+def _long(df: DataFrame, columns: list[str], name: str, *keys: str) -> DataFrame:
+    """(keys, name, value): the columns' values as doubles, a row for each."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("value")) for c in columns]))
+    return df.select(*keys, each.alias("x")).select(*keys, "x.*")
+
+
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) of the numeric columns, with exact quartiles."""
+    columns = columns or numeric(df)
     d = lambda c: F.col(c).cast("double")
-    fields = {"n": lambda c: F.count(c), "mean": lambda c: F.avg(d(c)), "std": lambda c: F.stddev(d(c)), "least": lambda c: F.min(d(c))}
-    fields |= {f"q{int(q * 100)}": (lambda q: lambda c: F.percentile(d(c), q))(q) for q in (0.25, 0.5, 0.75)} | {"most": lambda c: F.max(d(c))}
-    return _rows(df, columns or numeric(df), fields)
+    plain = _rows(df, columns, {"n": lambda c: F.count(c), "mean": lambda c: F.avg(d(c)), "std": lambda c: F.stddev(d(c)), "least": lambda c: F.min(d(c)), "most": lambda c: F.max(d(c))})
+    q = quantiles(_long(df, columns, "column"), ["column"], "value", [0.25, 0.5, 0.75])
+    quartiles = [F.get("q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]
+    return plain.join(q, "column", "left").select("column", "n", "mean", "std", "least", *quartiles, "most")
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -64,14 +108,14 @@ def qq_points(df: DataFrame, column: str, points: int = 99) -> DataFrame:
     mean = df.agg(F.avg(column).alias("_mean"))
     filled = df.select(column).join(F.broadcast(mean)).select(F.coalesce(F.col(column).cast("double"), "_mean").alias("x"))
     rows = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(NormalDist().inv_cdf(p)).alias("theoretical"), F.lit(i).alias("i")) for i, p in enumerate(grid)]))
-    return filled.agg(F.percentile("x", grid).alias("q")).select("q", rows.alias("g")).select("g.p", "g.theoretical", F.col("q")[F.col("g.i")].alias("sample"))
+    return quantiles(filled, [], "x", grid).select("q", rows.alias("g")).select("g.p", "g.theoretical", F.col("q")[F.col("g.i")].alias("sample"))
 
 
 def box(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """Quartiles and the fences 1.5 quartile ranges out, of the column or of each class."""
-    q = lambda p: F.percentile(F.col(column).cast("double"), p)
     keys = [by] if by else []
-    out = df.groupBy(*keys).agg(q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    out = quantiles(df.select(*keys, F.col(column).cast("double").alias("_value")), keys, "_value", [0.25, 0.5, 0.75])
+    out = out.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     return out.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
 
 
@@ -90,7 +134,6 @@ def null_matrix(df: DataFrame, key: str) -> DataFrame:
 
 
 def quartiles_by_class(df: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """(class, feature, q1, median, q3) of several columns, in one aggregation."""
-    q = lambda p: F.percentile("value", p)
-    long = df.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(by, "x.*")
-    return long.groupBy(by, "feature").agg(q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    """(class, feature, q1, median, q3) of several columns, in one pass."""
+    out = quantiles(_long(df, columns, "feature", by), [by, "feature"], "value", [0.25, 0.5, 0.75])
+    return out.select(by, "feature", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])

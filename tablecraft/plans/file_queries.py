@@ -67,11 +67,13 @@ def stage_list(spark: S, d: str) -> D:
     return files.list_files(spark, path)
 
 
-@query()
+@query("SELECT 8 AS n_files, true AS sized")
 def stage_file_stats(spark: S, d: str) -> D:
+    """Lineitem as eight files, and whether their sizes add up."""
     path = files.new_path(spark, "lineitem")
-    table(spark, d, "lineitem").write.parquet(path)
-    return files.file_stats(files.list_files(spark, path))
+    table(spark, d, "lineitem").repartition(8).write.parquet(path)
+    sized = F.col("total_gb") * 1024 / F.col("n_files") - F.col("mean_mb")
+    return files.file_stats(files.list_files(spark, path)).select("n_files", (F.abs(sized) <= 0.1 * 1024 / 8 + 0.1).alias("sized"))
 
 
 @query("SELECT COUNT(*) * 2 AS loaded, COUNT(*) * 2 AS n FROM orders")
@@ -173,16 +175,19 @@ def incremental_load(spark: S, d: str) -> D:
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey + 1000000, p_name FROM part WHERE p_partkey % 7 = 0")
 def apply_changes(spark: S, d: str) -> D:
-    """Inserts, updates and deletes of parts, applied as a stream of files to a versioned table."""
+    """Inserts, updates and deletes of parts, taken as a stream of files and merged when read, before and after a
+    compaction."""
     p = table(spark, d, "part").select("p_partkey", "p_name")
     ops = [("I", p, 1), ("U", p.where("p_partkey % 3 = 0").withColumn("p_name", F.concat(F.lit("new "), "p_name")), 2), ("D", p.where("p_partkey % 5 = 0"), 3), ("I", p.where("p_partkey % 7 = 0").withColumn("p_partkey", F.col("p_partkey") + 1000000), 4)]
     source, place = files.new_path(spark, "changes"), files.new_path(spark, "place")
-    target = ingest.VersionedTable(spark, files.new_path(spark, "merged"), p.schema)
+    target = None
     for op, rows, seq in ops:
         changes = rows.select(F.lit(op).alias("op"), F.lit(seq).alias("seq"), "p_partkey", "p_name")
         changes.write.mode("append").parquet(source)
+        target = target or ingest.MergedTable(spark, files.new_path(spark, "merged"), changes.schema, ["p_partkey"])
         if seq % 2 == 0:
-            ingest.apply_change_stream(spark, source, changes.schema, target, ["p_partkey"], ["p_name"], place)
+            ingest.apply_change_stream(source, target, place)
+            target = target.compacted(files.new_path(spark, "compacted")) if seq == 2 else target
     return target.read()
 
 

@@ -179,9 +179,9 @@ def self_join_neq(spark: S, d: str) -> D:
     return clean.peers(_with_gaps(spark, d), "o_custkey", "o_orderkey", "priority")
 
 
-@query("SELECT c_custkey, o_orderkey, l_linenumber, l_partkey, p_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE c_custkey % 10 = 0")
+@query("SELECT c_custkey, o_orderkey, l_linenumber, l_partkey, p_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey")
 def left_join_chain(spark: S, d: str) -> D:
-    c = table(spark, d, "customer").where("c_custkey % 10 = 0")
+    c = table(spark, d, "customer")
     c = c.join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return c.join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"), "left").select("c_custkey", "o_orderkey", "l_linenumber", "l_partkey", "p_name")
 
@@ -449,7 +449,7 @@ def dedupe_row_number(spark: S, d: str) -> D:
 
 @query(f"SELECT o_orderkey, o_custkey, COALESCE(priority, first_value(priority IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS priority FROM {_PEERS}")
 def fill_from_peer(spark: S, d: str) -> D:
-    return clean.fill_from_peer(_with_gaps(spark, d), "priority", "o_custkey", [F.col("o_orderkey")])
+    return clean.fill_from_peer(_with_gaps(spark, d), "priority", "o_custkey", ["o_orderkey"])
 
 
 # --- order, limits, sets
@@ -595,11 +595,28 @@ def variant_extract(spark: S, d: str) -> D:
     return table(spark, d, "events").select("event_id", variants.field(v, "$.k", "int").alias("k"), variants.field(v, "$.absent").alias("absent"))
 
 
-@query("SELECT * FROM (SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k, round(value - 273.15, 6) AS celsius, event_type AS conditions FROM events) WHERE k > 50")
+_WEATHER = """to_json({'time': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'city': {'id': user_id, 'name': event_type, 'country': 'US', 'coord': {'lat': value / 10, 'lon': -value / 10}}, 'clouds': {'all': event_id % 101},
+ 'main': {'temp': 273.15 + value, 'temp_min': 272.15 + value, 'temp_max': 274.15 + value}, 'weather': [{'main': event_type, 'description': event_type || ' all day', 'icon': '01d'}], 'wind': {'deg': event_id % 360, 'speed': value / 2}})"""
+
+
+@query(f"""SELECT ts AS observation_time, (r->>'$.city.id')::INT AS city_id, r->>'$.city.name' AS city_name, r->>'$.city.country' AS country, round((r->>'$.city.coord.lat')::DOUBLE, 6) AS city_lat,
+ round((r->>'$.city.coord.lon')::DOUBLE, 6) AS city_lon, (r->>'$.clouds.all')::INT AS clouds, round((r->>'$.main.temp')::DOUBLE - 273.15, 6) AS temp_avg, round((r->>'$.main.temp_min')::DOUBLE - 273.15, 6) AS temp_min,
+ round((r->>'$.main.temp_max')::DOUBLE - 273.15, 6) AS temp_max, r->>'$.weather[0].main' AS conditions, r->>'$.weather[0].description' AS conditions_desc, r->>'$.weather[0].icon' AS icon,
+ (r->>'$.wind.deg')::DOUBLE AS wind_dir, round((r->>'$.wind.speed')::DOUBLE, 6) AS wind_speed FROM (SELECT date_trunc('second', ts) AS ts, {_WEATHER} AS r FROM events) WHERE (r->>'$.city.id')::INT > 50""")
 def weather_view(spark: S, d: str) -> D:
-    v = F.parse_json("props")
-    view = table(spark, d, "events").select("event_id", "ts", variants.field(v, "$.k", "int").alias("k"), F.round(scalars.celsius(F.col("value")), 6).alias("celsius"), F.col("event_type").alias("conditions"))
-    return view.where("k > 50")
+    """Reports of weather as JSON made of events, through the view's fifteen paths."""
+    whole = lambda **kw: F.struct(*[c.alias(k) for k, c in kw.items()])
+    v, n = F.col("value"), F.col("event_id")
+    report = whole(
+        time=F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), clouds=whole(all=n % 101), wind=whole(deg=n % 360, speed=v / 2),
+        city=whole(id=F.col("user_id"), name=F.col("event_type"), country=F.lit("US"), coord=whole(lat=v / 10, lon=-v / 10)),
+        main=whole(temp=v + 273.15, temp_min=v + 272.15, temp_max=v + 274.15),
+        weather=F.array(whole(main=F.col("event_type"), description=F.concat("event_type", F.lit(" all day")), icon=F.lit("01d"))),
+    )
+    reports = table(spark, d, "events").select(F.to_json(report).alias("report"))
+    view = reports.select(F.parse_json("report").alias("v")).select(*[c.alias(k) for k, c in variants.weather_columns(F.col("v")).items()])
+    plain = view.where("city_id > 50").withColumn("observation_time", F.col("observation_time").cast("timestamp_ntz"))
+    return plain.withColumns({c: F.round(c, 6) for c in ("city_lat", "city_lon", "temp_avg", "temp_min", "temp_max", "wind_speed")})
 
 
 @query("SELECT 'JUNIOR_DBA' AS role, '*******' AS event_type, COUNT(*) AS n FROM events UNION ALL SELECT 'SYSADMIN', event_type, COUNT(*) FROM events GROUP BY 2")
@@ -611,7 +628,7 @@ def column_mask(spark: S, d: str) -> D:
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= '1996-01-01'")
 def string_coercion(spark: S, d: str) -> D:
-    return table(spark, d, "orders").where("o_orderdate >= timestamp_ntz '1996-01-01'").select("o_orderkey")
+    return table(spark, d, "orders").where("o_orderdate >= '1996-01-01'").select("o_orderkey")
 
 
 @query("SELECT c_custkey, printf('%.2f', c_acctbal::DOUBLE) || '%' AS label FROM customer WHERE c_acctbal BETWEEN 0 AND 999")

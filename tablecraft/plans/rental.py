@@ -115,6 +115,11 @@ def customer_balance(t: Tables, as_of: dt.datetime) -> DataFrame:
     return t["customer"].select("customer_id").join(due, "customer_id", "left").join(paid, "customer_id", "left").select("customer_id", (zero("fees") + zero("late") - zero("paid")).alias("balance"))
 
 
+def counted(rows: DataFrame, name: str = "found") -> DataFrame:
+    """The rows of a routine with the number of them, which it returns besides."""
+    return rows.join(F.broadcast(rows.agg(F.count("*").alias(name))))
+
+
 def _open(t: Tables) -> DataFrame:
     return t["rental"].where("return_date is null").select("inventory_id")
 

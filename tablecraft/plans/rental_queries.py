@@ -118,10 +118,10 @@ def actor_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AS_OF = dt.date(1996, 3, 15)
 
 
-@query(_WITH + """SELECT * FROM cust WHERE customer_id IN (SELECT customer_id FROM payment WHERE payment_date >= DATE '1996-02-01' AND payment_date < DATE '1996-03-01'
+@query(_WITH + """SELECT *, COUNT(*) OVER () AS found FROM cust WHERE customer_id IN (SELECT customer_id FROM payment WHERE payment_date >= DATE '1996-02-01' AND payment_date < DATE '1996-03-01'
   GROUP BY 1 HAVING SUM(amount) > 1000 AND COUNT(*) > 1)""")
 def rewards_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rental.rewards_report(tables(spark, sf_dir), 1, 1000.0, _AS_OF)
+    return rental.counted(rental.rewards_report(tables(spark, sf_dir), 1, 1000.0, _AS_OF))
 
 
 @query(_WITH + """, due AS (SELECT customer_id, SUM(rental_rate) AS fees, SUM(CASE WHEN date_diff('day', rental_date::DATE, return_date::DATE) - rental_duration > 0
@@ -133,14 +133,14 @@ def customer_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rental.customer_balance(tables(spark, sf_dir), dt.datetime(1996, 3, 15)).withColumn("balance", F.round("balance", 2))
 
 
-@query(_WITH + "SELECT * FROM inventory WHERE inventory_id NOT IN (SELECT inventory_id FROM rental WHERE return_date IS NULL)")
+@query(_WITH + "SELECT *, COUNT(*) OVER () AS found FROM inventory WHERE inventory_id NOT IN (SELECT inventory_id FROM rental WHERE return_date IS NULL)")
 def film_in_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rental.film_in_stock(tables(spark, sf_dir))
+    return rental.counted(rental.film_in_stock(tables(spark, sf_dir)))
 
 
-@query(_WITH + "SELECT * FROM inventory WHERE inventory_id IN (SELECT inventory_id FROM rental WHERE return_date IS NULL)")
+@query(_WITH + "SELECT *, COUNT(*) OVER () AS found FROM inventory WHERE inventory_id IN (SELECT inventory_id FROM rental WHERE return_date IS NULL)")
 def film_not_in_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rental.film_not_in_stock(tables(spark, sf_dir))
+    return rental.counted(rental.film_not_in_stock(tables(spark, sf_dir)))
 
 
 @query(_WITH + "SELECT i.inventory_id, r.customer_id FROM inventory i LEFT JOIN (SELECT * FROM rental WHERE return_date IS NULL) r ON i.inventory_id = r.inventory_id")

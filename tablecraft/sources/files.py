@@ -20,9 +20,12 @@ CSV_FORMAT = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder is made only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. A local folder is made where it is unset and all tasks run in this
+    process, as in tests; on a cluster executors could not see it, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
