@@ -320,3 +320,17 @@ def _itself(content: Column) -> Column:
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+
+
+def oracle_sql(table: str = "documents") -> str:
+    """The join as DuckDB SQL, by all pairs that share a shingle, for tables whose doc_ids are different."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+    WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(text, '{capitals}', '{capitals.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+    shingles AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM texts WHERE len(w) > 0)),
+    sizes AS (SELECT t.doc_id, COUNT(s.shingle) AS n FROM texts t LEFT JOIN shingles s USING (doc_id) GROUP BY 1),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+    ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, w.y FROM reach r JOIN ways w ON r.other = w.x)
+    SELECT s.doc_id, n AS n_shingles, MIN(other) AS component_id FROM sizes s JOIN reach USING (doc_id) GROUP BY 1, 2"""

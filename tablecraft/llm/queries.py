@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(), "op6_license_scan": licenses.oracle_sql()}
+    return {"op2_mixing": mixing.oracle_sql(), "op6_license_scan": licenses.oracle_sql(), "op8_jaccard_join": jaccard.oracle_sql()}

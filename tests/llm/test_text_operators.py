@@ -478,7 +478,10 @@ def check_join(found, texts):
 
 
 def test_jaccard_join(spark, rows):
-    check_join(queries.op8_jaccard_join(spark, DATA).collect(), {r["doc_id"]: r["text"] for r in rows})
+    found = queries.op8_jaccard_join(spark, DATA).collect()
+    check_join(found, {r["doc_id"]: r["text"] for r in rows})
+    q = by_sql(f"SELECT * FROM '{DATA}/documents.parquet'", "documents", jaccard.oracle_sql())
+    assert sorted(tuple(r) for r in found) == sorted(q.fetchall())
 
 
 @pytest.mark.parametrize("seed", range(3))
