@@ -79,14 +79,17 @@ def _balls(lists: DataFrame, sets: DataFrame, tokens: Callable[[Column], Column]
     (a, b) found on the way, and the staged tables that both read."""
     out, links, held = [], [], []
     within = "200 * m <= {} * (n + nc + m)"  # a Jaccard distance of so many percent from the centre at most
+    firsts = lists.groupBy("key").agg(F.min("rep").alias("b"))
+    groups = components(lists.join(firsts, "key").select(F.col("rep").alias("a"), "b")).withColumnRenamed("vertex", "rep").withColumnRenamed("component", "group")
+    groups = staged(groups, "ball-groups")  # later rounds have members of the same groups
+    held.append(groups)
     for _ in range(BALL_ROUNDS):
-        sized = lists.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("first")).where("many > 1")
-        lists = staged(lists.join(sized, "key").select("key", "rep", "many", "first"), "ball-lists")
-        groups = components(lists.select(F.col("rep").alias("a"), F.col("first").alias("b"))).withColumnRenamed("vertex", "rep").withColumnRenamed("component", "group")
+        sized = lists.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+        lists = staged(lists.join(sized, "key").select("key", "rep", "many"), "ball-lists")
         # the most typical set is in the most and longest lists
         typical = lists.groupBy("rep").agg(F.sum("many").alias("weight")).join(groups, "rep")
         centres = typical.groupBy("group").agg(F.max(F.struct("weight", "rep")).alias("c")).select("group", F.col("c.rep").alias("centre"))
-        beside = staged(groups.join(centres, "group").select("centre", "rep"), "ball-members")
+        beside = staged(typical.join(centres, "group").select("centre", "rep"), "ball-members")
         both = beside.join(sets.select(F.col("rep").alias("centre"), F.col("content").alias("x")), "centre").join(sets, "rep")
         both = both.select("centre", "rep", F.explode(F.array(F.struct(tokens(F.col("x")).alias("x"), tokens(F.col("content")).alias("y")))).alias("p"))
         differ = F.concat(F.array_except("p.x", "p.y"), F.array_except("p.y", "p.x"))
