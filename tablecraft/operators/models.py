@@ -119,7 +119,7 @@ def random_forest(**kw) -> RandomForestClassifier:
 
 def boosted_trees(**kw) -> OneVsRest:
     """Boosted trees for several classes, one against the rest."""
-    return OneVsRest(classifier=GBTClassifier(**({"maxIter": 10, "seed": 1} | kw)))
+    return OneVsRest(classifier=GBTClassifier(**({"maxIter": 10, "seed": 1} | kw)), parallelism=4)
 
 
 def accuracy(predictions: DataFrame) -> float:
