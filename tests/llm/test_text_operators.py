@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.llm import decontamination, differences, fingerprints, jaccard, licenses, lines, mixing, quality, queries, samples, sharding, tokens, toxicity
 from tablecraft.llm.shared import read
-from tablecraft.llm.words import chunks, word_hashes
+from tablecraft.llm.words import chunks, mix, shingle_hashes, word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +78,38 @@ def test_fingerprints_of_ids_beyond_doubles(spark):
     check_fingerprints({r["doc_id"]: r for r in out if r["doc_id"] is not None}, texts)
 
 
+def plain_bins(text):
+    """The low bits of every bin, one bin after the other."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    hashes, _ = shingle_hashes(*word_hashes(raw, np.array([0, len(raw)])))
+    n, least = fingerprints.BINS, {}
+    for x in map(int, hashes):
+        b, v = x >> 54, x % (1 << 44)
+        least[b] = min(v, least.get(b, v))
+    out = []
+    for b in range(n):
+        v = least.get(b)
+        if v is None:
+            order = np.argsort(mix((np.arange(n, dtype=np.uint64) + np.uint64(b * n)) * np.uint64(0xD1342543DE82EF95)), kind="stable")
+            donor = next(d for d in order.tolist() if d in least)
+            v = int(mix(np.array([least[donor] ^ (b << 48)], np.uint64))[0]) >> 20
+        out.append(v % 16)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 7, 12, 30, 400])
+def test_likeness_is_that_of_the_bins(n):
+    rng = random.Random(n)
+    a = [f"w{rng.randrange(1000)}" for _ in range(n)]
+    texts = [" ".join(a), " ".join(a[: n * 3 // 4] + ["other"] * (n - n * 3 // 4)), " ".join(a[1:] + ["end"])]
+    packs, some = fingerprints.packed(pa.array(texts))
+    bins = [plain_bins(t) for t in texts]
+    for i, j in ((0, 0), (0, 1), (0, 2), (1, 2)):
+        got = fingerprints.likeness(packs[i : i + 1], some[i : i + 1], packs[j : j + 1], some[j : j + 1])[0]
+        assert got == pytest.approx(np.clip(((bins[i] == bins[j]).mean() - 1 / 16) / (15 / 16), 0, 1))
+    assert fingerprints.likeness(packs[:1], some[:1], packs[:1], some[:1])[0] == 1
+
+
 def test_densification_fills_every_bin():
     rng = np.random.default_rng(1)
     full = rng.random((4, fingerprints.BINS)) < np.array([[0.001], [0.05], [0.6], [0.0]])
