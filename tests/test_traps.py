@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecraft.functions import text
-from tablecraft.operators import clean, measures, profile
+from tablecraft.operators import checks, clean, measures, profile
 from tablecraft.plans import rental
 from tablecraft.sources import files
 from tablecraft.streaming import ingest
@@ -129,3 +129,20 @@ def test_addresses_of_any_number_of_parts(spark):
     out = df.select("i", *[text.part_from_right(F.col("a"), n).alias(f"p{n}") for n in (3, 2, 1)], text.before_comma(F.col("a")).alias("b"), text.after_comma(F.col("a")).alias("c")).orderBy("i").collect()
     assert [tuple(r)[1:4] for r in out] == [(None, None, "1 A ST"), (None, "1 A ST", "TOWN"), ("1 A ST", "TOWN", "TN"), ("FL 2", "TOWN", "TN"), (None, None, None), (None, None, None)]
     assert [tuple(r)[4:] for r in out] == [(None, None), ("1 A ST", "TOWN"), ("1 A ST", "TOWN, TN"), ("1 A ST", "FL 2, TOWN, TN"), ("1 A ST. FL 2", "X, TOWN, TN"), (None, None)]
+
+
+def test_clone_of_a_database(spark, tmp_path):
+    paths = {}
+    for name, n in (("one", 3), ("two", 5)):
+        paths[name] = f"{tmp_path}/{name}"
+        spark.range(n).write.parquet(paths[name])
+    copies = files.clone_database(spark, paths, f"{tmp_path}/copy")
+    spark.range(9).write.mode("overwrite").parquet(paths["one"])
+    assert {k: v.count() for k, v in copies.items()} == {"one": 3, "two": 5}
+    with pytest.raises(Exception, match="exist"):
+        files.clone_database(spark, paths, f"{tmp_path}/copy")
+
+
+def test_conditions_that_are_null_do_not_hold(spark):
+    df = spark.createDataFrame([(1, True, True), (2, True, None), (3, False, True)], "i int, a boolean, b boolean")
+    assert [r["i"] for r in df.where(checks.check_all(F.col("a"), F.col("b"))).collect()] == [1]
