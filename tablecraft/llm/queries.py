@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard, licenses, lines, mixing, quality, sharding, tokens, toxicity
+from . import bpe, decontamination, fingerprints, jaccard, licenses, lines, mixing, quality, search, sharding, tokens, toxicity
 from .shared import read
 
 
@@ -59,10 +59,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_mixing, op3_toxicity, op4_line_dedup, op5_quality, op6_license_scan, op7_decontamination, op8_jaccard_join, op9_tokens, op10_sharding]
+    found = [op1_fingerprints, op2_mixing, op3_toxicity, op4_line_dedup, op5_quality, op6_license_scan, op7_decontamination, op8_jaccard_join, op9_tokens, op10_sharding, op11_bpe, op12_search]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(), "op6_license_scan": licenses.oracle_sql(), "op8_jaccard_join": jaccard.oracle_sql()}
+    return {"op2_mixing": mixing.oracle_sql(), "op6_license_scan": licenses.oracle_sql(), "op8_jaccard_join": jaccard.oracle_sql(), "op12_search": search.oracle_sql()}
