@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, jaccard, licenses, lines, mixing, quality, search, sharding, tokens, toxicity
+from . import align, bpe, decontamination, fingerprints, jaccard, licenses, lines, mixing, quality, search, sharding, tokens, toxicity
 from .shared import read
 
 
@@ -70,8 +70,14 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.summary(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_mixing, op3_toxicity, op4_line_dedup, op5_quality, op6_license_scan, op7_decontamination, op8_jaccard_join, op9_tokens, op10_sharding, op11_bpe, op12_search]
+    found = [op1_fingerprints, op2_mixing, op3_toxicity, op4_line_dedup, op5_quality, op6_license_scan, op7_decontamination, op8_jaccard_join, op9_tokens, op10_sharding, op11_bpe, op12_search, op13_alignment]
     return {f.__name__: f for f in found}
 
 
