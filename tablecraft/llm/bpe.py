@@ -10,7 +10,7 @@ A word has to take its lowest pair first, the leftmost one of equal pairs. Words
 ranks over all of them is the same, unless a merge makes a pair of a lower rank: then the word's other positions wait
 until that one has been taken.
 
-``encode`` gives the ids of each whole text, ``decode`` their bytes, ``digests`` checksums of both. All are narrow maps
+``encode`` gives the ids of each whole text, ``decode`` their bytes, ``round_trips`` checksums of both. All are narrow maps
 without a shuffle; a task that is lost is run again. Words that a process has met are remembered, twice ``KEEP`` at most.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes; rows without doc_id, repeated rows and equal
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 #: Bytes of text whose words are looked up at once, symbols of new words that are replayed at once, words that are
 #: remembered in each of two generations, and positions of a rank below which arrays don't pay. They bound memory and
 #: time and change nothing else.
-SLICE, AT_ONCE, KEEP, FEW = 4 << 20, 2 << 20, 200_000, 24
+SLICE, AT_ONCE, KEEP, FEW = 4 << 20, 1 << 19, 150_000, 24
 NONE = 1 << 30
 
 
@@ -106,7 +106,7 @@ class ByteVocabulary:
         """The ids of each word as packed unsigned 32-bit little-endian integers."""
         end = self.size - 1
         raw = np.full(sum(map(len, words)) + len(words) + 1, 256)
-        ends = np.cumsum([len(w) + 1 for w in words])
+        ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
         letters = np.ones(len(raw), bool)
         letters[0], letters[ends] = False, False
         raw[letters] = np.frombuffer(b"".join(words), np.uint8)
@@ -136,7 +136,7 @@ class ByteVocabulary:
             at = at[rank[at] == r]  # elsewhere a neighbour has changed since
             if not len(at):
                 continue
-            new = self.made[r]
+            new, every = self.made[r], at
             gone = after[at]
             if len(at) > 1 and (follows := gone[:-1] == at[1:]).any():
                 # of a run of occurrences that overlap every other one is taken, from the left
@@ -148,12 +148,12 @@ class ByteVocabulary:
             alike = np.full(len(at), new)
             right, left = self._ranks(alike, sym[k]), self._ranks(np.where(joined, new, sym[h]), alike)
             if (lower := np.minimum(left, right) < r).any():
-                word = np.searchsorted(s.ends, at, side="right")
-                stops = np.isin(word, word[lower]) & ~np.concatenate(([True], word[1:] != word[:-1]))
-                if stops.any():
-                    index[r] = [at[stops]]
-                    heapq.heappush(heap, r)
-                    at, gone, k = at[~stops], gone[~stops], k[~stops]
+                # in the words of these only the first one is merged, and all others wait
+                word, each = (np.searchsorted(s.ends, x, side="right") for x in (at, every))
+                index[r] = [every[np.isin(each, word[lower])]]
+                heapq.heappush(heap, r)
+                go = ~np.isin(word, word[lower]) | np.concatenate(([True], word[1:] != word[:-1]))
+                at, gone, k = at[go], gone[go], k[go]
                 joined = np.ones(len(at), bool)
             sym[at], sym[gone], rank[gone] = new, -1, NONE
             after[at], before[k] = k, at
@@ -343,44 +343,52 @@ def encoder_at(path: str, pattern: str) -> Encoder:
     return bpe_encoder(vocabulary_at(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every row. ``path`` is read on each executor, where the vocabulary files have to be installed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_at(path, pattern)
-        for b in batches:
-            for part in slices(b, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), list_of(*encoder.texts(part.column(1).to_pylist()))], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+Batches = Iterator[pa.RecordBatch]
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, bytes) of every row of (doc_id, ids)."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+def encoded_batches(batches: Batches, path: str, pattern: str) -> Batches:
+    """(doc_id, ids) of (doc_id, text)."""
+    encoder = encoder_at(path, pattern)
+    for b in batches:
+        for part in slices(b, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), list_of(*encoder.texts(part.column(1).to_pylist()))], ["doc_id", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary_at(path).tokens
-        for b in batches:
-            for part in slices(b, 1):
-                texts = [b"".join([tokens[i] for i in ids]) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")
+def decoded_batches(batches: Batches, path: str) -> Batches:
+    """(doc_id, ids, bytes) of (doc_id, ids)."""
+    tokens = vocabulary_at(path).tokens
+    for b in batches:
+        for part in slices(b, 1):
+            texts = [b"".join([tokens[i] for i in ids]) for ids in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "bytes"])
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digested_batches(batches: Batches) -> Batches:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, bytes); ids are hashed as little-endian unsigned
     32-bit integers."""
-    kind = decoded.schema["doc_id"].dataType.simpleString()
+    for b in batches:
+        ids, texts = b.column(1), b.column(2)
+        flat, at = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+        of_ids = [hashlib.sha256(flat[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
+        of_bytes = [hashlib.sha256(t.as_buffer()).hexdigest() for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(1), b.column(2)
-            flat, at = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            of_ids = [hashlib.sha256(flat[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
-            of_bytes = [hashlib.sha256(t.as_buffer()).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(of_ids), pa.array(of_bytes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids) of every row. ``path`` is read on each executor, where the vocabulary files have to be installed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lambda b: encoded_batches(b, path, pattern), f"doc_id {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, bytes) of every row of (doc_id, ids)."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(lambda b: decoded_batches(b, path), f"doc_id {kind}, ids array<int>, bytes binary")
 
-    return decoded.select("doc_id", "ids", "bytes").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): checksums of each text's ids and of what they decode to, made in
+    one pass."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = lambda b: digested_batches(decoded_batches(encoded_batches(b, path, pattern), path))
+    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

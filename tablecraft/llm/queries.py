@@ -62,8 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
+    return bpe.round_trips(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
