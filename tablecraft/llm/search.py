@@ -67,7 +67,7 @@ class Terms:
             raise ValueError("two terms of the items have one hash")
         order = np.argsort(hashes)
         size = np.diff(starts)[order]
-        at = np.repeat(starts[:-1][order] - np.r_[0, np.cumsum(size)[:-1]].astype(np.int64), size) + np.arange(size.sum())
+        at = np.repeat(starts[:-1][order] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return cls(hashes[order], np.r_[0, np.cumsum(size)].astype(np.int64), data[at])
 
     def find(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ class Terms:
         at = np.flatnonzero((self.hashes[t] == h) & (self.starts[t + 1] - self.starts[t] == e - s))
         t = t[at]
         size = e[at] - s[at]
-        begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+        begin = np.cumsum(size) - size
         inner = np.arange(size.sum()) - np.repeat(begin, size)
         same = buf[np.repeat(s[at], size) + inner] == self.data[np.repeat(self.starts[t], size) + inner]
         good = np.logical_and.reduceat(same, begin) if len(at) else np.zeros(0, bool)
