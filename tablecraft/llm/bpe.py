@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 #: Bytes of text whose words are looked up at once, symbols of new words that are replayed at once, words that are
 #: remembered in each of two generations, and positions of a rank below which arrays don't pay. They bound memory and
 #: time and change nothing else.
-SLICE, AT_ONCE, KEEP, FEW = 4 << 20, 1 << 19, 150_000, 24
+SLICE, AT_ONCE, KEEP, FEW = 8 << 20, 1 << 20, 300_000, 60
 NONE = 1 << 30
 
 
@@ -239,9 +239,10 @@ def printable() -> dict[str, int]:
 
 
 @cache
-def _differing() -> tuple[frozenset, dict]:
+def _differing() -> tuple[frozenset, dict, bytes]:
     """Characters that the regex module and the tokenizers' library put in different classes, since they know different
-    editions of Unicode, and for each a character that both put where the library has it."""
+    editions of Unicode, for each a character that both put where the library has it, and the bytes of UTF-8 that none
+    of them begins with or that are below those."""
     import tiktoken
 
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
@@ -253,7 +254,7 @@ def _differing() -> tuple[frozenset, dict]:
         stand.update({c: inside for c in theirs - ours})
         for c in ours - theirs:
             stand.setdefault(c, "�")
-    return frozenset(stand), {ord(c): s for c, s in stand.items()}
+    return frozenset(stand), {ord(c): s for c, s in stand.items()}, bytes(range(min((c.encode()[0] for c in stand), default=256)))
 
 
 @cache
@@ -263,8 +264,8 @@ def _compiled(pattern: str) -> regex.Pattern:
 
 def pretokens(pattern: str, text: str) -> list[str]:
     """The matches of the pattern, whose classes are those of the tokenizers' library."""
-    differ, stand = _differing()
-    if text.isascii() or differ.isdisjoint(text):
+    differ, stand, lower = _differing()
+    if text.isascii() or not text.encode().translate(None, lower) or differ.isdisjoint(text):
         return _compiled(pattern).findall(text)
     return [text[m.start() : m.end()] for m in _compiled(pattern).finditer(text.translate(stand))]
 
@@ -286,7 +287,7 @@ class Encoder:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         now: dict[str, bytes] = {}
-        missing = {w for ws in words for w in ws if w not in young}
+        missing = set().union(*words).difference(young)
         now.update((w, old[w]) for w in missing if w in old)
         fresh = [w for w in missing if w not in old]
         lo = 0
@@ -298,7 +299,7 @@ class Encoder:
             now.update(zip(fresh[lo:hi], self.encode_new(fresh[lo:hi]), strict=True))
             lo = hi
         young.update(now)
-        parts = [b"".join([young[w] for w in ws]) for ws in words]
+        parts = [b"".join(map(young.__getitem__, ws)) for ws in words]
         # a word of a megabyte is not worth remembering
         for w in [w for w in now if len(w) > 64]:
             del young[w]
@@ -356,11 +357,12 @@ def encoded_batches(batches: Batches, path: str, pattern: str) -> Batches:
 
 def decoded_batches(batches: Batches, path: str) -> Batches:
     """(doc_id, ids, bytes) of (doc_id, ids)."""
-    tokens = vocabulary_at(path).tokens
+    tokens = pa.array(vocabulary_at(path).tokens, pa.binary())
     for b in batches:
         for part in slices(b, 1):
-            texts = [b"".join([tokens[i] for i in ids]) for ids in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "bytes"])
+            ids = part.column(1)
+            each = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), tokens.take(ids.flatten()))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, pc.binary_join(each, b"")], ["doc_id", "ids", "bytes"])
 
 
 def digested_batches(batches: Batches) -> Batches:
