@@ -37,6 +37,9 @@ from .bpe import Encoder, encoder_at, list_of, slices, vocabulary_at
 from .shared import dropped, staged
 
 MARK = "▁"
+#: Words that each side remembers in each of two generations, bytes of text that are aligned at once, and links that are
+#: counted at once. They bound memory only.
+KEEP, SLICE, LINKS = 120_000, 1 << 20, 1 << 20
 _WORD = re.compile(" *[^ ]+| +")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
@@ -58,7 +61,7 @@ def pieces_at(path: str) -> tuple[Encoder, list[bytes]]:
         return [np.array(ids or [blank], "<u4").tobytes() for ids in found]
 
     of_bytes = [bytes([int(m[1], 16)]) if model.is_byte(i) and (m := _BYTE.fullmatch(p)) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-    return Encoder(lambda text: _WORD.findall(" " + text), encode_new), of_bytes
+    return Encoder(lambda text: _WORD.findall(" " + text), encode_new, KEEP), of_bytes
 
 
 @dataclass
@@ -78,7 +81,7 @@ def sides_at(path_a: str, path_b: str, pattern: str) -> Sides:
     a, (b, of_b) = encoder_at(path_a, pattern), pieces_at(path_b)
     of_a = vocabulary_at(path_a).tokens
     words = [f"{i}{x}" for of, marks in ((of_a, ",|"), (of_b, ",;")) for i in range(len(of)) for x in marks]
-    return Sides(Encoder(lambda text: a.split(" " + text), a.encode_new), b, pa.array(of_a, pa.large_binary()), pa.array(of_b, pa.large_binary()), pa.array(words, pa.large_string()))
+    return Sides(Encoder(lambda text: a.split(" " + text), a.encode_new, KEEP), b, pa.array(of_a, pa.large_binary()), pa.array(of_b, pa.large_binary()), pa.array(words, pa.large_string()))
 
 
 def pair_bound(path_a: str, path_b: str) -> int:
@@ -102,11 +105,13 @@ def _tokens(encoder: Encoder, of_bytes: pa.Array, texts: list[str], whole: pa.Ar
 
 
 def _ends(ids: pa.ListArray, of_bytes: pa.Array, place: str) -> pa.Table:
-    """(text, end, place): of each token its text, the byte at which it ends there, and its place among all tokens."""
+    """(end, place): of each token its text and the byte at which it ends there, as one number, and its place among all
+    tokens."""
     text = pc.list_parent_indices(ids)
     upto = pc.cumulative_sum(pc.binary_length(of_bytes.take(ids.values)))
     before = pa.concat_arrays([pa.array([0], pa.int64()), upto]).take(ids.offsets.slice(0, len(ids)))  # of each text's first token
-    return pa.table({"text": text, "end": pc.subtract(upto, before.take(text)), place: np.arange(len(text))})
+    start = pc.subtract(pc.multiply(pa.array(np.arange(len(ids))), 1 << 40), before)
+    return pa.table({"end": pc.add(upto, start.take(text)), place: np.arange(len(text), dtype=np.int32)})
 
 
 @dataclass
@@ -136,8 +141,9 @@ def align(sides: Sides, texts: list[str | None]) -> Aligned:
         none = pa.array(np.where(same, np.arange(len(texts)), -1))
         none = pc.if_else(pc.less(none, 0), None, none)
         a, b = (_without_nulls(x.take(none)) for x in (a, b))
-    met = _ends(a, sides.bytes_a, "a").join(_ends(b, sides.bytes_b, "b"), ["text", "end"], join_type="inner", use_threads=False).sort_by("a")
-    return Aligned(a, b, *(met[c].to_numpy() for c in ("text", "a", "b")))
+    met = _ends(a, sides.bytes_a, "a").join(_ends(b, sides.bytes_b, "b"), "end", join_type="inner", use_threads=False)
+    last_a, last_b = np.sort(met["a"].to_numpy()), np.sort(met["b"].to_numpy())  # both sides end in the same order
+    return Aligned(a, b, pc.list_parent_indices(a).to_numpy()[last_a], last_a.astype(np.int64), last_b.astype(np.int64))
 
 
 def _without_nulls(lists: pa.ListArray) -> pa.ListArray:
@@ -169,7 +175,7 @@ def _mapped(docs: DataFrame, paths: tuple[str, str, str], schema: str, make: Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = sides_at(*paths)
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(sides, align(sides, part.column(1).to_pylist()), part)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
@@ -202,7 +208,7 @@ def pair_counts(linked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for part in slices(batch, 0, 16 << 20):
+            for part in slices(batch, 0, 4 * LINKS):
                 some = pa.table({"a": part.column(0).flatten(), "b": part.column(1).flatten(), "n": np.ones(pc.sum(pc.list_value_length(part.column(0))).as_py() or 0, np.int64)})
                 both = some if total is None else pa.concat_tables([total, some])
                 total = both.group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["a", "b", "n"])
@@ -226,7 +232,7 @@ def _scored(linked: DataFrame, counts: pa.Table) -> DataFrame:
         order = np.argsort(code)
         code, n, is_best = code[order], known["n"].to_numpy()[order], pc.equal(known["n"], known["n_max"]).to_numpy()[order]
         for batch in batches:
-            for part in slices(batch, 5, 8 << 20):
+            for part in slices(batch, 5, 4 * LINKS):
                 a, b = part.column(5), part.column(6)
                 size = pc.list_value_length(a).to_numpy()
                 at = np.searchsorted(code, a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy())
