@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import files
-from ..streaming import ingest
+from ..streaming import changes, ingest
 from .registry import query, table
 from .relational_queries import trips_of_events
 
@@ -175,19 +175,18 @@ def incremental_load(spark: S, d: str) -> D:
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey + 1000000, p_name FROM part WHERE p_partkey % 7 = 0")
 def apply_changes(spark: S, d: str) -> D:
-    """Inserts, updates and deletes of parts, taken as a stream of files and merged when read, before and after a
-    compaction."""
+    """Inserts, updates and deletes of parts, taken as a stream of files in disorder: the deletes come before the older
+    updates, and a compaction is between them."""
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    ops = [("I", p, 1), ("U", p.where("p_partkey % 3 = 0").withColumn("p_name", F.concat(F.lit("new "), "p_name")), 2), ("D", p.where("p_partkey % 5 = 0"), 3), ("I", p.where("p_partkey % 7 = 0").withColumn("p_partkey", F.col("p_partkey") + 1000000), 4)]
+    first = [("D", p.where("p_partkey % 5 = 0"), 3), ("I", p, 1)]
+    late = [("I", p.where("p_partkey % 7 = 0").withColumn("p_partkey", F.col("p_partkey") + 1000000), 4), ("U", p.where("p_partkey % 3 = 0").withColumn("p_name", F.concat(F.lit("new "), "p_name")), 2)]
     source, place = files.new_path(spark, "changes"), files.new_path(spark, "place")
-    target = None
-    for op, rows, seq in ops:
-        changes = rows.select(F.lit(op).alias("op"), F.lit(seq).alias("seq"), "p_partkey", "p_name")
-        changes.write.mode("append").parquet(source)
-        target = target or ingest.MergedTable(spark, files.new_path(spark, "merged"), changes.schema, ["p_partkey"])
-        if seq % 2 == 0:
-            ingest.apply_change_stream(source, target, place)
-            target = target.compacted(files.new_path(spark, "compacted")) if seq == 2 else target
+    target = changes.ChangedTable(spark, files.new_path(spark, "changed"), T.StructType.fromDDL("op string, seq long, p_partkey bigint, p_name string"), ["p_partkey"])
+    for batch in (first, late):
+        for op, rows, seq in batch:
+            rows.select(F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), F.col("p_partkey").cast("long"), "p_name").write.mode("append").parquet(source)
+        changes.apply_change_stream(source, target, place)
+        target = target.compacted(files.new_path(spark, "compacted"))
     return target.read()
 
 

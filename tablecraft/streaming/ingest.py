@@ -49,40 +49,6 @@ def apply_changes(current: DataFrame, changes: DataFrame, keys: list[str], colum
     return rows.select(*[F.coalesce(F.col(k), F.col(f"_{k}")).alias(k) for k in keys], *[F.when(take, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
-class MergedTable:
-    """A Parquet table of changes (op, seq, keys, columns), a partition for each applied batch, which readers merge. A
-    batch writes its own partition only, whatever the size of the table; writing it again after a lost run replaces it."""
-
-    def __init__(self, spark: SparkSession, path: str, changes: T.StructType, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
-        self.changes = T.StructType([*changes.fields, T.StructField("batch", T.LongType())])
-        self.columns = [f.name for f in changes.fields if f.name not in ("op", "seq", *keys)]
-
-    def append(self, changes: DataFrame, batch: int) -> None:
-        written = changes.withColumn("batch", F.lit(batch).cast("long")).write.partitionBy("batch")
-        written.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
-
-    def read(self, upto: int | None = None) -> DataFrame:
-        """The table after all batches, or after those up to one; batches beyond it aren't read."""
-        found = self.spark.read.schema(self.changes).parquet(self.path)
-        found = found if upto is None else found.where(F.col("batch") <= upto)
-        return latest_changes(found, self.keys).where("op <> 'D'").select(*self.keys, *self.columns)
-
-    def compacted(self, path: str) -> MergedTable:
-        """A copy whose only batch is the table as it is now."""
-        out = MergedTable(self.spark, path, T.StructType(self.changes.fields[:-1]), self.keys)
-        out.append(self.read().select(F.lit("I").alias("op"), F.lit(0).alias("seq"), "*"), -1)
-        return out
-
-
-def apply_change_stream(source: str, table: MergedTable, checkpoint: str, max_files: int | None = None) -> None:
-    """Take the change files that earlier runs haven't taken, in their order, as a batch of the table each time."""
-    options = {"maxFilesPerTrigger": str(max_files)} if max_files else {}
-    stream = table.spark.readStream.schema(T.StructType(table.changes.fields[:-1])).options(**options).parquet(source)
-    q = stream.writeStream.foreachBatch(table.append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
 def hourly_metrics_stream(trips: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Trips, mean minutes and mean km of each closed hour of a stream (ts, seconds, lat1, lon1, lat2, lon2). Rows that
     come later than ``late`` behind the newest are dropped."""

@@ -12,7 +12,7 @@ from tablecraft.functions import text
 from tablecraft.operators import checks, clean, measures, profile
 from tablecraft.plans import rental
 from tablecraft.sources import files
-from tablecraft.streaming import ingest
+from tablecraft.streaming import changes, ingest
 
 
 def rows(df, *names):
@@ -88,17 +88,17 @@ def test_peers(spark):
 
 def test_null_safe_updates(spark):
     now = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, t string")
-    changes = spark.createDataFrame([("U", 1, 1, None), ("U", 1, 2, "b"), ("U", 1, 3, "d"), ("D", 2, 3, None), ("I", 1, 4, "e")], "op string, seq int, id int, t string")
-    run = lambda safe: {r["id"]: r["t"] for r in ingest.apply_changes(now, changes, ["id"], ["t"], null_safe=safe).collect()}
+    log = spark.createDataFrame([("U", 1, 1, None), ("U", 1, 2, "b"), ("U", 1, 3, "d"), ("D", 2, 3, None), ("I", 1, 4, "e")], "op string, seq int, id int, t string")
+    run = lambda safe: {r["id"]: r["t"] for r in ingest.apply_changes(now, log, ["id"], ["t"], null_safe=safe).collect()}
     assert run(True) == {1: None, 2: "b", 4: "e"} and run(False) == {1: "a", 2: None, 4: "e"}
 
 
 def test_batches_of_changes_in_any_cut(spark, tmp_path):
-    schema = "op string, seq int, id int, t string"
+    schema = "op string, seq long, id int, t string"
     all_ = [("I", 1, 1, "a"), ("I", 1, 2, "b"), ("U", 2, 1, "c"), ("D", 3, 2, None), ("I", 4, 2, "again"), ("U", 5, 9, "late")]
     found = []
     for at, cuts in enumerate(([6], [1, 5], [2, 2, 2])):
-        t = ingest.MergedTable(spark, f"{tmp_path}/{at}", spark.createDataFrame([], schema).schema, ["id"])
+        t = changes.ChangedTable(spark, f"{tmp_path}/{at}", spark.createDataFrame([], schema).schema, ["id"])
         left = list(all_)
         for k, n in enumerate(cuts):
             t.append(spark.createDataFrame(left[:n], schema), k)
