@@ -191,34 +191,56 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFram
     return _mapped(docs, (path_a, path_b, pattern), "a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>", lambda _, x, __: [x.a, x.b, *(_of_texts(x, s) for s in x.sizes())])
 
 
+def packed(ids_a: np.ndarray, ids_b: np.ndarray, per_text: np.ndarray, kind: str) -> pa.BinaryArray:
+    """The linked ids of each text as bytes, A's and B's in turn: Spark carries them as they are."""
+    data = np.stack([ids_a, ids_b], 1).astype(kind)
+    offsets = np.r_[0, np.cumsum(per_text)] * (2 * data.itemsize)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def unpacked(links: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of A, ids of B, how many links each text has)."""
+    offsets = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1]
+    data = np.frombuffer(links.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(-1, 2)
+    return data[:, 0].astype(np.int64), data[:, 1].astype(np.int64), np.diff(offsets) // (2 * data.itemsize)
+
+
+def _kind(path_a: str, path_b: str) -> str:
+    """The least type that holds the ids of both sides."""
+    return "<u2" if max(len(vocabulary_at(path_a).tokens), len(pieces_at(path_b)[1])) <= 1 << 16 else "<u4"
+
+
 def links(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups_sha256, link_a, link_b): figures of each text and the ids that it links."""
+    """(doc_id, n_a, n_b, n_groups, groups_sha256, links): figures of each text and the ids that it links, packed."""
+    kind = _kind(path_a, path_b)
 
     def make(sides: Sides, x: Aligned, _: pa.RecordBatch) -> list:
         n = [pa.array(np.asarray(v).astype(np.int64)) for v in (np.diff(x.a.offsets.to_numpy()), np.diff(x.b.offsets.to_numpy()), x.groups())]
-        told = pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in described(sides, x)])
-        return [*n, told, *(_of_texts(x, side.values.to_numpy()[last]) for side, last in ((x.a, x.last_a), (x.b, x.last_b)))]
+        told = pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in described(sides, x)], pa.string())
+        return [*n, told, packed(x.a.values.to_numpy()[x.last_a], x.b.values.to_numpy()[x.last_b], x.groups(), kind)]
 
-    return _mapped(docs, (path_a, path_b, pattern), "n_a long, n_b long, n_groups long, groups_sha256 string, link_a array<int>, link_b array<int>", make)
+    return _mapped(docs, (path_a, path_b, pattern), "n_a long, n_b long, n_groups long, groups_sha256 string, links binary", make)
 
 
-def pair_counts(linked: DataFrame) -> DataFrame:
+def pair_counts(linked: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(a, b, n): how many links hold each pair of ids. Tasks count with ``Table.group_by``; their counts are summed up."""
+    kind = _kind(path_a, path_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for part in slices(batch, 0, 4 * LINKS):
-                some = pa.table({"a": part.column(0).flatten(), "b": part.column(1).flatten(), "n": np.ones(pc.sum(pc.list_value_length(part.column(0))).as_py() or 0, np.int64)})
+                a, b, _ = unpacked(part.column(0), kind)
+                some = pa.table({"a": a.astype(np.int32), "b": b.astype(np.int32), "n": np.ones(len(a), np.int64)})
                 both = some if total is None else pa.concat_tables([total, some])
                 total = both.group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["a", "b", "n"])
         if total is not None:
             yield from total.combine_chunks().to_batches(1 << 16)
 
-    return linked.select("link_a", "link_b").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return linked.select("links").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _scored(linked: DataFrame, counts: pa.Table) -> DataFrame:
+def _scored(linked: DataFrame, counts: pa.Table, links_kind: str) -> DataFrame:
     """``linked`` with n_links, n_best and count_sum instead of the ids."""
     kind = linked.schema["doc_id"].dataType.simpleString()
     sent = linked.sparkSession.sparkContext.broadcast(counts)
@@ -233,9 +255,8 @@ def _scored(linked: DataFrame, counts: pa.Table) -> DataFrame:
         code, n, is_best = code[order], known["n"].to_numpy()[order], pc.equal(known["n"], known["n_max"]).to_numpy()[order]
         for batch in batches:
             for part in slices(batch, 5, 4 * LINKS):
-                a, b = part.column(5), part.column(6)
-                size = pc.list_value_length(a).to_numpy()
-                at = np.searchsorted(code, a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy())
+                a, b, size = unpacked(part.column(5), links_kind)
+                at = np.searchsorted(code, a << 32 | b)
                 text = np.repeat(np.arange(len(size)), size)
                 sums = np.zeros(len(size), np.int64)
                 np.add.at(sums, text, n[at])
@@ -243,16 +264,16 @@ def _scored(linked: DataFrame, counts: pa.Table) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array(np.asarray(x).astype(np.int64)) for x in (size, better, sums)), part.column(4)], [*kept, "n_links", "n_best", "count_sum", "groups_sha256"])
 
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return linked.select(*kept, "groups_sha256", "link_a", "link_b").mapInArrow(run, schema)
+    return linked.select(*kept, "groups_sha256", "links").mapInArrow(run, schema)
 
 
 def summary(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row. ``n_best`` are the links whose
     pair is the most frequent one of its B id, ties included, ``count_sum`` is the sum of the pairs' counts."""
     linked = staged(links(docs, path_a, path_b, pattern), "links")
-    counts = pair_counts(linked).toArrow()
+    counts = pair_counts(linked, path_a, path_b).toArrow()
     if len(counts) > (most := pair_bound(path_a, path_b)):
         raise RuntimeError(f"{len(counts)} pairs of ids where {most} can be")
-    out = staged(_scored(linked, counts.combine_chunks()), "alignment")
+    out = staged(_scored(linked, counts.combine_chunks(), _kind(path_a, path_b)), "alignment")
     dropped(linked)
     return out
