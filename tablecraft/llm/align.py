@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -39,7 +40,7 @@ from .shared import dropped, staged
 MARK = "▁"
 #: Words that each side remembers in each of two generations, bytes of text that are aligned at once, and links that are
 #: counted at once. They bound memory only.
-KEEP, SLICE, LINKS = 120_000, 1 << 20, 1 << 20
+KEEP, SLICE, LINKS = 250_000, 2 << 20, 1 << 20
 _WORD = re.compile(" *[^ ]+| +")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
@@ -53,12 +54,12 @@ def pieces_at(path: str) -> tuple[Encoder, list[bytes]]:
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     if any(MARK in p.lstrip(MARK) for p in pieces):
         raise ValueError("a piece crosses a word's start: texts can't be cut there")
-    blank = model.piece_to_id(MARK)
+    alone = struct.pack("<I", model.piece_to_id(MARK))
 
     def encode_new(words: list[str]) -> list[bytes]:
         # each word begins with a space, which the model puts there; of a single space nothing would be left
         found = model.encode([w[1:] for w in words], num_threads=1)
-        return [np.array(ids or [blank], "<u4").tobytes() for ids in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) if ids else alone for ids in found]
 
     of_bytes = [bytes([int(m[1], 16)]) if model.is_byte(i) and (m := _BYTE.fullmatch(p)) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
     return Encoder(lambda text: _WORD.findall(" " + text), encode_new, KEEP), of_bytes
