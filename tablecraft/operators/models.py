@@ -7,18 +7,21 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, MinMaxScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, MinMaxScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import many_fits
 from .profile import categorical, numeric
 
 
@@ -27,23 +30,102 @@ def columns_by_type(df: DataFrame, but: tuple[str, ...] = ()) -> tuple[list[str]
     return [c for c in numeric(df) if c not in but], [c for c in categorical(df) if c not in but]
 
 
-def impute_numeric(df: DataFrame, columns: list[str], rounds: int = 10, through=None) -> DataFrame:
-    """Fill NULLs by chained regressions: means first, then round by round each column with NULLs from all others.
-    Known cells never change. ``through`` is called with the table after each round and returns it with its lineage
-    cut (a written table or ``checkpoint()``); without it the plan grows with every round."""
-    gaps = [c for c in columns if df.where(F.col(c).isNull()).limit(1).count()]
+#: Combinations of missing columns that are told apart at most; beyond that columns are regressed one after another.
+PATTERNS = 1_000
+
+
+def impute_numeric(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-6, through=None) -> DataFrame:
+    """Fill NULLs by chained regressions: means first, then round by round each column with NULLs from all others, by the
+    rows that know it. Known cells never change; a column without any value stays NULL.
+
+    What stands in a gap is, after every step, linear in the row's known cells, and in the same way for all rows that lack
+    the same columns. So products of known cells, summed up for each such pattern in one pass, are all that the regressions
+    of all rounds need: these are solved on the driver, in matrices of the number of columns, and a last narrow pass fills
+    the gaps. Features are held down by ``ridge`` in units of their standard deviation. Where there are more than
+    ``PATTERNS`` patterns, each regression is a pass of its own, and ``through`` is called with the table after each round
+    and returns it with its lineage cut."""
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns], F.count("*").alias("_all")).first()
+    gaps = [c for c in columns if 0 < nulls[c] < nulls["_all"]]
+    used = [c for c in columns if nulls[c] < nulls["_all"]]
     if not gaps:
         return df
-    names = [f"_was_null_{c}" for c in gaps]
-    work = df.withColumns({n: F.col(c).isNull() for n, c in zip(names, gaps, strict=True)}).withColumns({c: F.col(c).cast("double") for c in columns})
-    work = Imputer(inputCols=gaps, outputCols=[f"_filled_{c}" for c in gaps]).fit(work).transform(work)
-    work = work.drop(*gaps).withColumnsRenamed({f"_filled_{c}": c for c in gaps})
+    if df.select(*[F.col(c).isNull().alias(f"_{c}") for c in gaps]).distinct().limit(PATTERNS + 1).count() > PATTERNS:
+        return _impute_one_by_one(df, used, gaps, rounds, ridge, through)
+    places = [used.index(c) for c in gaps]
+    cells = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(used)])
+
+    def products(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).astype(float)
+        code = [row.tobytes() for row in np.isnan(x[:, places])]
+        z = np.c_[np.nan_to_num(x), np.ones(len(x))]
+        names, of = np.unique(code, return_inverse=True)
+        return {"".join("01"[v] for v in n.ljust(len(places), b"\0")): z[of == k].T @ z[of == k] for k, n in enumerate(names)}
+
+    d = len(used) + 1
+    sums = {name: v.reshape(d, d) for name, v in many_fits.totals(cells, products).items()}
+    fills = chained_regressions({tuple(c == "1" for c in name): v for name, v in sums.items()}, places, rounds, ridge)
+    pattern = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in gaps])
+    table = df.sparkSession.createDataFrame([("".join("01"[m] for m in missing), v.tolist()) for missing, v in fills.items()], "_pattern string, _fill array<array<double>>")
+    both = df.withColumn("_pattern", pattern).join(F.broadcast(table), "_pattern")
+    known = [*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used], F.lit(1.0)]
+    filled = both.withColumn("_known", F.array(*known))
+    value = lambda i: F.aggregate(F.zip_with("_known", F.col("_fill")[i], lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+    return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), value(i)) for i, c in enumerate(gaps)}).select(*df.columns)
+
+
+def _regression(gram: np.ndarray, target: int, others: list[int], ridge: float) -> np.ndarray:
+    """Weights of ``others`` and an intercept for the target, from sums of products whose last row and column are of 1."""
+    n = gram[-1, -1]
+    mean = gram[-1] / n
+    cov = gram / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cov)[others], 0))
+    scale = np.where(scale > 1e-12 * (1 + abs(mean[others])), scale, np.inf)
+    r = cov[np.ix_(others, others)] / np.outer(scale, scale) + ridge * np.eye(len(others))
+    w = np.linalg.solve(r, cov[others, target] / scale) / scale
+    return np.r_[w, mean[target] - mean[others] @ w]
+
+
+def chained_regressions(sums: dict[tuple[bool, ...], np.ndarray], places: list[int], rounds: int, ridge: float) -> dict[tuple[bool, ...], np.ndarray]:
+    """For each pattern of missing columns how each of these follows from a row's known cells and 1: an array (gaps,
+    cells + 1). ``sums`` are products of cells, missing ones being 0, and 1, ``places`` the columns with gaps."""
+    d = len(next(iter(sums.values())))
+    total = sum(sums.values())
+    fill = {m: np.eye(d) for m in sums}  # all cells by the known ones
+    for g, c in enumerate(places):
+        n = sum(v[-1, -1] for m, v in sums.items() if not m[g])
+        for m in sums:
+            if m[g]:
+                fill[m][c] = np.eye(d)[-1] * (total[-1, c] / n)
+    for _ in range(rounds):
+        for g, c in enumerate(places):
+            others = [i for i in range(d - 1) if i != c]
+            gram = sum(fill[m] @ v @ fill[m].T for m, v in sums.items() if not m[g])
+            w = _regression(gram, c, others, ridge)
+            for m in sums:
+                if m[g]:
+                    fill[m][c] = w @ fill[m][[*others, d - 1]]
+    return {m: f[places] for m, f in fill.items()}
+
+
+def _impute_one_by_one(df: DataFrame, columns: list[str], gaps: list[str], rounds: int, ridge: float, through) -> DataFrame:
+    work = df.withColumns({f"_lacks_{c}": F.col(c).isNull() for c in gaps}).withColumns({c: F.col(c).cast("double") for c in columns})
+    means = work.agg(*[F.avg(c).alias(c) for c in gaps]).first()
+    work = work.fillna({c: means[c] for c in gaps})
     for _ in range(rounds):
         work = through(work) if through else work
-        for c, n in zip(gaps, names, strict=True):
-            assembler = VectorAssembler(inputCols=[x for x in columns if x != c], outputCol="_x")
-            model = LinearRegression(featuresCol="_x", labelCol=c, predictionCol="_y", regParam=1e-3).fit(assembler.transform(work.where(~F.col(n))))
-            work = model.transform(assembler.transform(work)).withColumn(c, F.when(F.col(n), F.col("_y")).otherwise(F.col(c))).drop("_x", "_y")
+        for c in gaps:
+            cells = work.where(~F.col(f"_lacks_{c}")).select(*columns)
+
+            def products(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+                z = np.c_[np.stack([v.to_numpy() for v in b.columns], 1), np.ones(b.num_rows)]
+                return {"all": z.T @ z}
+
+            others = [i for i, x in enumerate(columns) if x != c]
+            w = _regression(many_fits.totals(cells, products)["all"].reshape(len(columns) + 1, -1), columns.index(c), others, ridge)
+            said = F.lit(float(w[-1]))
+            for weight, i in zip(w, others, strict=False):
+                said = said + F.lit(float(weight)) * F.col(columns[i])
+            work = work.withColumn(c, F.when(F.col(f"_lacks_{c}"), said).otherwise(F.col(c)))
     return work.select(*df.columns)
 
 
@@ -117,9 +199,30 @@ def random_forest(**kw) -> RandomForestClassifier:
     return RandomForestClassifier(**({"numTrees": 50, "seed": 1} | kw))
 
 
-def boosted_trees(**kw) -> OneVsRest:
-    """Boosted trees for several classes, one against the rest."""
-    return OneVsRest(classifier=GBTClassifier(**({"maxIter": 10, "seed": 1} | kw)), parallelism=4)
+@dataclass
+class SideBySide:
+    """An estimator whose folds and draws of parameters are fitted together, a pass for each step of all of them."""
+
+    fit_all: Callable
+    params: dict
+
+    def fit(self, df: DataFrame):
+        return self.fit_all(df, [many_fits.Fit(tuple(sorted(self.params.items())))])[0]
+
+    def fold_scores(self, df: DataFrame, k: int, draws: list[dict] | None = None) -> np.ndarray:
+        """Accuracies (draws, folds) on the fold that each fit leaves out."""
+        every = [self.params | d for d in draws or [{}]]
+        return self.fit_all(df, many_fits.fits_of(every, k))[1].reshape(len(every), k)
+
+
+def logistic_side_by_side(**kw) -> SideBySide:
+    return SideBySide(many_fits.fit_logistic, kw)
+
+
+def boosted_trees(**kw) -> SideBySide:
+    """Boosted trees for several classes by softmax: ``maxIter`` rounds of 10, ``maxDepth`` 5, ``stepSize`` 0.3 and
+    ``subsamplingRate`` 1, if not given."""
+    return SideBySide(many_fits.fit_boosted, kw)
 
 
 def accuracy(predictions: DataFrame) -> float:
@@ -138,6 +241,9 @@ def _validated(estimator, df: DataFrame, grid: list[dict], fold: str, k: int, pa
 
 def cross_validate(estimator, df: DataFrame, fold: str = "fold", k: int = 10, parallelism: int = 4) -> tuple[float, float]:
     """Mean and standard deviation of the accuracy over the folds."""
+    if isinstance(estimator, SideBySide):
+        scores = estimator.fold_scores(df.withColumnRenamed(fold, "fold"), k)[0]
+        return float(scores.mean()), float(scores.std())
     found = _validated(estimator, df, [{}], fold, k, parallelism)
     return float(found.avgMetrics[0]), float(found.stdMetrics[0])
 
@@ -155,9 +261,9 @@ def compare(models: dict, train: DataFrame, test: DataFrame, k: int = 10) -> Dat
     """(model, cv_mean, cv_std, accuracy, f1), a row for each model."""
     rows = []
     for name, m in models.items():
-        found = _validated(m, train, [{}], "fold", k, 4)
-        p = found.bestModel.transform(test)
-        rows.append(Comparison(name, float(found.avgMetrics[0]), float(found.stdMetrics[0]), accuracy(p), weighted_f1(p)))
+        mean, std = cross_validate(m, train, k=k)
+        p = m.fit(train).transform(test)
+        rows.append(Comparison(name, mean, std, accuracy(p), weighted_f1(p)))
     return train.sparkSession.createDataFrame(rows)
 
 
@@ -165,6 +271,10 @@ def random_search(estimator, grid: dict[str, list], train: DataFrame, n: int = 5
     """(best score, parameters, model refitted on all of train) among ``n`` random draws from a grid, no draw twice."""
     every = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
     draws = random.Random(seed).sample(every, min(n, len(every)))
+    if isinstance(estimator, SideBySide):
+        means = estimator.fold_scores(train, k, draws).mean(1)
+        best = int(means.argmax())
+        return float(means[best]), draws[best], SideBySide(estimator.fit_all, estimator.params | draws[best]).fit(train)
     found = _validated(estimator, train, [{estimator.getParam(p): v for p, v in d.items()} for d in draws], "fold", k, parallelism)
     best = max(range(len(draws)), key=lambda i: (found.avgMetrics[i], -i))
     return float(found.avgMetrics[best]), draws[best], found.bestModel

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import files
+from ..sources import files, history, loads
 from ..streaming import changes, ingest
 from .registry import query, table
 from .relational_queries import trips_of_events
@@ -135,10 +135,27 @@ def create_view(spark: S, d: str) -> D:
 
 @query("SELECT c_custkey, c_mktsegment FROM customer")
 def table_as_of(spark: S, d: str) -> D:
-    path, c = files.new_path(spark, "versions"), table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    files.write_version(c, path, 1)
-    files.write_version(c.withColumn("c_mktsegment", F.lit("oops")), path, 2)
-    return files.as_of(spark.read.parquet(path), ["c_custkey"], 1).drop("version")
+    """All rows are spoilt by an update, its id is looked up in the history, and the state before it is put back."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    t = history.VersionedTable(spark, files.new_path(spark, "versions"), c.schema, ["c_custkey"])
+    t.write(c, "insert into customer")
+    t.write(c.withColumn("c_mktsegment", F.lit("oops")), "update customer set c_mktsegment = 'oops'")
+    t.restore_before(files.last_change(t.log()).first()["query_id"])
+    return t.read()
+
+
+@query("""SELECT o_orderkey, v AS version, CASE WHEN v = 1 OR o_orderkey % 3 <> 0 THEN o_orderstatus WHEN v = 2 THEN 'X' END AS status FROM orders, (VALUES (1), (2), (3)) AS t(v) WHERE NOT (v = 3 AND o_orderkey % 3 = 0)
+ UNION ALL SELECT o_orderkey, 3, NULL FROM orders WHERE o_orderkey % 3 = 0""")
+def point_in_time_join(spark: S, d: str) -> D:
+    """Three versions of orders (all, a third updated, that third deleted), joined to facts that each name a version."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_orderstatus").alias("status"))
+    t = history.VersionedTable(spark, files.new_path(spark, "versions"), o.schema, ["o_orderkey"])
+    third = o.where("o_orderkey % 3 = 0")
+    t.write(o, "insert")
+    t.write(third.withColumn("status", F.lit("X")), "update")
+    t.write(None, "delete", third)
+    facts = o.select("o_orderkey", F.explode(F.array(*[F.lit(v) for v in (1, 2, 3)])).alias("version"))
+    return t.join_as_of(facts, "version")
 
 
 @query("SELECT event_id AS query_id FROM events WHERE event_type = 'purchase' ORDER BY ts, event_id LIMIT 1")
@@ -167,10 +184,36 @@ def incremental_file_ingest(spark: S, d: str) -> D:
     return spark.read.schema(a.schema).parquet(target).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
-@query("SELECT COUNT(*) AS n, COUNT(DISTINCT event_id) AS ids FROM events")
+_EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType())])
+
+
+def _drop_csv(df: D, folder: str, name: str) -> None:
+    df.write.options(header="false", nullValue="", emptyValue="").csv(f"{folder}/{name}")
+
+
+@query("SELECT COUNT(*) AS n, COUNT(DISTINCT event_id) AS ids, COUNT(*) FILTER (event_id % 2 = 0) AS first, 0::BIGINT AS again, COUNT(*) FILTER (event_id % 2 = 1) AS second FROM events")
 def incremental_load(spark: S, d: str) -> D:
-    """Repeated loads of a folder take the files that are new since the last one."""
-    return incremental_file_ingest(spark, d)
+    """Loads of a folder by a prefix: one half of the events, nothing new, the other half; files of another prefix stay out."""
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    folder, t = files.new_path(spark, "stage"), loads.LoadedTable(spark, files.new_path(spark, "loaded"), _EVENTS)
+    _drop_csv(e, folder, "other")
+    _drop_csv(e.where("event_id % 2 = 0"), folder, "events-0")
+    counts = [t.copy_into(folder, "events").rows, t.copy_into(folder, "events").rows]
+    _drop_csv(e.where("event_id % 2 = 1"), folder, "events-1")
+    counts.append(t.copy_into(folder, "events").rows)
+    out = t.read().agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    return out.select("n", "ids", *[F.lit(n).cast("long").alias(c) for n, c in zip(counts, ("first", "again", "second"), strict=True)])
+
+
+@query("SELECT event_id, false AS rejected FROM events WHERE event_id % 50 <> 0 UNION ALL SELECT event_id, true FROM events WHERE event_id % 50 = 0")
+def load_with_rejects(spark: S, d: str) -> D:
+    """Events of which one in fifty has no number for its value: a load that goes on keeps these records apart."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 50 == 0, "none").otherwise(F.col("value").cast("string")).alias("value"))
+    folder, t = files.new_path(spark, "stage"), loads.LoadedTable(spark, files.new_path(spark, "loaded"), _EVENTS)
+    _drop_csv(e, folder, "events")
+    t.copy_into(folder, on_error="continue")
+    bad = t.rejects().select(F.split("record", ",")[0].cast("long").alias("event_id"), F.lit(True).alias("rejected"))
+    return t.read().select("event_id", F.lit(False).alias("rejected")).unionByName(bad)
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey + 1000000, p_name FROM part WHERE p_partkey % 7 = 0")

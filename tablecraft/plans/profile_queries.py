@@ -253,28 +253,28 @@ def fit_random_forest(spark: S, d: str) -> D:
 
 @query()
 def fit_boosted_trees(spark: S, d: str) -> D:
-    return _metrics(spark, d, models.boosted_trees(maxIter=2, maxDepth=3))
+    return _metrics(spark, d, models.boosted_trees())
 
 
 @query()
 def cross_validate(spark: S, d: str) -> D:
     train, _ = _prepared(spark, d)
-    mean, std = models.cross_validate(models.logistic(maxIter=20), models.folds(train, "label", "vec_id"))
+    mean, std = models.cross_validate(models.logistic_side_by_side(regParam=0.01, maxIter=100), models.folds(train, "label", "vec_id"))
     return spark.createDataFrame([(mean, std)], "mean double, std double")
 
 
 @query()
 def model_comparison(spark: S, d: str) -> D:
     train, test = _prepared(spark, d)
-    three = {"logistic": models.logistic(maxIter=20), "forest": models.random_forest(numTrees=10), "boosted": models.boosted_trees(maxIter=1, maxDepth=3)}
-    return models.compare(three, models.folds(train, "label", "vec_id", 3), test, k=3)
+    three = {"logistic": models.logistic_side_by_side(regParam=0.01, maxIter=100), "forest": models.random_forest(), "boosted": models.boosted_trees()}
+    return models.compare(three, models.folds(train, "label", "vec_id", 10), test, k=10)
 
 
 @query()
 def random_search(spark: S, d: str) -> D:
     train, _ = _prepared(spark, d)
-    grid = {"maxIter": [5, 10, 20], "regParam": [0.0, 0.001, 0.01, 0.03, 0.1, 0.3], "elasticNetParam": [0.0, 0.1, 0.5, 1.0]}
-    best, params, _ = models.random_search(models.logistic(), grid, models.folds(train, "label", "vec_id", 3), n=6, k=3)
+    grid = {"maxIter": [20, 40, 60], "regParam": [0.0, 0.001, 0.01, 0.03, 0.1, 0.3], "elasticNetParam": [0.0, 0.1, 0.5, 1.0]}
+    best, params, _ = models.random_search(models.logistic_side_by_side(), grid, models.folds(train, "label", "vec_id", 5), n=50, k=5)
     return spark.createDataFrame([(best, str(sorted(params.items())))], "score double, params string")
 
 
