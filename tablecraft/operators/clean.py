@@ -18,12 +18,15 @@ def fill_from_peer(df: DataFrame, column: str, key: str, order: list[str]) -> Da
     return df.join(known, df[key].eqNullSafe(known["_key"]), "left").withColumn(column, F.coalesce(column, "_value")).select(*df.columns)
 
 
-def peers(df: DataFrame, key: str, identity: str, column: str) -> DataFrame:
-    """Pairs of different rows of equal key of which the first lacks the column."""
-    a, b = df.alias("a"), df.alias("b")
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{identity}") != F.col(f"b.{identity}"))).where(F.col(f"a.{column}").isNull()).select(
-        F.col(f"a.{key}").alias(key), F.col(f"a.{identity}").alias("row_id"), F.col(f"b.{identity}").alias("peer_id"), F.col(f"b.{column}").alias("peer_value")
-    )
+def peers(df: DataFrame, key: str, identity: str, column: str, most: int | None = None) -> DataFrame:
+    """Pairs of different rows of equal key of which the first lacks the column. That is the square of a key's rows: with
+    ``most``, each row gets only the first ``most`` + 1 rows of its key by identity, less itself. These are found partly
+    before the shuffle, and what a key with very many rows is joined to is that short list."""
+    b = df.select(F.col(key).alias("_key"), F.col(identity).alias("peer_id"), F.col(column).alias("peer_value")).where("_key IS NOT NULL")
+    if most is not None:
+        b = b.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("peer_id"))).where(F.col("_n") <= most + 1).drop("_n")
+    a = df.where(F.col(column).isNull()).select(F.col(key), F.col(identity).alias("row_id"))
+    return a.join(b, (a[key] == b["_key"]) & (a["row_id"] != b["peer_id"])).select(key, "row_id", "peer_id", "peer_value")
 
 
 def rename_values(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:

@@ -22,10 +22,11 @@ AT_ONCE = 4 << 20
 
 @dataclass(frozen=True)
 class Fit:
-    """A model's parameters, and the fold that it doesn't see."""
+    """A model's parameters, and the fold that it doesn't see, or the only one that it sees."""
 
     params: tuple[tuple[str, float], ...]
     fold: int = -1
+    only: bool = False
 
     def get(self, name: str, default: float) -> float:
         return dict(self.params).get(name, default)
@@ -177,7 +178,7 @@ def fit_logistic(df: DataFrame, fits: list[Fit], steps: int = 200, tolerance: fl
         move = np.eye(d + 1)
         move[d, :d] = -mean
         gram = move.T @ gram @ move  # of features less their mean
-        seen = np.stack([gram.sum(0) - (gram[f.fold] if 0 <= f.fold < folds else 0) for f in fits])
+        seen = np.stack([gram[f.fold] if f.only else gram.sum(0) - (gram[f.fold] if 0 <= f.fold < folds else 0) for f in fits])
         n = seen[:, d, d]
         scale = np.sqrt(np.maximum(np.stack([np.diag(g)[:d] for g in seen]) / n[:, None] - (seen[:, d, :d] / n[:, None]) ** 2, 0) * (n / np.maximum(n - 1, 1))[:, None])
         scale = np.where(scale > 0, scale, np.inf)
@@ -187,7 +188,7 @@ def fit_logistic(df: DataFrame, fits: list[Fit], steps: int = 200, tolerance: fl
         most = np.array([f.get("maxIter", steps) for f in fits])
         ridge, lasso = (reg * (1 - mix))[:, None, None], (reg * mix)[:, None, None]
         rate = 1 / (steepest[:, None, None] + ridge)
-        out = np.array([f.fold for f in fits])
+        out, only = (np.array([getattr(f, a) for f in fits]) for a in ("fold", "only"))
         free = np.r_[np.ones(d), 0][None, :, None]  # the intercept is not held down
 
         def add(model: Logistic, x, y, fold):
@@ -196,7 +197,7 @@ def fit_logistic(df: DataFrame, fits: list[Fit], steps: int = 200, tolerance: fl
             for at in range(0, len(y), step := max(1, AT_ONCE // (f * k))):
                 part = slice(at, at + step)
                 q = _softmax(model.scores(x[part]))
-                use = (fold[part, None] != out).astype(float)
+                use = ((fold[part, None] == out) == only).astype(float)
                 here = np.arange(q.shape[0])
                 loss -= (np.log(np.maximum(q[here, :, y[part]], 1e-300)) * use).sum(0)
                 q[here, :, y[part]] -= 1

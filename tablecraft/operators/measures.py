@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import pct, ratio
 
@@ -25,11 +26,41 @@ def running_sum(df: DataFrame, value: str, keys: list[str], order: list[str], na
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def running_sum_by_step(df: DataFrame, value: str, keys: list[str], order: list[str], name: str = "running") -> DataFrame:
-    """The same for keys with very many rows: sums are first taken by (keys, order), partly before the shuffle, so that
-    the window sees a row for each step only. Totals come back by a join."""
+def _as_number(column: Column, kind: T.DataType) -> Column:
+    """A number that never goes down where the column's values go up."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    return column.cast("double")
+
+
+def range_block(df: DataFrame, column: str, blocks: int = 256) -> Column:
+    """A number for ranges of a column that have about equally many rows: equal values are in one block, greater values in
+    the same or a later one, NULLs in the first."""
+    number = _as_number(F.col(column), df.schema[column].dataType)
+    shares = F.array(*[F.lit(i / blocks) for i in range(1, max(blocks, 2))])
+    found = df.agg(F.percentile_approx(number, shares, 10 * blocks)).first()[0]
+    cuts = sorted({c for c in found or [] if c == c})
+    before = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < number))
+    return F.when(F.col(column).isNull(), -1).otherwise(before)
+
+
+def running_sum_by_step(df: DataFrame, value: str, keys: list[str], order: list[str], name: str = "running", blocks: int = 256) -> DataFrame:
+    """The same for keys with very many rows. Values are first summed up by (keys, order), partly before the shuffle, so
+    that rows of equal order are one step. Steps are dealt to blocks by ranges of the first column of ``order``: a block's
+    sum goes to those after it in its key, and a window spans the steps of one block only. Totals come back by a join."""
     steps = df.groupBy(*keys, *order).agg(F.sum(value).alias("_v"))
-    totals = steps.withColumn(name, F.sum("_v").over(Window.partitionBy(*keys).orderBy(*order))).drop("_v")
+    steps = steps.withColumn("_block", range_block(steps, order[0], blocks))
+    upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy(*keys, "_block").agg(F.sum("_v").alias("_s"))
+    sums = sums.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_of"), F.sum("_s").over(upto).alias("_before"))
+    within = F.sum("_v").over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    on = [steps["_block"] == sums["_of"], *[steps[k].eqNullSafe(sums[f"_of_{k}"]) for k in keys]]
+    both = steps.withColumn("_within", within).join(sums, on)
+    totals = both.select(*keys, *order, F.coalesce(F.col("_within") + F.col("_before"), "_within", "_before").alias(name))
     on = reduce(lambda x, y: x & y, [df[c].eqNullSafe(totals[c]) for c in [*keys, *order]])
     return df.join(totals, on).select(df["*"], totals[name])
 

@@ -140,6 +140,48 @@ def default_fill(spark: S, d: str) -> D:
     return checks.fill_defaults(_gapped(spark, d), {"status": "O", "priority": "none", "customer": -1})
 
 
+_SCHEMA = {
+    "region": checks.Constraints(["r_regionkey"], [["r_name"]]),
+    "nation": checks.Constraints(["n_nationkey"], not_null=["n_name"], foreign={"n_regionkey": ("region", "r_regionkey")}),
+    "customer": checks.Constraints(["c_custkey"], not_null=["c_name"], ranges={"c_acctbal": (0, 9000)}, foreign={"c_nationkey": ("nation", "n_nationkey")}),
+    "supplier": checks.Constraints(["s_suppkey"], foreign={"s_nationkey": ("nation", "n_nationkey")}),
+    "part": checks.Constraints(["p_partkey"], [["p_name", "p_brand"]], ranges={"p_size": (1, 40)}),
+    "orders": checks.Constraints(["o_orderkey"], domains={"o_orderstatus": ["O", "F"]}, foreign={"o_custkey": ("customer", "c_custkey")}),
+    "lineitem": checks.Constraints(["l_orderkey", "l_linenumber"], not_null=["l_shipdate"], domains={"l_returnflag": ["A", "N"]}, ranges={"l_quantity": (1, 45), "l_discount": (0, 0.05)}, foreign={"l_orderkey": ("orders", "o_orderkey"), "l_partkey": ("part", "p_partkey"), "l_suppkey": ("supplier", "s_suppkey")}),
+    "events": checks.Constraints(["event_id"], not_null=["ts"], domains={"event_type": ["click", "view"]}, foreign={"user_id": ("customer", "c_custkey")}),
+}
+
+
+def _schema_sql() -> str:
+    parts = []
+    for t, has in _SCHEMA.items():
+        for kind, columns in has.names():
+            c = columns
+            if kind in ("primary key", "unique"):
+                known = " AND ".join(f"{x} IS NOT NULL" for x in columns.split(", "))
+                n = f"(SELECT COUNT(*) FROM (SELECT {c} FROM {t} WHERE {known} GROUP BY {c} HAVING COUNT(*) > 1))"
+            elif kind == "foreign key":
+                parent, at = has.foreign[c]
+                n = f"(SELECT COUNT(*) FROM {t} WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} WHERE {at} = {c}))"
+            else:
+                broken = {"not null": lambda c: f"{c} IS NULL", "domain": lambda c: f"{c} NOT IN ({', '.join(repr(v) for v in has.domains[c])})", "range": lambda c: "NOT ({0} BETWEEN {1} AND {2})".format(c, *has.ranges[c])}[kind](c)
+                n = f"(SELECT COUNT(*) FROM {t} WHERE {broken})"
+            parts.append(f"SELECT '{t}' AS \"table\", '{kind}' AS kind, '{c}' AS columns, {n} AS n")
+    return " UNION ALL ".join(parts)
+
+
+@query(_schema_sql())
+def schema_constraints(spark: S, d: str) -> D:
+    """All constraints of eight tables, of which some are stricter than the data."""
+    return checks.schema_violations({t: table(spark, d, t) for t in _SCHEMA}, _SCHEMA)
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS id FROM customer")
+def surrogate_key_in_order(spark: S, d: str) -> D:
+    """Gapless numbers in the order of a column, without a window over the table."""
+    return checks.ordered_keys(table(spark, d, "customer"), "id", "c_custkey").select("c_custkey", "id")
+
+
 @query("SELECT COUNT(*) AS n, 1::BIGINT AS least, COUNT(*) AS most, COUNT(*) AS different FROM customer")
 def surrogate_key(spark: S, d: str) -> D:
     keyed = checks.surrogate_keys(table(spark, d, "customer"), "id", ["c_custkey"])
@@ -228,6 +270,14 @@ def chained_categorical_imputer(spark: S, d: str) -> D:
     return models.impute_categorical(x, ["class", "side"], _X, through=_written)
 
 
+@query()
+def imputed_data_sets(spark: S, d: str) -> D:
+    """Four completed tables of the same gaps, and how far they differ."""
+    x = _labelled(spark, d).withColumn("side", F.when(F.col("x0") > 0, "right").otherwise("left"))
+    x = x.withColumn("class", F.when(F.col("vec_id") % 6 != 0, F.col("class"))).withColumn("side", F.when(F.col("vec_id") % 5 != 0, F.col("side")))
+    return models.spread_of_sets(models.impute_categorical_sets(x, "vec_id", ["class", "side"], _X, through=_written), ["class", "side"])
+
+
 def _prepared(spark: S, d: str) -> tuple[D, D]:
     train, test = models.stratified_split(_labelled(spark, d), "class", "vec_id", 0.3)
     p = models.column_pipeline(_X, [], "class").fit(train)

@@ -179,6 +179,12 @@ def self_join_neq(spark: S, d: str) -> D:
     return clean.peers(_with_gaps(spark, d), "o_custkey", "o_orderkey", "priority")
 
 
+@query(f"SELECT a.o_custkey, a.o_orderkey AS row_id, b.o_orderkey AS peer_id, b.priority AS peer_value FROM {_PEERS} a JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {_PEERS}) b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND b.n <= 3 WHERE a.priority IS NULL")
+def self_join_few_peers(spark: S, d: str) -> D:
+    """The same with the first three orders of each customer as peers: what a hot customer gives grows with its rows."""
+    return clean.peers(_with_gaps(spark, d), "o_custkey", "o_orderkey", "priority", most=2)
+
+
 @query("SELECT c_custkey, o_orderkey, l_linenumber, l_partkey, p_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey")
 def left_join_chain(spark: S, d: str) -> D:
     c = table(spark, d, "customer")
@@ -428,6 +434,13 @@ def running_sum_large_keys(spark: S, d: str) -> D:
     return measures.running_sum_by_step(j, "l_quantity", ["o_custkey"], ["o_orderdate"]).select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", F.round("running", 2).alias("running"))
 
 
+@query("SELECT event_id, round(SUM(value) OVER (ORDER BY event_id), 2) AS running FROM events")
+def running_sum_one_key(spark: S, d: str) -> D:
+    """A running total over a whole table in which each row is a step of its own."""
+    e = table(spark, d, "events").select("event_id", "value").withColumn("all", F.lit(1))
+    return measures.running_sum_by_step(e, "value", ["all"], ["event_id"]).select("event_id", F.round("running", 2).alias("running"))
+
+
 @query("""SELECT o_custkey, o_orderkey, o_orderdate, round(running, 2) AS running, round(running / NULLIF(total, 0) * 100, 4) AS pct FROM (SELECT o_custkey, o_orderkey, o_orderdate,
  SUM(q) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS running, SUM(q) OVER (PARTITION BY o_custkey) AS total
  FROM (SELECT o_custkey, o_orderkey, o_orderdate, SUM(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3))""")

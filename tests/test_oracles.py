@@ -45,7 +45,7 @@ def test_same_rows_as_sql(spark, con, name):
 
 
 #: Many fits over the whole table; the same operators are held against known results in test_models.py.
-MODELS = {"cross_validate", "model_comparison", "random_search", "fit_boosted_trees", "fit_random_forest", "chained_categorical_imputer", "chained_numeric_imputer"}
+MODELS = {"cross_validate", "model_comparison", "random_search", "fit_boosted_trees", "fit_random_forest", "chained_categorical_imputer", "imputed_data_sets"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - MODELS))
