@@ -265,6 +265,12 @@ class SideBySide:
         every = [self.params | d for d in draws or [{}]]
         return self.fit_all(df, many_fits.fits_of(every, k))[1].reshape(len(every), k)
 
+    def validated(self, df: DataFrame, k: int) -> tuple[np.ndarray, object]:
+        """The accuracies of k folds, and the model of all rows, fitted beside them."""
+        mine = tuple(sorted(self.params.items()))
+        model, scores = self.fit_all(df, [many_fits.Fit(mine), *many_fits.fits_of([self.params], k)])
+        return scores[1:], model
+
 
 def logistic_side_by_side(**kw) -> SideBySide:
     return SideBySide(many_fits.fit_logistic, kw)
@@ -312,9 +318,15 @@ def compare(models: dict, train: DataFrame, test: DataFrame, k: int = 10) -> Dat
     """(model, cv_mean, cv_std, accuracy, f1), a row for each model."""
     rows = []
     for name, m in models.items():
-        mean, std = cross_validate(m, train, k=k)
-        p = m.fit(train).transform(test)
+        if isinstance(m, SideBySide):
+            scores, model = m.validated(train, k)
+            mean, std = float(scores.mean()), float(scores.std())
+        else:
+            found = _validated(m, train, [{}], "fold", k, 4)
+            mean, std, model = float(found.avgMetrics[0]), float(found.stdMetrics[0]), found.bestModel
+        p = model.transform(test).select("label", "prediction").persist()
         rows.append(Comparison(name, mean, std, accuracy(p), weighted_f1(p)))
+        p.unpersist()
     return train.sparkSession.createDataFrame(rows)
 
 

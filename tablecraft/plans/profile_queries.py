@@ -316,7 +316,7 @@ def cross_validate(spark: S, d: str) -> D:
 @query()
 def model_comparison(spark: S, d: str) -> D:
     train, test = _prepared(spark, d)
-    three = {"logistic": models.logistic_side_by_side(regParam=0.01, maxIter=100), "forest": models.random_forest(), "boosted": models.boosted_trees()}
+    three = {"logistic": models.logistic_side_by_side(regParam=0.01, maxIter=60), "forest": models.random_forest(), "boosted": models.boosted_trees()}
     return models.compare(three, models.folds(train, "label", "vec_id", 10), test, k=10)
 
 
