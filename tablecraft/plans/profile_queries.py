@@ -243,12 +243,14 @@ def label_encode(spark: S, d: str) -> D:
     return models.column_pipeline(["p_size"], [], "p_type").fit(p).transform(p).select("p_partkey", "label")
 
 
-@query()
+@query("""SELECT p_partkey, (dense_rank() OVER (ORDER BY p_type) - 1)::DOUBLE AS label, round((p_size - MIN(p_size) OVER ()) / (MAX(p_size) OVER () - MIN(p_size) OVER ())::DOUBLE, 6) AS size,
+ round((p_retailprice - MIN(p_retailprice) OVER ()) / (MAX(p_retailprice) OVER () - MIN(p_retailprice) OVER ()), 6) AS price, (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE AS brand FROM part""")
 def column_pipeline(spark: S, d: str) -> D:
     from pyspark.ml.functions import vector_to_array
 
     p = table(spark, d, "part")
-    return models.column_pipeline(["p_size", "p_retailprice"], ["p_brand"], "p_type").fit(p).transform(p).select("p_partkey", "label", vector_to_array("features").alias("features"))
+    out = models.column_pipeline(["p_size", "p_retailprice"], ["p_brand"], "p_type").fit(p).transform(p).withColumn("x", vector_to_array("features"))
+    return out.select("p_partkey", "label", F.round(F.col("x")[0], 6).alias("size"), F.round(F.col("x")[1], 6).alias("price"), F.col("x")[2].alias("brand"))
 
 
 def _written(df: D) -> D:
@@ -343,6 +345,41 @@ def confusion_matrix(spark: S, d: str) -> D:
     return models.confusion(_predicted(spark, d))
 
 
+_RULE = "SELECT (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INT AS label, (CASE WHEN l_quantity < 20 THEN 0 WHEN l_discount < 0.05 THEN 1 ELSE 3 END)::INT AS prediction FROM lineitem"
+
+
+def _ruled(spark: S, d: str) -> D:
+    """Predictions of a class by a rule, as a job before this one could have written them; one class is never predicted,
+    another one never there."""
+    label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    said = F.when(F.col("l_quantity") < 20, 0).when(F.col("l_discount") < 0.05, 1).otherwise(3)
+    return table(spark, d, "lineitem").select(label.cast("double").alias("label"), said.cast("double").alias("prediction"))
+
+
+@query(f"SELECT label, prediction, COUNT(*) AS n FROM ({_RULE}) GROUP BY 1, 2")
+def confusion_of_predictions(spark: S, d: str) -> D:
+    return models.confusion(_ruled(spark, d))
+
+
+@query(f"""WITH p AS ({_RULE}), c AS (SELECT class, (SELECT COUNT(*) FROM p WHERE label = class AND prediction = class) AS tp, (SELECT COUNT(*) FROM p WHERE label = class) AS support,
+ (SELECT COUNT(*) FROM p WHERE prediction = class) AS said FROM (SELECT label AS class FROM p UNION SELECT prediction FROM p)),
+ m AS (SELECT class, COALESCE(tp / NULLIF(said, 0), 0)::DOUBLE AS p, COALESCE(tp / NULLIF(support, 0), 0)::DOUBLE AS r, support FROM c)
+ SELECT class, round(p, 8) AS precision, round(r, 8) AS recall, round(COALESCE(2 * p * r / NULLIF(p + r, 0), 0), 8) AS f1, support FROM m""")
+def metrics_of_predictions(spark: S, d: str) -> D:
+    out = models.class_metrics(_ruled(spark, d))
+    return out.select("class", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(f"""WITH p AS (SELECT label, prediction, COUNT(*)::DOUBLE AS n FROM ({_RULE}) GROUP BY 1, 2)
+ SELECT x.label AS class, round(SUM(CASE WHEN x.prediction > y.prediction THEN 1 WHEN x.prediction = y.prediction THEN 0.5 ELSE 0 END::DOUBLE * x.n * y.n) / SUM(x.n * y.n), 8) AS auc
+ FROM p x JOIN p y ON x.label <> y.label GROUP BY 1""")
+def auc_of_predictions(spark: S, d: str) -> D:
+    """How well a score parts each class from the others."""
+    p = _ruled(spark, d)
+    rows = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col("prediction").alias("score"), (F.col("label") == k).alias("positive")) for k in range(3)])).alias("x")).select("x.*")
+    return models.auc(rows, "score", "positive", "class").select("class", F.round("auc", 8).alias("auc"))
+
+
 @query()
 def roc_auc_ovr(spark: S, d: str) -> D:
     p = _predicted(spark, d)
