@@ -480,10 +480,59 @@ def test_decontamination_of_endless_repeats():
     item, doc = "a " * 2000, "a " * 20_000
     items = decontamination.Items([1, 2], [item, "a b " * 500])
     text = pa.array([doc, "x " + "a b " * 6000, "b a " * 300, "a a a a a"])
-    found = {(r, items.ids[i]): sum(n for _, _, n in got) for r, i, got in decontamination.matches(items, text, 0.6)}
+    found = {(r, items.ids[i]): sum(n for _, _, n in got) for r, i, got in decontamination.matches(items, text)}
     assert found == {(0, 1): 2000, (1, 2): 1000, (2, 2): 600}
     _, _, buf, off = next(chunks(pa.array([doc])))
-    assert items.common_runs(*word_hashes(buf, off)).shape[1] < 50_000
+    words, _ = word_hashes(buf, off)
+    assert len(items.common_runs(0, decontamination.Places(words, 5), decontamination.Prefixes(words))[0]) < 50_000
+
+
+def test_decontamination_of_a_shared_instruction(monkeypatch):
+    """An instruction that all items begin with is looked up by none of them, nor does it make a run."""
+    rng = random.Random(5)
+    head = "read the text below and answer the question after it now".split()
+    items = [" ".join(head + [f"v{rng.randrange(500)}" for _ in range(20)]) for _ in range(10_000)]
+    block = decontamination.Items(list(range(len(items))), items)
+    often = " ".join(f"x{i} " + " ".join(head) for i in range(100))
+    monkeypatch.setattr(decontamination, "Places", None)
+    assert list(decontamination.matches(block, pa.array([often]))) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(decontamination, "tiles", lambda *_: pytest.fail("bound does not hold"))
+    # the head and a rarer seed: found, but too little of it is there
+    assert list(decontamination.matches(block, pa.array([often + " " + " ".join(items[7].split()[-6:])]))) == []
+    monkeypatch.undo()
+    found = {(r, i) for r, i, _ in decontamination.matches(block, pa.array([often, often + " " + items[7]]))}
+    assert (1, 7) in found and all(r == 1 for r, _ in found)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_decontamination_by_items_that_share_passages(seed):
+    """Bounds lose no pair: all pairs of texts made of few passages against the plain tiling."""
+    rng = random.Random(seed)
+    passages = [[f"p{rng.randrange(12)}" for _ in range(rng.randint(2, 9))] for _ in range(8)]
+    some = [[w for _ in range(rng.randint(0, 5)) for w in rng.choice(passages)] for _ in range(60)]
+    items, texts = some[:30], some[30:]
+    for cover in (0.3, 0.6, 1.0):
+        block = decontamination.Items(list(range(30)), [" ".join(t) for t in items], cover=cover)
+        found = {(r, i): sum(n for _, _, n in got) for r, i, got in decontamination.matches(block, pa.array([" ".join(t) for t in texts]))}
+        want = {}
+        for r, t in enumerate(texts):
+            for i, it in enumerate(items):
+                if it and (n := greedy_tiles(t, it, min(decontamination.RUN, len(it)))) >= cover * len(it):
+                    want[r, i] = n
+        # ties between longest runs may be broken otherwise
+        assert want and not {k for k in found.keys() ^ want.keys() if abs(found.get(k, want.get(k)) - cover * len(items[k[1]])) > 5}
+        assert len(found.keys() ^ want.keys()) <= len(want) // 20
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    b = spark.createDataFrame([(i, f"item {i} has words of its own like a{i} b{i} c{i} d{i} e{i}") for i in range(12)], "item_id long, text string")
+    d = spark.createDataFrame([(i, f"before x{i} item {i} has words of its own like a{i} b{i} c{i} d{i} e{i} after" if i % 3 else f"clean text number {i} with other words") for i in range(40)], "doc_id long, text string")
+    one = sorted(map(tuple, decontamination.leaks(d, b).collect())), sorted(map(tuple, decontamination.clean(d, b).collect()))
+    assert len(one[0]) == 8 and len(one[1]) == 32
+    monkeypatch.setattr(decontamination, "BLOCK_ROWS", 3)
+    assert sum(1 for _ in decontamination.blocks(b)) == 4
+    assert one == (sorted(map(tuple, decontamination.leaks(d, b).collect())), sorted(map(tuple, decontamination.clean(d, b).collect())))
 
 
 def test_decontamination_messy_rows(spark):
