@@ -8,6 +8,11 @@ The library merges one pair after another. Merging all occurrences at once gives
 pair of the same or a lower rank, which has to come before the rest; where that happens, the sequence merges only its
 leftmost occurrence in that round. Vocabulary files are read from a path that is a parameter.
 
+A pre-token of over ``LONG`` characters, as of a script without blanks or of encoded bytes, has as many rounds as it has
+different ranks, so that a round must not go over all of it. Its places wait by rank; a round takes those of the lowest
+rank from all long sequences and only looks at their neighbours again. What is done grows with the merges, not with
+length times rounds.
+
 Defined cases: a null or empty text has no bytes and no tokens; rows without doc_id, repeated rows and equal texts are
 counted each; texts of any length are counted whole; an empty table gives no rows; other columns than doc_id and text are
 not read, whatever their names.
@@ -15,7 +20,9 @@ not read, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +33,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _cache: dict[str, PieceVocabulary] = {}
 NONE = np.int32(2**31 - 1)
+#: Characters of a pre-token beyond which its places wait by rank; changes the cost only.
+LONG = 512
 
 
 class PieceVocabulary:
@@ -79,10 +88,92 @@ class PieceVocabulary:
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         total = np.zeros(len(words), np.int64)
+        long = np.array([len(w) > LONG for w in words], bool)
+        for some, count in ((~long, self._counts_in_rounds), (long, self._counts_by_rank)):
+            if some.any():
+                total[some] = count([words[i] for i in np.flatnonzero(some)])
+        return total
+
+    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol, bytes and sequence of each character."""
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym = self.char[code]
         width = (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)).astype(np.int8)
-        seq = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        return self.char[code], width, np.repeat(np.arange(len(words)), [len(w) for w in words])
+
+    def _counts_by_rank(self, words: list[str]) -> np.ndarray:
+        sym, width, seq = self._symbols(words)
+        n = len(sym)
+        rank, made = self._pair_ranks(sym, seq)
+        # neighbours among the symbols that are left; n stands for none
+        edge = seq[1:] != seq[:-1]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[np.r_[edge, True]], before[np.r_[True, edge]] = n, n
+        sym, seq = np.r_[sym, np.int32(0)], np.r_[seq, -1]
+        left = np.ones(n, bool)
+        waiting: dict[int, array] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            r = rank[at]
+            cut = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for a, z, k in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], r[np.r_[0, cut]].tolist() if len(r) else [], strict=False):
+                if k not in waiting:
+                    waiting[k] = array("q")
+                    heapq.heappush(ranks, k)
+                waiting[k].frombytes(at[a:z].tobytes())
+
+        def pair_ranks(a: np.ndarray, b: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, makes = self.ranks(a, b)
+            found[missing] = NONE
+            return found, makes
+
+        wait(np.arange(n))
+        while ranks:
+            low = heapq.heappop(ranks)
+            every = np.unique(np.frombuffer(waiting.pop(low), np.int64))
+            every = at = every[left[every] & (rank[every] == low)]
+            if not len(at):
+                continue
+            # of overlapping occurrences every other one is taken, from the left
+            run = np.r_[True, after[at[:-1]] != at[1:]]
+            if not run.all():
+                first = np.flatnonzero(run)[np.cumsum(run) - 1]
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            new, x, y = made[at], before[at], after[after[at]]
+            beside = np.r_[False, y[:-1] == at[1:]]  # the symbol before is made in this round, too
+            made_before = sym[x]
+            made_before[beside] = new[np.flatnonzero(beside) - 1]
+            found, makes = pair_ranks(np.r_[new, made_before], np.r_[sym[y], new], np.r_[y, x] == n)
+            bad = np.flatnonzero((found[: len(at)] <= low) | (found[len(at) :] <= low))
+            go = np.ones(len(at), bool)
+            if len(bad) and len(at) > 1:
+                # a sequence goes as far as the first merge that makes a pair which has to come before the rest
+                which, one = np.unique(seq[at[bad]], return_index=True)
+                k = np.minimum(np.searchsorted(which, seq[at]), len(which) - 1)
+                go = (which[k] != seq[at]) | (np.arange(len(at)) <= bad[one][k])
+            waits = not go.all()
+            if waits:
+                at, new, x, y, beside = at[go], new[go], x[go], y[go], beside[go]
+                found, makes = found[np.r_[go, go]], makes[np.r_[go, go]]
+            if beside.any():
+                x = np.where(beside, np.r_[n, at[:-1]], x)  # the symbol before has gone into that one
+            gone = after[at]
+            left[gone], rank[gone] = False, NONE
+            sym[at], after[at] = new, y
+            before[y[y < n]] = at[y < n]
+            rank[at], made[at] = found[: len(at)], makes[: len(at)]
+            there = x < n
+            rank[x[there]], made[x[there]] = found[len(at) :][there], makes[len(at) :][there]
+            wait(np.r_[at, x[there]])
+            if waits:
+                wait(every[left[every] & (rank[every] == low)])
+        return np.bincount(seq[:n][left], np.where(self.bare[sym[:n][left]], width[left], 1), len(words)).astype(np.int64)
+
+    def _counts_in_rounds(self, words: list[str]) -> np.ndarray:
+        total = np.zeros(len(words), np.int64)
+        sym, width, seq = self._symbols(words)
         rank, made = self._pair_ranks(sym, seq)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])

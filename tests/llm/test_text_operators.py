@@ -639,6 +639,34 @@ def test_token_counts(spark, rows):
     assert tokens.count_batch(tokens.PieceVocabulary(path), odd) == [len(lib.encode(t)) for t in odd]
 
 
+@pytest.mark.parametrize("long", [0, 3, 40])
+def test_token_counts_of_places_that_wait_by_rank(monkeypatch, long):
+    """Pre-tokens of any length by the path of the long ones, beside short ones, against the library."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    vocabulary = tokens.PieceVocabulary(path)
+    rng = random.Random(long)
+    monkeypatch.setattr(tokens, "LONG", long)
+    kinds = ["ab", "aab", "abc", "etaoin", "the nd", "=-", "你好é世", "abcdefghijklmnopqrstuvwxyz", "ACGT", "01", "\n\t x"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 300))) for letters in kinds for _ in range(60)]
+    texts += ["a" * n for n in range(1, 70)] + ["ab" * n for n in range(1, 40)] + ["=" * 333, "thethethe" * 50, "internationalization" * 30]
+    assert tokens.count_batch(vocabulary, texts) == [len(lib.encode(t)) for t in texts]
+
+
+def test_token_counts_of_a_word_without_end():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000)), "ab" * 50_000, "a" * 100_001]
+    assert tokens.count_batch(tokens.PieceVocabulary(path), texts) == [len(lib.encode(t)) for t in texts]
+
+
 def test_token_counts_messy_rows(spark):
     import public_tokenizers
 
