@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .samples import SAMPLE_BYTES, SAMPLE_ROWS, sampled_texts
+from .samples import SAMPLE_BYTES, SAMPLE_ROWS, sampled_features
 from .shared import filtered
 from .words import SAME, Hasher, U, chunks, spans
 
@@ -119,7 +119,6 @@ def grade() -> Column:
 def train(docs: DataFrame, labels: DataFrame, rating: Column | None = None, grades: int = 3, bound: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> CumulativeLink:
     """Fit on at most ``bound`` graded documents with ``size`` bytes of text; ``rating`` is a column of labels, 0 ..
     grades - 1."""
-    some = sampled_texts(docs, labels, (grade() if rating is None else rating).cast("int"), bound, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, rating: Column | None = None, grad
                 cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([*[b.column(k).slice(lo, hi - lo) for k in range(2)], cut(slot.astype(np.uint16)), cut(value.astype(np.float32))], ["doc_id", "grade", "slots", "shares"])
 
-    rows = some.select(F.col("doc_id").cast("long"), "grade", "text").mapInArrow(run, "doc_id long, grade int, slots binary, shares binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = sampled_features(docs, labels, (grade() if rating is None else rating).cast("int"), run, ["slots", "shares"], bound, size)
     slots = [np.frombuffer(x, np.uint16) for x in rows["slots"]]
     y = rows["grade"].to_numpy(np.int64)
     if not slots:

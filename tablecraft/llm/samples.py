@@ -2,7 +2,8 @@
 
 A classifier is fitted on ``SAMPLE_ROWS`` labelled documents with ``SAMPLE_BYTES`` of text at most, chosen by a hash of
 doc_id, so that every run takes the same ones; scoring covers every row. Documents are picked out by a join in the JVM,
-and only the features of the sample go to the driver, never texts.
+and only the features of the sample go to the driver, never texts, ``SAMPLE_FEATURES`` bytes of them at most. A document
+of more than a ``LARGEST``-th of either bound is passed over by the sample, so that it doesn't shut out those after it.
 
 Defined cases: labels without doc_id or grade are left out; of several labels of one document the greatest holds, and of
 several texts of one doc_id, or repeated rows, the least text; labels without a document count for nothing.
@@ -10,13 +11,19 @@ several texts of one doc_id, or repeated rows, the least text; labels without a
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import dropped, staged
 
 #: Labelled documents that a classifier is fitted on at most, and bytes of their text.
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 96 << 20
+#: Bytes of their features that the driver gets at most, and the part of either bound that one document can have.
+SAMPLE_FEATURES, LARGEST = 96 << 20, 16
 
 
 def order_of(key: str = "doc_id", seed: int = 17) -> Column:
@@ -37,7 +44,29 @@ def sampled_texts(docs: DataFrame, labels: DataFrame, grade: Column, rows: int =
     some = F.broadcast(sampled_labels(labels, grade, rows, seed))
     found = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "grade").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     found = staged(found, "labelled")
-    sizes = found.select(F.col("doc_id"), F.octet_length("text").cast("long").alias("size"))
+    out = within(found.withColumn("size", F.octet_length("text").cast("long")), size, seed).drop("size")
+    out.staged_at = found.staged_at  # for dropped()
+    return out
+
+
+def within(rows: DataFrame, size: int, seed: int = 17) -> DataFrame:
+    """Of (doc_id, size, ...), of which a doc_id has one row, the first rows by hash that have ``size`` in sum. The window
+    orders two numbers of each row of a sample."""
     before = Window.orderBy(order_of(seed=seed), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = sizes.withColumn("sum", F.sum("size").over(before)).where(F.col("sum") <= size).select("doc_id")
-    return found.join(F.broadcast(within), "doc_id")
+    some = rows.select("doc_id", "size").where(F.col("size") * LARGEST <= size).withColumn("sum", F.sum("size").over(before)).where(F.col("sum") <= size)
+    return rows.join(F.broadcast(some.select("doc_id")), "doc_id")
+
+
+def sampled_features(
+    docs: DataFrame, labels: DataFrame, grade: Column, features: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str], rows: int, size: int
+) -> pd.DataFrame:
+    """(doc_id, grade, *names) of the sample on the driver, by doc_id. ``features`` makes batches with the binary columns
+    ``names`` of batches (doc_id, grade, text)."""
+    texts = sampled_texts(docs, labels, grade, rows, size)
+    made = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(features, ", ".join(["doc_id long, grade int", *[f"{c} binary" for c in names]]))
+    made = staged(made, "features")
+    dropped(texts)
+    sized = made.withColumn("size", sum((F.octet_length(c) for c in names), F.lit(0)).cast("long"))
+    out = within(sized, SAMPLE_FEATURES).drop("size").toPandas().sort_values("doc_id", kind="stable")
+    dropped(made)
+    return out

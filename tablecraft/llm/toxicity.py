@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .samples import SAMPLE_BYTES, SAMPLE_ROWS, sampled_texts
+from .samples import SAMPLE_BYTES, SAMPLE_ROWS, sampled_features
 from .words import NOT_WORD, Hasher, U, chunks, spans
 
 #: Terms of the model at most, and its rank.
@@ -168,7 +168,6 @@ def held_out(key: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, n_terms: int = TERMS, rank: int = RANK) -> FactorizationMachine:
     """Fit on at most ``bound`` labelled documents with ``size`` bytes of text outside the held-out fold."""
-    some = sampled_texts(docs, labels.where(~held_out()), F.col("toxic").cast("int"), bound, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, size: in
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([*[b.column(k).slice(lo, hi - lo) for k in range(2)], pa.array([h[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "grade", "terms"])
 
-    rows = some.select(F.col("doc_id").cast("long"), "grade", "text").mapInArrow(run, "doc_id long, grade int, terms binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = sampled_features(docs, labels.where(~held_out()), F.col("toxic").cast("int"), run, ["terms"], bound, size)
     found = [np.frombuffer(x, U) for x in rows["terms"]]
     row = np.repeat(np.arange(len(found)), [len(x) for x in found]) if found else np.zeros(0, np.int64)
     return fit(row, np.concatenate(found) if found else np.zeros(0, U), rows["grade"].to_numpy(np.int64), n_terms, rank)

@@ -223,6 +223,17 @@ def test_samples_are_bounded(spark):
     assert sorted(again) == sorted(some)
 
 
+def test_a_text_beyond_the_sample_shuts_out_no_other(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "word " * (30_000 if i == 3 else 20)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    some = {r["doc_id"] for r in samples.sampled_texts(d, labels, F.col("toxic"), 100, 20_000).collect()}
+    assert some == set(range(40)) - {3}
+    made = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.binary())], ["doc_id", "grade", "raw"]) for b in batches)
+    monkeypatch.setattr(samples, "SAMPLE_FEATURES", 2000)
+    rows = samples.sampled_features(d, labels, F.col("toxic"), made, ["raw"], 100, 20_000)
+    assert len(rows) == 20 and rows["doc_id"].is_monotonic_increasing and sum(map(len, rows["raw"])) == 2000
+
+
 def test_quality_on_unseen_documents(spark):
     sf = DATA.replace("0.001", "0.01")
     d, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
