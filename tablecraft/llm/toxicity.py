@@ -15,7 +15,7 @@ other columns of documents are not read, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,15 +90,26 @@ def _apart(have: np.ndarray, have_pos: np.ndarray, n: int, pos: int) -> np.ndarr
     return (have_pos - pos * share) / np.sqrt(pos * share * (1 - pos / n) + 1e-9)
 
 
-def _paired(row: np.ndarray, at: np.ndarray, y: np.ndarray, tried: np.ndarray, n_keys: int) -> np.ndarray:
-    """Which of the terms ``tried`` meet another one in rows of which more or fewer are positive than both alone tell."""
+def _in_parts(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, size: int = 1 << 19) -> np.ndarray:
+    """f(x) as 32-bit numbers, without temporary arrays of all of x."""
+    return np.concatenate([np.zeros(0, np.int32), *[f(x[a : a + size]).astype(np.int32) for a in range(0, len(x), size)]])
+
+
+def _paired(start: np.ndarray, at: np.ndarray, y: np.ndarray, tried: np.ndarray, n_keys: int) -> np.ndarray:
+    """Which of the terms ``tried`` meet another one in rows of which more or fewer are positive than both alone tell.
+    Row k has the terms ``at[start[k] : start[k + 1]]``."""
     place = np.full(n_keys, -1)
     place[tried] = np.arange(len(tried))
-    p = place[at]
-    x = np.zeros((len(y), len(tried)), np.float32)
-    x[row[p >= 0], p[p >= 0]] = 1
+    both, both_pos = np.zeros((len(tried), len(tried)), np.float32), np.zeros((len(tried), len(tried)), np.float32)
+    for lo in range(0, len(y), 512):
+        hi = min(lo + 512, len(y))
+        p = place[at[start[lo] : start[hi]]]
+        x = np.zeros((hi - lo, len(tried)), np.float32)
+        x[np.repeat(np.arange(hi - lo), np.diff(start[lo : hi + 1]))[p >= 0], p[p >= 0]] = 1
+        both += x.T @ x
+        x = x[y[lo:hi] == 1]
+        both_pos += x.T @ x
     n, pos = len(y), int(y.sum())
-    both, both_pos = x.T @ x, x[y == 1].T @ x[y == 1]
     have, have_pos = np.diag(both), np.diag(both_pos)
     rate = have_pos / np.maximum(have, 1) / (pos / n)
     wanted = both * np.clip(pos / n * np.outer(rate, rate), 0, 1)  # positive rows if the terms count one by one
@@ -114,26 +125,31 @@ def fit(row: np.ndarray, h: np.ndarray, y: np.ndarray, n_terms: int = TERMS, ran
     if not n or pos in (0, n):  # one class only: its share, smoothed
         p = (pos + 0.5) / (n + 1) if n else 0.05
         return FactorizationMachine(np.zeros(0, U), float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, rank)))
-    keys, at = np.unique(h, return_inverse=True)
-    have = np.bincount(at)
-    have_pos = np.bincount(at, y[row], len(keys))
+    # the driver's memory is what bounds the sample: 32-bit numbers, and no copies that outlive their use
+    ordered = np.sort(h)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(h)])
+    keys, have = ordered[first], np.diff(np.r_[first, len(h)])
+    del ordered, first
+    at = _in_parts(lambda x: np.searchsorted(keys, x), h)
+    start = np.searchsorted(row, np.arange(n + 1, dtype=row.dtype))
+    have_pos = np.bincount(at[np.repeat(y == 1, np.diff(start))], minlength=len(keys))
     z = _apart(have, have_pos, n, pos)
     good = (have >= LEAST_ROWS) & (np.abs(z) >= APART)
     tried = np.sort(np.argsort(-np.where(have <= 0.9 * n, have, 0), kind="stable")[:PAIRED])
     tried = tried[have[tried] >= LEAST_ROWS]
-    good[tried[_paired(row, at, y, tried, len(keys))]] = True
+    good[tried[_paired(start, at, y, tried, len(keys))]] = True
     good = np.flatnonzero(good)
     if len(good) > n_terms:
         good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:n_terms]])
     new = np.full(len(keys), -1)
     new[good] = np.arange(len(good))
-    t = new[at]
+    t = _in_parts(lambda x: new[x], at)
     row, t = row[t >= 0], t[t >= 0]
     rng = np.random.default_rng(seed)
     p0 = pos / n
     bias, w, v = float(np.log(p0 / (1 - p0))), np.zeros(len(good)), rng.normal(0, 0.02, (len(good), rank))
     gw, gv, gb = np.full(len(good), 1e-6), np.full((len(good), rank), 1e-6), 1e-6
-    start = np.searchsorted(row, np.arange(n + 1))
+    start = np.searchsorted(row, np.arange(n + 1, dtype=row.dtype))
     for _ in range(epochs):
         order = rng.permutation(n)
         for lo in range(0, n, 256):
@@ -181,9 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, size: in
                 yield pa.RecordBatch.from_arrays([*[b.column(k).slice(lo, hi - lo) for k in range(2)], pa.array([h[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "grade", "terms"])
 
     rows = sampled_features(docs, labels.where(~held_out()), F.col("toxic").cast("int"), run, ["terms"], bound, size)
-    found = [np.frombuffer(x, U) for x in rows["terms"]]
-    row = np.repeat(np.arange(len(found)), [len(x) for x in found]) if found else np.zeros(0, np.int64)
-    return fit(row, np.concatenate(found) if found else np.zeros(0, U), rows["grade"].to_numpy(np.int64), n_terms, rank)
+    raw = rows.pop("terms")
+    row = np.repeat(np.arange(len(raw), dtype=np.int32), raw.map(len).to_numpy(np.int64) // 8)
+    h = np.concatenate([np.zeros(0, U), *[np.frombuffer(x, U) for x in raw]])
+    del raw
+    return fit(row, h, rows["grade"].to_numpy(np.int64), n_terms, rank)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
