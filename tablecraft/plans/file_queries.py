@@ -219,18 +219,21 @@ def load_with_rejects(spark: S, d: str) -> D:
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey + 1000000, p_name FROM part WHERE p_partkey % 7 = 0")
 def apply_changes(spark: S, d: str) -> D:
     """Inserts, updates and deletes of parts, taken as a stream of files in disorder: the deletes come before the older
-    updates, and a compaction is between them."""
-    p = table(spark, d, "part").select("p_partkey", "p_name")
+    updates, and a compaction is between them. Added parts have a key of their own kind, so that none replaces a part
+    whose number is theirs."""
+    p = table(spark, d, "part").select(F.lit(False).alias("added"), F.col("p_partkey").cast("long").alias("p_partkey"), "p_name")
     first = [("D", p.where("p_partkey % 5 = 0"), 3), ("I", p, 1)]
-    late = [("I", p.where("p_partkey % 7 = 0").withColumn("p_partkey", F.col("p_partkey") + 1000000), 4), ("U", p.where("p_partkey % 3 = 0").withColumn("p_name", F.concat(F.lit("new "), "p_name")), 2)]
+    more = p.where("p_partkey % 7 = 0").withColumns({"added": F.lit(True), "p_partkey": F.col("p_partkey") + 1000000})
+    late = [("I", more, 4), ("U", p.where("p_partkey % 3 = 0").withColumn("p_name", F.concat(F.lit("new "), "p_name")), 2)]
     source, place = files.new_path(spark, "changes"), files.new_path(spark, "place")
-    target = changes.ChangedTable(spark, files.new_path(spark, "changed"), T.StructType.fromDDL("op string, seq long, p_partkey bigint, p_name string"), ["p_partkey"])
+    schema = T.StructType.fromDDL("op string, seq long, added boolean, p_partkey bigint, p_name string")
+    target = changes.ChangedTable(spark, files.new_path(spark, "changed"), schema, ["added", "p_partkey"])
     for batch in (first, late):
         for op, rows, seq in batch:
-            rows.select(F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), F.col("p_partkey").cast("long"), "p_name").write.mode("append").parquet(source)
+            rows.select(F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), "added", "p_partkey", "p_name").write.mode("append").parquet(source)
         changes.apply_change_stream(source, target, place)
         target = target.compacted(files.new_path(spark, "compacted"))
-    return target.read()
+    return target.read().select("p_partkey", "p_name")
 
 
 @query("""SELECT hour, trips, avg_minutes FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, COUNT(*) AS trips, round(AVG(value * 10) / 60, 7) AS avg_minutes FROM events GROUP BY 1)
