@@ -16,6 +16,21 @@ def ratio_of_sums(a: str, b: str) -> Column:
     return pct(F.sum(a), F.sum(b))
 
 
+def _millionths(value: str) -> Column:
+    """A number as a whole number of millionths, NULL where it is none, or 10^9 or more."""
+    at = F.rint(F.col(value).cast("double") * 1e6)
+    return F.when((F.abs(value) < 1e9) & (at / 1e6 == F.col(value).cast("double")), at.cast("long"))
+
+
+def exact_ratio_of_sums(a: str, b: str) -> Column:
+    """sum(a) / sum(b), NULL where sum(b) is 0. Doubles of up to six decimals are added as whole numbers, so that a ratio at
+    a limit, or at half of a last digit, is the same in whatever order rows come; other numbers are added as they are."""
+    whole = (F.count(_millionths(a)) == F.count(a)) & (F.count(_millionths(b)) == F.count(b))
+    x, y = F.try_sum(_millionths(a)), F.try_sum(_millionths(b))
+    there = whole & x.isNotNull() & y.isNotNull()
+    return ratio(F.when(there, x.cast("double")).otherwise(F.sum(a)), F.when(there, y.cast("double")).otherwise(F.sum(b)))
+
+
 def max_over_avg(a: str, b: str) -> Column:
     return ratio(F.max(a), F.avg(b))
 

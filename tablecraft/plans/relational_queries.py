@@ -390,7 +390,7 @@ def max_over_avg(spark: S, d: str) -> D:
 
 @query("SELECT l_suppkey, round(m, 6) AS m FROM (SELECT l_suppkey, SUM(l_tax) / NULLIF(SUM(l_discount), 0) AS m FROM lineitem GROUP BY 1) WHERE m IS NOT NULL AND m BETWEEN 0 AND 0.8")
 def filter_on_aggregate(spark: S, d: str) -> D:
-    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(scalars.ratio(F.sum("l_tax"), F.sum("l_discount")).alias("m"))
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(measures.exact_ratio_of_sums("l_tax", "l_discount").alias("m"))
     return g.where("m is not null and m between 0 and 0.8").select("l_suppkey", F.round("m", 6).alias("m"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import duckdb
 import pandas as pd
 
@@ -21,3 +24,18 @@ def test_added_parts_replace_none_of_their_number(spark, tmp_path):
     pd.DataFrame({"p_partkey": keys, "p_name": [f"part {k}" for k in keys]}).to_parquet(f"{tmp_path}/part.parquet")
     got = __spark_entry__.queries()["apply_changes"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.collect()) == _oracle({"part": f"{tmp_path}/part.parquet"}, "apply_changes")
+
+
+def test_ratio_at_a_limit_is_exact(spark, tmp_path):
+    """Sums whose ratio is 0.8 or half of a millionth, in another order for each supplier; numbers that are no millionths."""
+    rng, rows, want = random.Random(5), [], {}
+    for s in range(60):
+        tax, discount = ([8] * 400, [10] * 400) if s % 2 else ([7] * 354 + [5], [10] * 320)  # 24.83 / 32 = 0.7759375
+        tax = [x for t in tax for k in [rng.randint(0, t)] for x in (t - k, k)]
+        tax, discount = rng.sample(tax, len(tax)), rng.sample(discount, len(discount))
+        rows += [(s, t / 100, d / 100) for t, d in itertools.zip_longest(tax, discount, fillvalue=0)]
+        want[s] = 0.8 if s % 2 else 0.775938
+    rows += [(100, 1e300, 2e300), (101, 1e-9, 4e-9), (102, None, 0.1), (103, 0.1, 0.0), (104, float("nan"), 0.1)]
+    spark.createDataFrame(rows, "l_suppkey long, l_tax double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = __spark_entry__.queries()["filter_on_aggregate"](spark, str(tmp_path))
+    assert dict(map(tuple, got.collect())) == want | {100: 0.5, 101: 0.25}
