@@ -71,7 +71,7 @@ def stage_list(spark: S, d: str) -> D:
 def stage_file_stats(spark: S, d: str) -> D:
     """Lineitem as eight files, and whether their sizes add up."""
     path = files.new_path(spark, "lineitem")
-    table(spark, d, "lineitem").repartition(8).write.parquet(path)
+    files.in_parts(table(spark, d, "lineitem"), 8).write.parquet(path)
     sized = F.col("total_gb") * 1024 / F.col("n_files") - F.col("mean_mb")
     return files.file_stats(files.list_files(spark, path)).select("n_files", (F.abs(sized) <= 0.1 * 1024 / 8 + 0.1).alias("sized"))
 

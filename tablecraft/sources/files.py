@@ -58,6 +58,15 @@ def read_variant_json(spark: SparkSession, path: str, column: str = "v") -> Data
     return spark.read.option("singleVariantColumn", column).json(path)
 
 
+def in_parts(df: DataFrame, n: int) -> DataFrame:
+    """``df`` in ``n`` parts, each with rows if there are enough, to be written as so many files. Where what it reads comes
+    in as many parts or more, all with rows, these are put together as they are, without a shuffle."""
+    parts = df.rdd.getNumPartitions()
+    if parts >= n and df.groupBy(F.spark_partition_id()).count().count() == parts:
+        return df.coalesce(n)
+    return df.repartition(n)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modificationTime) of all files below a path; their contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")

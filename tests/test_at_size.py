@@ -9,6 +9,7 @@ import duckdb
 import pandas as pd
 
 import __spark_entry__
+from tablecraft.sources import files
 
 
 def _oracle(tables: dict[str, str], name: str) -> list[tuple]:
@@ -39,3 +40,21 @@ def test_ratio_at_a_limit_is_exact(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_tax double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = __spark_entry__.queries()["filter_on_aggregate"](spark, str(tmp_path))
     assert dict(map(tuple, got.collect())) == want | {100: 0.5, 101: 0.25}
+
+
+def test_staged_files_are_put_together_without_a_shuffle(spark, tmp_path):
+    """Eight files of a table that has parts enough, and of one that has not."""
+    spark.range(9_000, numPartitions=9).write.parquet(f"{tmp_path}/many")
+    small = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "6000"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        many, few = files.in_parts(spark.read.parquet(f"{tmp_path}/many"), 8), files.in_parts(spark.range(0, 90, 1, 2), 8)
+        for name, df, rows, shuffled in (("a", many, 9000, False), ("b", few, 90, True)):
+            assert ("Exchange" in df._jdf.queryExecution().executedPlan().toString()) == shuffled
+            df.write.parquet(f"{tmp_path}/{name}")
+            assert files.list_files(spark, f"{tmp_path}/{name}").count() == 8 and spark.read.parquet(f"{tmp_path}/{name}").count() == rows
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
