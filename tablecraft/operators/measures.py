@@ -54,13 +54,15 @@ def _as_number(column: Column, kind: T.DataType) -> Column:
 
 def range_block(df: DataFrame, column: str, blocks: int = 256) -> Column:
     """A number for ranges of a column that have about equally many rows: equal values are in one block, greater values in
-    the same or a later one, NULLs in the first."""
+    the same or a later one, NULLs in the first. A row's block is looked up by halves."""
     number = _as_number(F.col(column), df.schema[column].dataType)
     shares = F.array(*[F.lit(i / blocks) for i in range(1, max(blocks, 2))])
     found = df.agg(F.percentile_approx(number, shares, 10 * blocks)).first()[0]
     cuts = sorted({c for c in found or [] if c == c})
-    before = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < number))
-    return F.when(F.col(column).isNull(), -1).otherwise(before)
+    limits = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+    further = lambda at, step: F.when((at + step <= len(cuts)) & (F.get(limits, at + step - 1) < number), at + step).otherwise(at)
+    return F.when(F.col(column).isNull(), -1).otherwise(F.aggregate(halves, F.lit(0), further))
 
 
 def running_sum_by_step(df: DataFrame, value: str, keys: list[str], order: list[str], name: str = "running", blocks: int = 256) -> DataFrame:

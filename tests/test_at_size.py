@@ -7,8 +7,10 @@ import random
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tablecraft.operators import measures
 from tablecraft.sources import files
 
 
@@ -58,3 +60,13 @@ def test_staged_files_are_put_together_without_a_shuffle(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_blocks_are_looked_up_by_halves(spark):
+    """A row's block takes a step for each halving of the blocks and is the number of limits below the value."""
+    df = spark.range(4000).select("id", F.when(F.col("id") % 9 > 0, F.col("id") * 7919 % 1009).alias("o"))
+    block = measures.range_block(df, "o", 256)
+    steps = df.select(block.alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in steps and "aggregate(" in steps
+    found = df.select("o", block.alias("b")).orderBy("o").collect()
+    assert [r["b"] for r in found] == sorted(r["b"] for r in found) and len({r["b"] for r in found}) > 200
