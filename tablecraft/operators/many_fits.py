@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 #: Numbers of a matrix of rows and fits that a task has at once.
 AT_ONCE = 4 << 20
+#: Pairs of a fit and a class that a row keeps margins for; more fits of boosted trees go one part after another.
+CARRIED = 256
+#: Rows whose histograms are summed at once, so that their cells stay in a core's cache.
+CELL_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -38,8 +42,10 @@ def fits_of(draws: list[dict], folds: int) -> list[Fit]:
 
 
 def _rows(df: DataFrame) -> DataFrame:
+    """(x, y, fold), in as many parts as there are cores: what a task sends in a pass has the same size for few rows as
+    for many, and a part is read batch by batch."""
     fold = F.col("fold").cast("int") if "fold" in df.columns else F.lit(0)
-    return df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"), fold.alias("fold")).where("y is not null")
+    return df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"), fold.alias("fold")).where("y is not null").repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,12 +287,17 @@ class Boosted:
         return _predictions(df, self.classes, lambda x: first.scores(x)[:, 0])
 
 
-def _sampled(x: np.ndarray, round_: int, fit: int, share: float) -> np.ndarray:
-    """Which rows a round of a fit takes: a hash of their features decides, the same in every run."""
+def _row_hash(x: np.ndarray) -> np.ndarray:
+    """A hash of each row's features, the same in every run."""
+    with np.errstate(over="ignore"):
+        return (np.ascontiguousarray(x).view(np.uint64) * (2 * np.arange(x.shape[1], dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))).sum(1, dtype=np.uint64)
+
+
+def _sampled(h: np.ndarray, round_: int, fit: int, share: float) -> np.ndarray:
+    """Which rows, given by their hashes, a round of a fit takes."""
     if share >= 1:
-        return np.ones(len(x), bool)
+        return np.ones(len(h), bool)
     with np.errstate(over="ignore"):
-        h = (np.ascontiguousarray(x).view(np.uint64) * (2 * np.arange(x.shape[1], dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))).sum(1, dtype=np.uint64)
         h = (h ^ np.uint64(round_ * 1_000_003 + fit)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return (h >> np.uint64(11)).astype(float) / 2**53 < share
@@ -305,31 +316,105 @@ def best_splits(g: np.ndarray, h: np.ndarray, ridge: float, least: float) -> tup
     return gain[node, at], at // gl.shape[2], at % gl.shape[2], total_g, total_h, gl.reshape(len(g), -1)[node, at], hl.reshape(len(g), -1)[node, at]
 
 
+_BINNED = "bins binary, y int, fold int, hash long, margins binary"
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """A binary cell for each row of an array."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows[0].nbytes if len(rows) else 0)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _unpacked(cells: pa.Array, kind: type) -> np.ndarray:
+    """The rows that ``_packed`` gave."""
+    ends = np.frombuffer(cells.buffers()[1], np.int64 if pa.types.is_large_binary(cells.type) else np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    return np.frombuffer(cells.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(cells), -1)
+
+
+def _binned_batch(b: pa.RecordBatch, model: Boosted) -> tuple[np.ndarray, ...]:
+    """(bins, y, fold, hash, margins) of a batch, margins (rows, fits, classes) by the rounds carried so far."""
+    shape = (b.num_rows, len(model.feature), model.classes)
+    margins = _unpacked(b.column("margins"), np.float64).reshape(shape) if model.rounds else np.zeros(shape)
+    return _unpacked(b.column("bins"), np.uint8 if model.cuts.shape[1] < 256 else np.uint16), b.column("y").to_numpy(), b.column("fold").to_numpy(), b.column("hash").to_numpy().view(np.uint64), margins
+
+
+def _binned_rows(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """Rows with the bins of their features, a byte each, and without margins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0)
+        model = Boosted(cuts, none, none, none, 0)
+        for b in batches:
+            if b.num_rows:
+                x, y, fold = _arrays(b)
+                bins = model.binned(x).astype(np.uint8 if cuts.shape[1] < 256 else np.uint16)
+                yield pa.RecordBatch.from_arrays([_packed(bins), b.column("y"), b.column("fold"), pa.array(_row_hash(x).view(np.int64)), pa.array([b""] * len(y), pa.binary())], ["bins", "y", "fold", "hash", "margins"])
+
+    return rows.mapInArrow(run, _BINNED)
+
+
+def _advanced(margins: np.ndarray, bins: np.ndarray, model: Boosted) -> np.ndarray:
+    """The margins with those of the trees of the present round."""
+    out = margins.copy()
+    for i in range(out.shape[1]):
+        for k in range(model.classes):
+            out[:, i, k] += model.value[i, model.rounds, k][model.nodes(bins, i, model.rounds, k, model.depth)]
+    return out
+
+
+def _carried(binned: DataFrame, sent) -> DataFrame:
+    """Rows whose margins have the trees of the round that was sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                bins, _, _, _, margins = _binned_batch(b, sent.value)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], _packed(_advanced(margins, bins, sent.value))], b.schema.names)
+
+    return binned.mapInArrow(run, _BINNED)
+
+
 def fit_boosted(df: DataFrame, fits: list[Fit], rounds: int = 10, depth: int = 5, bins: int = 32, ridge: float = 1.0, least: float = 1.0) -> tuple[Boosted, np.ndarray]:
     """Boosted trees for several classes by softmax (``stepSize``, ``subsamplingRate``, ``maxIter`` and ``maxDepth`` of each
     fit, if given), and their accuracies on the folds left out.
 
-    Features are cut at quantiles once. Each level of the trees of all classes and fits is one pass: tasks sum gradients
-    and curvatures by fit, class, node, feature and bin; sums are added up by fit and class, where the best splits are
-    found, and only these go to the driver.
+    Features are cut at quantiles once and kept as their bins. Each level of the trees of all classes and fits is one pass:
+    tasks sum gradients and curvatures by fit, class, node, feature and bin; sums are added up by fit and class, where the
+    best splits are found, and only these go to the driver. Rows carry their margins from round to round.
     """
     rows = _rows(df).persist(StorageLevel.DISK_ONLY)
+    held = [rows]
     try:
         classes = int(rows.agg(F.max("y")).first()[0]) + 1
         d = len(rows.select("x").first()["x"])
         cuts = rows.select(*[F.col("x")[j].alias(f"x{j}") for j in range(d)]).approxQuantile([f"x{j}" for j in range(d)], [i / bins for i in range(1, bins)], 0.001)
         cuts = np.stack([np.r_[u := np.unique(c), np.full(bins - 1 - len(u), np.nan)] for c in cuts])
-        rate, share = (np.array([f.get(p, v) for f in fits]) for p, v in (("stepSize", 0.3), ("subsamplingRate", 1.0)))
-        most, deep = (np.array([int(f.get(p, v)) for f in fits]) for p, v in (("maxIter", rounds), ("maxDepth", depth)))
-        rounds, depth = int(most.max()), int(deep.max())
-        shape = (len(fits), rounds, classes, 2 ** (depth + 1) - 1)
-        model = Boosted(cuts, np.full(shape, -1), np.zeros(shape, int), np.zeros(shape), depth, 0, np.array([f.fold for f in fits]), share)
+        binned = _binned_rows(rows, cuts).persist(StorageLevel.DISK_ONLY)
+        held.append(binned)
+        rounds, depth = (max(int(f.get(p, v)) for f in fits) for p, v in (("maxIter", rounds), ("maxDepth", depth)))
+        step = max(1, CARRIED // classes)
+        parts = [_fit_part(binned, cuts, fits[at : at + step], at, classes, rounds, depth, ridge, least) for at in range(0, len(fits), step)]
+        every = [np.concatenate([getattr(m, name) for m, _ in parts]) for name in ("feature", "bin", "value", "folds", "share")]
+        return Boosted(cuts, *every[:3], depth, rounds, *every[3:]), np.concatenate([scores for _, scores in parts])
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _fit_part(binned: DataFrame, cuts: np.ndarray, fits: list[Fit], first: int, classes: int, rounds: int, depth: int, ridge: float, least: float) -> tuple[Boosted, np.ndarray]:
+    """As ``fit_boosted`` for some of the fits, of which the first one has the number ``first``."""
+    rate, share = (np.array([f.get(p, v) for f in fits]) for p, v in (("stepSize", 0.3), ("subsamplingRate", 1.0)))
+    most, deep = (np.array([int(f.get(p, v)) for f in fits]) for p, v in (("maxIter", rounds), ("maxDepth", depth)))
+    shape = (len(fits), rounds, classes, 2 ** (depth + 1) - 1)
+    model = Boosted(cuts, np.full(shape, -1), np.zeros(shape, int), np.zeros(shape), depth, 0, np.array([f.fold for f in fits]), share)
+    now = last = binned
+    try:
         for r in range(rounds):
             model.rounds = r
             for level in range(depth):
-                sent = _broadcast(df, model)
+                sent = _broadcast(binned, model)
                 active = [i for i in range(len(fits)) if most[i] > r and deep[i] > level]
-                for s in _level(rows, sent, active, level, bins, ridge, least):
+                for s in _level(now, sent, active, first, level, ridge, least):
                     i, k, node = s["fit"], s["k"], s["node"]
                     tree = (i, r, k)
                     if level == 0:
@@ -339,39 +424,68 @@ def fit_boosted(df: DataFrame, fits: list[Fit], rounds: int = 10, depth: int = 5
                         for child, g, h in ((2 * node + 1, s["lg"], s["lh"]), (2 * node + 2, s["g"] - s["lg"], s["h"] - s["lh"])):
                             model.value[(*tree, child)] = -rate[i] * g / (h + ridge)
                 sent.unpersist()
+                if level == 0 and last is not binned and last is not now:
+                    last.unpersist()  # the present rows are written by now
+            sent = _broadcast(binned, model)
+            if r + 1 < rounds:
+                last, now = now, _carried(now, sent).persist(StorageLevel.DISK_ONLY)
+
+        def add(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+            cells, y, fold, _, margins = _binned_batch(b, sent.value)
+            unseen = fold[:, None] == sent.value.folds
+            right = _advanced(margins, cells, sent.value).argmax(2) == y[:, None]
+            return {"hit": (right & unseen).sum(0), "n": unseen.sum(0)}
+
+        found = totals(now, add)
         model.rounds = rounds
-        return model, accuracies(rows, fits, Boosted.scores, _broadcast(df, model))
+        return model, found["hit"] / np.maximum(found["n"], 1)
     finally:
-        rows.unpersist()
+        for df in (last, now):
+            if df is not binned:
+                df.unpersist()
 
 
-def _level(rows: DataFrame, sent, active: list[int], level: int, bins: int, ridge: float, least: float) -> list:
+def _level(binned: DataFrame, sent, active: list[int], first: int, level: int, ridge: float, least: float) -> list:
     """The best split of each node of a level, of all classes of the fits that are active."""
-    start, width = 2**level - 1, 2**level
+    start, width, bins = 2**level - 1, 2**level, sent.value.cuts.shape[1] + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         d, r = len(model.cuts), model.rounds
         sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            x, y, fold = _arrays(b)
-            if not len(y):
-                continue
-            cut = model.binned(x)
-            for i in active:
-                use = np.flatnonzero((fold != model.folds[i]) & _sampled(x, r, i, model.share[i]))
-                mine = cut[use]
-                p = _softmax(model.margins(mine, i))
-                for k in range(model.classes):
-                    at = model.nodes(mine, i, r, k, level)
-                    here = np.flatnonzero(at >= start)
-                    cell = (((at[here] - start) * d)[:, None] + np.arange(d)) * bins + mine[here]
-                    g, h = p[here, k] - (y[use[here]] == k), np.maximum(2 * p[here, k] * (1 - p[here, k]), 1e-16)
-                    both = np.stack([np.bincount(cell.ravel(), np.repeat(v, d), width * d * bins) for v in (g, h)])
-                    sums[i, k] = sums[i, k] + both if (i, k) in sums else both
+            if b.num_rows:
+                whole = _binned_batch(b, model)
+                for at in range(0, b.num_rows, CELL_ROWS):
+                    add(sums, model, d, r, *(v[at : at + CELL_ROWS] for v in whole))
         for (i, k), v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["fit", "k", "v"])
 
+    def add(sums, model, d, r, cut, y, fold, h, margins):
+        base = cut + np.arange(d) * bins
+        for i in active:
+            use = np.flatnonzero((fold != model.folds[i]) & _sampled(h, r, first + i, model.share[i]))
+            if not len(use):
+                continue
+            every = len(use) == len(y)
+            mine, cells = (cut, base) if every else (cut[use], base[use])
+            p = _softmax(margins[use, i])
+            g, c = p.copy(), np.maximum(2 * p * (1 - p), 1e-16)
+            g[np.arange(len(use)), y[use]] -= 1
+            for k in range(model.classes):
+                if level == 0:
+                    here, cell = slice(None), cells
+                else:
+                    node = model.nodes(mine, i, r, k, level)
+                    here = np.flatnonzero(node >= start)
+                    cell = cells[here] + ((node[here] - start) * (d * bins))[:, None]
+                flat = cell.ravel()
+                both = np.stack([np.bincount(flat, np.repeat(v[here, k], d), width * d * bins) for v in (g, c)])
+                if (i, k) in sums:
+                    sums[i, k] += both
+                else:
+                    sums[i, k] = both
+
     def best(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
@@ -389,5 +503,5 @@ def _level(rows: DataFrame, sent, active: list[int], level: int, bins: int, ridg
         )
 
     best.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    sums = rows.mapInArrow(run, "fit int, k int, v binary").groupBy("fit", "k")
+    sums = binned.mapInArrow(run, "fit int, k int, v binary").groupBy("fit", "k")
     return sums.applyInArrow(best, "fit int, k int, node int, gain double, feature int, bin int, g double, h double, lg double, lh double").collect()

@@ -54,6 +54,22 @@ def test_fits_side_by_side_equal_single_ones(clouds):
         assert scores[i] > 0.8
 
 
+def test_passes_have_a_task_a_core_and_fits_go_in_parts(clouds, monkeypatch):
+    """A table in 50 parts: a task's histograms have the same size whatever its rows, so there are no more tasks than cores."""
+    many = clouds.repartition(50)
+    assert many_fits._rows(many).rdd.getNumPartitions() == many.sparkSession.sparkContext.defaultParallelism
+    fits = many_fits.fits_of([{"subsamplingRate": 0.7, "maxDepth": 2}], 3)
+    together, scores = many_fits.fit_boosted(many, fits, rounds=3, depth=3)
+    monkeypatch.setattr(many_fits, "CARRIED", 3)
+    monkeypatch.setattr(many_fits, "CELL_ROWS", 11)
+    parts, same = many_fits.fit_boosted(many, fits, rounds=3, depth=3)
+    assert (together.feature == parts.feature).all() and together.value == pytest.approx(parts.value)
+    for i, f in enumerate(fits):
+        seen = clouds.where(F.col("fold") == f.fold)
+        alone = many_fits.Boosted(parts.cuts, parts.feature[[i]], parts.bin[[i]], parts.value[[i]], parts.depth, parts.rounds)
+        assert scores[i] == same[i] == pytest.approx(models.accuracy(alone.transform(seen)))
+
+
 def test_boosted_trees_learn_what_takes_depth(spark):
     """Four classes on a chessboard: no single cut helps, two do; a table of one class and one row."""
     rng = random.Random(4)
