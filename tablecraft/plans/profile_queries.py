@@ -281,7 +281,8 @@ def imputed_data_sets(spark: S, d: str) -> D:
 
 
 def _prepared(spark: S, d: str) -> tuple[D, D]:
-    train, test = models.stratified_split(_labelled(spark, d), "class", "vec_id", 0.3)
+    """(train, test), split once: every pass of a fit would split again."""
+    train, test = (_written(part) for part in models.stratified_split(_labelled(spark, d), "class", "vec_id", 0.3))
     p = models.column_pipeline(_X, [], "class").fit(train)
     shape = lambda df: p.transform(df).select("vec_id", "features", "label")
     return shape(train), shape(test)
@@ -319,7 +320,7 @@ def cross_validate(spark: S, d: str) -> D:
 def model_comparison(spark: S, d: str) -> D:
     train, test = _prepared(spark, d)
     three = {"logistic": models.logistic_side_by_side(regParam=0.01, maxIter=60), "forest": models.random_forest(), "boosted": models.boosted_trees()}
-    return models.compare(three, models.folds(train, "label", "vec_id", 10), test, k=10)
+    return models.compare(three, _written(models.folds(train, "label", "vec_id", 10)), test, k=10)
 
 
 @query()
