@@ -11,7 +11,7 @@ line number) is kept.
 
 Equal lines are one class from the start. Shingles are hashed and reduced to minima in the task that reads the line; what
 is shuffled is one signature a line. In a band, members are first held against the band's first line; then only lines in
-different components are compared, in bands of many near copies by their differences from a centre
+different components whose bitmaps of shingles don't rule out a link are compared, in bands of many near copies by their differences from a centre
 (``differences.py``), so that a group of near copies costs its size and not its square.
 
 Defined cases: null or empty texts and empty tables have no lines; blank lines are kept and belong to no class; rules of
@@ -33,6 +33,8 @@ from .shared import dropped, staged
 BANDS, MINIMA, PERCENT, WIDTH = 14, 20, 80, 9
 #: Minima in which two lines agree if they are compared.
 AGREED = 9
+#: 64-bit words of the bitmap by which pairs that can't link are told, a power of two.
+WORDS = 32
 #: Shingles that are reduced to one row before rows are aggregated.
 STEP = 4
 #: Lines named in a broadcast at most (8 bytes each); beyond that they are joined by a shuffle.
@@ -128,15 +130,34 @@ def _links(docs: DataFrame) -> DataFrame:
         some = staged(texts.join(long.select("rep").distinct(), "rep"), "long-texts")
         links = links.unionByName(differences.links_of(long, some, _hashes, links, PERCENT))
         dropped(some)
-    short = marked.join(deep, "key", "left_anti")
-    left, right = short.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), short.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    across = staged(_agreeing(across, signed), "lines-across")
-    links = staged(links.unionByName(verified(across, texts, _hashes, PERCENT)), "all-line-links")
-    dropped(stars, texts, across, signed)
+    short = marked.join(deep, "key", "left_anti").select("key", "rep", "component")
+    wanted = staged(texts.join(short.select("rep").distinct(), "rep"), "short-texts")
+    known = staged(_sketches(wanted).join(signed.withColumnRenamed("h", "rep"), "rep"), "line-sketches")
+    apart = short.join(known, "rep")
+    across = staged(_near(apart, apart).join(stars, ["a", "b"], "left_anti"), "lines-across")
+    links = staged(links.unionByName(verified(across, wanted, _hashes, PERCENT)), "all-line-links")
+    dropped(stars, texts, wanted, known, across, signed)
     return links
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(rep, n, sketch) of texts (rep, content): the size of the set, and a bitmap that has a bit for each of its hashes."""
+    each = texts.select("rep", F.explode(_hashes(F.col("content"))).alias("x"))
+    each = each.select("rep", F.expr(f"(x >> 6) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)) for w in range(WORDS)]
+    return each.groupBy("rep").agg(F.count("*").alias("n"), F.array(*words).alias("sketch"))
+
+
+def _near(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of the same list in different components that agree in enough minima and may link: where one
+    bitmap only has a bit, one set has a hash that the other lacks, so that sets differ in as many hashes at least."""
+    a, b = (some.select("key", *[F.col(c).alias(f"{side}_{c}") for c in some.columns if c != "key"]) for some, side in ((x, "a"), (y, "b")))
+    agreed = sum(((F.col(f"a_m{k}") == F.col(f"b_m{k}")).cast("int") for k in range(MINIMA)), F.lit(0))
+    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    met = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & (agreed >= AGREED) & (differ * (100 + PERCENT) <= (F.col("a_n") + F.col("b_n")) * (100 - PERCENT))
+    return a.join(b, "key").where(met).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+
+
 def _marked(docs: DataFrame, *more: str) -> DataFrame:
     """As ``duplicates``, with the columns ``more``, which also order equal lines with equal places."""
     lines = staged(_lines(docs, *more).select("doc_id", "line_no", *more, _key(F.col("line")).alias("key")), "lines")

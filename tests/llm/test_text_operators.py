@@ -358,6 +358,23 @@ def test_lines_of_a_large_group(spark, monkeypatch):
     assert sum(found[p] == want[p] for p in want) >= 0.99 * len(want)
 
 
+def test_line_bitmaps_rule_out_no_link(spark):
+    """Lines of many lengths against copies with more and more words replaced: near ones all stay, most others go."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        old = [f"w{rng.randrange(10**6)}" for _ in range((8, 40, 150)[i % 3])]
+        new = [f"w{rng.randrange(10**6)}" if rng.random() < i / 1200 else w for w in old]
+        rows += [(2 * i, " ".join(old)), (2 * i + 1, " ".join(new))]
+    texts = spark.createDataFrame(rows, "rep long, content string")
+    lists = lines._sketches(texts).withColumn("key", F.shiftright("rep", 1)).withColumn("component", F.col("rep")).withColumns({f"m{k}": F.lit(0) for k in range(lines.MINIMA)})
+    near = {(r["a"], r["b"]) for r in lines._near(lists, lists).collect()}
+    sets = {i: {t[j : j + lines.WIDTH] for j in range(max(1, len(t) - lines.WIDTH + 1))} for i, t in rows}
+    likeness = {(i, i + 1): len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 240, 2)}
+    assert {p for p, j in likeness.items() if j >= 0.8} <= near and near <= set(likeness)
+    assert not {p for p, j in likeness.items() if j < 0.6} & near and min(likeness.values()) < 0.6
+
+
 def test_line_dedup_by_every_character(spark):
     near = "the committee published its administrative recommendations concerning international telecommunications infrastructure"
     texts = [
