@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, staged
 
+#: Rounds have a task for so many edges, and ``TASKS`` at least.
+EDGES, TASKS = 50_000, 8
+
 
 def _least(both: DataFrame) -> DataFrame:
     """(u, m): each vertex and the smallest of itself and its neighbours in (u, v)."""
@@ -35,8 +38,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         "links",
     )
     for _ in range(rounds):
+        tasks = max(TASKS, state[0] // EDGES)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(_least(both), "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         large, state_of_large = _kept(large, "large-star")
         # stars stay as they are, and each of their vertices has one centre
         if state_of_large == state and large.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").isEmpty():
@@ -46,7 +50,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         small = (
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
-            .where("u > v").distinct()
+            .where("u > v").coalesce(tasks).distinct().coalesce(tasks)
         )
         last, (edges, state) = edges, _kept(small, "small-star")
         dropped(last, large)

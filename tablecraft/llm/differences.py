@@ -62,16 +62,16 @@ def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, tokens: Callable[[Column], Column], percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. sets: (rep, content), and ``tokens`` makes the set of a content: it is made
-    after the joins, in a lambda's variable, which is computed once a pair."""
-    x, y = sets.select(F.col("rep").alias("a"), F.col("content").alias("x")), sets.select(F.col("rep").alias("b"), F.col("content").alias("y"))
-    both = F.array(F.struct(tokens(F.col("x")).alias("x"), tokens(F.col("y")).alias("y")))
+def linking(x: str, y: str, tokens: Callable[[Column], Column], percent: int) -> Column:
+    """Whether the sets that ``tokens`` makes of the contents x and y link; each is made once, in a lambda's variable."""
+    both = F.array(F.struct(tokens(F.col(x)).alias("x"), tokens(F.col(y)).alias("y")))
+    return F.exists(both, lambda p: F.size(F.array_intersect(p["x"], p["y"])) * (100 + percent) >= (F.size(p["x"]) + F.size(p["y"])) * percent)
 
-    def link(p: Column) -> Column:
-        return F.size(F.array_intersect(p["x"], p["y"])) * (100 + percent) >= (F.size(p["x"]) + F.size(p["y"])) * percent
 
-    return pairs.select("a", "b").join(x, "a").join(y, "b").where(F.exists(both, link)).select("a", "b")
+def verified(pairs: DataFrame, sets: DataFrame, tokens: Callable[[Column], Column], percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link. sets: (rep, content), and ``tokens`` makes the set of a content, after the joins."""
+    x, y = sets.select(F.col("rep").alias("a"), F.col("content").alias("x")), sets.select(F.col("rep").alias("b"), F.col("content").alias("y"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").where(linking("x", "y", tokens, percent)).select("a", "b")
 
 
 def _balls(lists: DataFrame, sets: DataFrame, tokens: Callable[[Column], Column], percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:

@@ -39,6 +39,10 @@ WORDS = 32
 STEP = 4
 #: Lines named in a broadcast at most (8 bytes each); beyond that they are joined by a shuffle.
 MOST_SENT = 2_000_000
+#: Pairs across components up to which a band is scanned, whatever its differences would cost.
+SCANNED = 1 << 20
+#: More than the lines of a text.
+LINE_NUMBERS = 1 << 31
 
 
 def _plain(raw: Column) -> Column:
@@ -86,11 +90,11 @@ def members(k: int) -> tuple[int, ...]:
     return tuple((7 * k + step) % MINIMA for step in (0, 1, 8))
 
 
-def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(rep, content) of the lines named by keys (rep, each once)."""
+def _texts(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(rep, content) of the lines (h, line) named by keys (rep, each once)."""
     few = keys.count() <= MOST_SENT
-    named = _lines(docs).select("line", F.xxhash64(F.lit(1), "line").alias("rep"))
-    return named.join(F.broadcast(keys) if few else keys, "rep", "left_semi").groupBy("rep").agg(F.first("line").alias("content"))
+    named = lines.select(F.col("h").alias("rep"), F.col("line").alias("content"))
+    return named.join(F.broadcast(keys) if few else keys, "rep", "left_semi").distinct()
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -99,80 +103,109 @@ def duplicates(docs: DataFrame) -> DataFrame:
     return _marked(docs)
 
 
-def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in enough minima."""
-    x, y = (signed.select(F.col("h").alias(side), *[F.col(f"m{k}").alias(f"{side}{k}") for k in range(MINIMA)]) for side in "ab")
-    agreed = sum(((F.col(f"a{k}") == F.col(f"b{k}")).cast("int") for k in range(MINIMA)), F.lit(0))
-    return pairs.join(x, "a").join(y, "b").where(agreed >= AGREED).select("a", "b")
+def _agreed() -> Column:
+    """Whether the minima a_m0, .. and b_m0, .. agree often enough."""
+    return sum(((F.col(f"a_m{k}") == F.col(f"b_m{k}")).cast("int") for k in range(MINIMA)), F.lit(0)) >= AGREED
 
 
-def _links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) between keys of lines that connect all lines that are connected."""
-    signed = staged(signatures(_lines(docs).select("line")), "signatures")
+def _sides(x: DataFrame, y: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """x and y with a_ and b_ before the names of their columns, ``by`` left out."""
+    return tuple(some.select(*by, *[F.col(c).alias(f"{side}_{c}") for c in some.columns if c not in by]) for some, side in ((x, "a"), (y, "b")))
+
+
+def _costly(lists: DataFrame) -> DataFrame:
+    """The keys of lists (key, rep, component) with more than ``SCANNED`` pairs across components."""
+    parts = lists.groupBy("key", "component").agg(F.count("*").alias("n"))
+    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).where(f"n * n - within > {2 * SCANNED}").select("key")
+
+
+def _links(lines: DataFrame) -> DataFrame:
+    """Links (a, b) between the hashes h of lines (h, line) that connect all lines that are connected."""
+    signed = staged(signatures(lines.select("line")), "signatures")
     bands = signed.select("h", F.explode(F.array(*[F.xxhash64(F.lit(k), *[f"m{i}" for i in members(k)]) for k in range(BANDS)])).alias("key"))
     dealt = bands.repartition("key")
-    several = dealt.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
-    met = staged(dealt.join(several.hint("shuffle_hash"), "key").select("key", F.col("h").alias("rep")), "bands")
+    several = dealt.groupBy("key").agg(F.min("h").alias("centre"), F.max("h").alias("hi")).where("centre < hi").select("key", "centre")
+    met = staged(dealt.join(several.hint("shuffle_hash"), "key").select("key", F.col("h").alias("rep"), "centre"), "bands")
 
-    centres = met.groupBy("key").agg(F.min("rep").alias("centre"))
-    stars = met.join(centres, "key").where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = staged(_agreeing(stars, signed), "line-stars")
     ends = staged(met.select("rep").distinct(), "line-ends")
-    texts = staged(_texts(docs, ends), "line-texts")
-    links = staged(verified(stars, texts, _hashes, PERCENT), "line-links")
-
-    marked = staged(open_lists(renamed(met, links), ["key"]).where("length > 2"), "open-bands")
-    dropped(met, ends)
-    sized = marked.join(texts.select("rep", F.char_length("content").cast("long").alias("n")), "rep")
+    texts = staged(_texts(lines, ends).join(signed.withColumnRenamed("h", "rep"), "rep"), "line-texts")
+    x, y = _sides(texts, texts)
+    stars = met.where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(x, F.col("a") == F.col("a_rep")).join(y, F.col("b") == F.col("b_rep")).where(_agreed())
+    stars = staged(stars.select("a", "b", differences.linking("a_content", "b_content", _hashes, PERCENT).alias("link")), "line-stars")
+    links = stars.where("link").select("a", "b")
+
+    marked = staged(open_lists(renamed(met.select("key", "rep"), links), ["key"]).where("length > 2"), "open-bands")
+    dropped(met, ends, signed)
+    sized = marked.join(_costly(marked), "key").join(texts.select("rep", F.char_length("content").cast("long").alias("n")), "rep")
     deep = staged(differences.deep_lists(sized), "deep-bands")
     long = marked.join(deep, "key", "left_semi")
     if not deep.isEmpty():
-        some = staged(texts.join(long.select("rep").distinct(), "rep"), "long-texts")
+        some = staged(texts.select("rep", "content").join(long.select("rep").distinct(), "rep"), "long-texts")
         links = links.unionByName(differences.links_of(long, some, _hashes, links, PERCENT))
         dropped(some)
     short = marked.join(deep, "key", "left_anti").select("key", "rep", "component")
     wanted = staged(texts.join(short.select("rep").distinct(), "rep"), "short-texts")
-    known = staged(_sketches(wanted).join(signed.withColumnRenamed("h", "rep"), "rep"), "line-sketches")
+    known = staged(_sketches(wanted).join(wanted.drop("content"), "rep"), "line-sketches")
     apart = short.join(known, "rep")
     across = staged(_near(apart, apart).join(stars, ["a", "b"], "left_anti"), "lines-across")
     links = staged(links.unionByName(verified(across, wanted, _hashes, PERCENT)), "all-line-links")
-    dropped(stars, texts, wanted, known, across, signed)
+    dropped(stars, texts, marked, deep, wanted, known, across)
     return links
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(rep, n, sketch) of texts (rep, content): the size of the set, and a bitmap that has a bit for each of its hashes."""
-    each = texts.select("rep", F.explode(_hashes(F.col("content"))).alias("x"))
+    """(rep, n, s0, s1, ..) of texts (rep, content): the number of its shingles, repeats counted, and a bitmap that has a bit for each
+    of their hashes. Words of bitmaps are made within the task that reads the text."""
+    wide = texts.select("rep", F.encode("content", "UTF-32").alias("wide"))
+    wide = wide.select("rep", "wide", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("wide") - (4 * WIDTH - 1)), F.lit(4))).alias("i"))
+    each = wide.select("rep", F.xxhash64(F.substring("wide", F.col("i"), F.lit(4 * WIDTH))).alias("x"))
     each = each.select("rep", F.expr(f"(x >> 6) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("bit"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)) for w in range(WORDS)]
-    return each.groupBy("rep").agg(F.count("*").alias("n"), F.array(*words).alias("sketch"))
+    each = each.groupBy("rep", "word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0)).alias(f"s{w}") for w in range(WORDS)]
+    return each.groupBy("rep").agg(F.sum("n").alias("n"), *words)
 
 
 def _near(x: DataFrame, y: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of the same list in different components that agree in enough minima and may link: where one
     bitmap only has a bit, one set has a hash that the other lacks, so that sets differ in as many hashes at least."""
-    a, b = (some.select("key", *[F.col(c).alias(f"{side}_{c}") for c in some.columns if c != "key"]) for some, side in ((x, "a"), (y, "b")))
-    agreed = sum(((F.col(f"a_m{k}") == F.col(f"b_m{k}")).cast("int") for k in range(MINIMA)), F.lit(0))
-    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
-    met = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & (agreed >= AGREED) & (differ * (100 + PERCENT) <= (F.col("a_n") + F.col("b_n")) * (100 - PERCENT))
+    a, b = _sides(x, y, "key")
+    differ = sum((F.bit_count(F.col(f"a_s{w}").bitwiseXOR(F.col(f"b_s{w}"))) for w in range(WORDS)), F.lit(0))
+    met = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & _agreed() & (differ * (100 + PERCENT) <= (F.col("a_n") + F.col("b_n")) * (100 - PERCENT))
     return a.join(b, "key").where(met).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
 
 
+def _place(doc_id: str, more: tuple[str, ...]) -> Column:
+    """What orders places, rows without doc_id last: one number where doc_id, of the type ``doc_id``, is a whole one, since minima of
+    numbers are found by hashing and those of structures by sorting."""
+    if more or doc_id not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no", *more)
+    return F.coalesce(F.col("doc_id").cast("decimal(20, 0)"), F.lit(str(1 << 63)).cast("decimal(20, 0)")) * F.lit(LINE_NUMBERS) + F.col("line_no")
+
+
+def _taken_apart(doc_id: str, more: tuple[str, ...]) -> list[Column]:
+    """class_doc_id and class_line_no of the column ``head``, made by ``_place``."""
+    if more or doc_id not in ("tinyint", "smallint", "int", "bigint"):
+        return [F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no")]
+    line_no = F.pmod("head", F.lit(LINE_NUMBERS))
+    named = F.col("head") < F.lit(str(1 << 63)).cast("decimal(20, 0)") * F.lit(LINE_NUMBERS)
+    return [F.when(named, (F.col("head") - line_no) / F.lit(LINE_NUMBERS)).cast(doc_id).alias("class_doc_id"), line_no.cast("int").alias("class_line_no")]
+
+
 def _marked(docs: DataFrame, *more: str) -> DataFrame:
     """As ``duplicates``, with the columns ``more``, which also order equal lines with equal places."""
-    lines = staged(_lines(docs, *more).select("doc_id", "line_no", *more, _key(F.col("line")).alias("key")), "lines")
-    at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
-    classes = staged(lines.groupBy("key").agg(F.min(at).alias("first")), "line-classes")
-    groups = components(_links(docs))
-    grouped = classes.join(groups, F.col("key.h") == F.col("vertex"), "left")
+    key = _key(F.col("line"))
+    lines = staged(_lines(docs, *more).select("doc_id", "line_no", *more, "line", key["h"].alias("h"), key["l"].alias("l"), F.monotonically_increasing_id().alias("id")), "lines")
+    kind = dict(docs.dtypes)["doc_id"]
+    placed = lines.select("h", "l", "id", _place(kind, more).alias("at"))
+    classes = staged(placed.groupBy("h", "l").agg(F.min("at").alias("first"), F.min_by("id", "at").alias("first_id")), "line-classes")
     # a line without links is a component of its own
-    ranked = staged(grouped.select("key", "first", F.struct(F.coalesce("component", "key.h").alias("h"), F.when(F.col("component").isNull(), F.col("key.l")).alias("l")).alias("component")), "ranked-lines")
-    dropped(classes)
-    heads = ranked.groupBy("component").agg(F.min("first").alias("head"))
-    ranked = ranked.join(heads, "component").select("key", "head")
-    out = lines.join(ranked, "key").withColumn("same", F.row_number().over(Window.partitionBy("key", "doc_id", "line_no").orderBy("line_no", *more)))
-    is_head = at.eqNullSafe(F.col("head")) & (F.col("same") == 1)
-    return out.select("doc_id", "line_no", *more, F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), is_head.alias("keep"))
+    linked = staged(classes.join(components(_links(lines)), F.col("h") == F.col("vertex")).select("h", "l", "first", "first_id", "component"), "linked-lines")
+    heads = linked.groupBy("component").agg(F.min("first").alias("top"), F.min_by("first_id", "first").alias("top_id"))
+    ranked = classes.join(linked.join(heads, "component").select("h", "l", "top", "top_id"), ["h", "l"], "left")
+    ranked = ranked.select("h", "l", F.coalesce("top", "first").alias("head"), F.coalesce("top_id", "first_id").alias("head_id"))
+    out = lines.select("doc_id", "line_no", *more, "h", "l", "id").join(ranked, ["h", "l"])
+    return out.select("doc_id", "line_no", *more, *_taken_apart(kind, more), (F.col("id") == F.col("head_id")).alias("keep"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -375,6 +375,34 @@ def test_line_bitmaps_rule_out_no_link(spark):
     assert not {p for p, j in likeness.items() if j < 0.6} & near and min(likeness.values()) < 0.6
 
 
+def test_lines_of_a_group_with_few_open_pairs(spark, monkeypatch):
+    """A group that its stars nearly connect is scanned, which takes a few jobs; with more pairs to scan it goes by differences."""
+    monkeypatch.setattr(differences, "LONG_LIST", 4)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(40)]
+    texts = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 4])):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(400)}"
+        texts.append((i, " ".join(t)))
+    calls, by_differences, want = [], differences.links_of, line_classes(texts)
+    monkeypatch.setattr(differences, "links_of", lambda *a: calls.append(a) or by_differences(*a))
+    for scanned, times in ((lines.SCANNED, 0), (0, 1)):
+        monkeypatch.setattr(lines, "SCANNED", scanned)
+        found = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"]) for r in lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert len(calls) == times and sum(found[p] == want[p] for p in want) >= 0.99 * len(want)
+
+
+def test_line_places_of_any_number(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(high, "x\none\ntwo"), (None, "three\none\nthree"), (-3, "two\ntwo"), (low, "four\nfour"), (high, "x\none\ntwo")]
+    out = lines.duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted(((r["class_doc_id"], r["class_line_no"]) for r in out.where("keep").collect()), key=str)
+    assert found == sorted([(high, 0), (high, 1), (None, 0), (-3, 0), (low, 0)], key=str) and out.count() == 13
+    assert out.dtypes == [("doc_id", "bigint"), ("line_no", "int"), ("class_doc_id", "bigint"), ("class_line_no", "int"), ("keep", "boolean")]
+
+
 def test_line_dedup_by_every_character(spark):
     near = "the committee published its administrative recommendations concerning international telecommunications infrastructure"
     texts = [
