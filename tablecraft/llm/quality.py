@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .samples import SAMPLE_BYTES, SAMPLE_ROWS, sampled_features
+from .samples import SAMPLE_BYTES, SAMPLE_ROWS, joined_up, sampled_table
 from .shared import filtered
 from .words import SAME, Hasher, U, chunks, spans
 
@@ -81,7 +81,7 @@ def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray,
         return CumulativeLink(w, cuts)
     gw, gc = np.full(SIZE, 1e-6), np.full(grades - 1, 1e-6)
     rng = np.random.default_rng(seed)
-    start = np.searchsorted(row, np.arange(n + 1))
+    start = np.searchsorted(row, np.arange(n + 1, dtype=row.dtype))
     s = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -128,13 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, rating: Column | None = None, grad
                 cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([*[b.column(k).slice(lo, hi - lo) for k in range(2)], cut(slot.astype(np.uint16)), cut(value.astype(np.float32))], ["doc_id", "grade", "slots", "shares"])
 
-    rows = sampled_features(docs, labels, (grade() if rating is None else rating).cast("int"), run, ["slots", "shares"], bound, size)
-    slots = [np.frombuffer(x, np.uint16) for x in rows["slots"]]
-    y = rows["grade"].to_numpy(np.int64)
-    if not slots:
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), y, grades)
-    row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
-    return fit(row, np.concatenate(slots).astype(np.int64), np.concatenate([np.frombuffer(x, np.float32) for x in rows["shares"]]).astype(float), y, grades)
+    table = sampled_table(docs, labels, (grade() if rating is None else rating).cast("int"), run, ["slots", "shares"], bound, size)
+    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
+    y = table["grade"].to_numpy().astype(np.int64)[order]
+    # the numbers stay as narrow as they came; the fit widens those of a batch
+    slot, sizes = joined_up(table, "slots", np.uint16, order)
+    value, _ = joined_up(table, "shares", np.float32, order)
+    del table
+    return fit(np.repeat(np.arange(len(y), dtype=np.int32), sizes), slot, value, y, grades)
 
 
 def score(docs: DataFrame, model: CumulativeLink, keep_at: float = KEEP_AT) -> DataFrame:

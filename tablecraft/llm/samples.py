@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -57,16 +58,31 @@ def within(rows: DataFrame, size: int, seed: int = 17) -> DataFrame:
     return rows.join(F.broadcast(some.select("doc_id")), "doc_id")
 
 
-def sampled_features(
+def sampled_table(
     docs: DataFrame, labels: DataFrame, grade: Column, features: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str], rows: int, size: int
-) -> pd.DataFrame:
-    """(doc_id, grade, *names) of the sample on the driver, by doc_id. ``features`` makes batches with the binary columns
-    ``names`` of batches (doc_id, grade, text)."""
+) -> pa.Table:
+    """(doc_id, grade, *names) of the sample on the driver, ordered by nothing. ``features`` makes batches with the binary
+    columns ``names`` of batches (doc_id, grade, text). The driver gets them as Arrow batches: as rows, both its
+    processes would hold them several times over."""
     texts = sampled_texts(docs, labels, grade, rows, size)
     made = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(features, ", ".join(["doc_id long, grade int", *[f"{c} binary" for c in names]]))
     made = staged(made, "features")
     dropped(texts)
     sized = made.withColumn("size", sum((F.octet_length(c) for c in names), F.lit(0)).cast("long"))
-    out = within(sized, SAMPLE_FEATURES).drop("size").toPandas().sort_values("doc_id", kind="stable")
+    out = within(sized, SAMPLE_FEATURES).drop("size").toArrow()
     dropped(made)
     return out
+
+
+def sampled_features(
+    docs: DataFrame, labels: DataFrame, grade: Column, features: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str], rows: int, size: int
+) -> pd.DataFrame:
+    """``sampled_table`` by doc_id, its binary columns as objects."""
+    return sampled_table(docs, labels, grade, features, names, rows, size).to_pandas().sort_values("doc_id", kind="stable")
+
+
+def joined_up(table: pa.Table, name: str, kind: type, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in the binary column ``name``, row after row in ``order``, and how many each row has: one copy of them."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+    parts = [parts[k] for k in order]
+    return np.concatenate([np.zeros(0, kind), *parts]), np.array([len(x) for x in parts], np.int64)

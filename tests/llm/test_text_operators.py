@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -234,6 +235,26 @@ def test_a_text_beyond_the_sample_shuts_out_no_other(spark, monkeypatch):
     assert len(rows) == 20 and rows["doc_id"].is_monotonic_increasing and sum(map(len, rows["raw"])) == 2000
 
 
+def test_driver_holds_the_sample_once(spark, monkeypatch):
+    """What the driver's Python takes to hand the sample to the fit, against the sample itself."""
+    d = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.md5(F.concat(F.col("id").cast("string"), i.cast("string"))))).alias("text"))
+    labels = d.select("doc_id", (F.col("doc_id") % 2).alias("quality"), F.lit(0).alias("toxic"))
+    seen = {}
+
+    def fit(row, slot, value, grade, grades):
+        seen.update(bytes=slot.size * 6, peak=tracemalloc.get_traced_memory()[1], rows=len(grade), by_row=bool((np.diff(row) >= 0).all()), grades=set(grade))
+        return quality.CumulativeLink(np.zeros(quality.SIZE), np.zeros(grades - 1))
+
+    monkeypatch.setattr(quality, "fit", fit)
+    tracemalloc.start()
+    try:
+        quality.train(d, labels)
+    finally:
+        tracemalloc.stop()
+    assert seen["rows"] == 600 and seen["by_row"] and seen["grades"] == {0, 2} and seen["bytes"] > 2_000_000
+    assert seen["peak"] < 4 * seen["bytes"] + 1_500_000, seen
+
+
 def test_quality_on_unseen_documents(spark):
     sf = DATA.replace("0.001", "0.01")
     d, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
